@@ -1,0 +1,29 @@
+"""Tables written to the shared folder, to cut lineage where recomputation would be costly."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='quillset-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    The result no longer depends on executors that computed it, so a lost executor
+    costs a reread and not a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillset/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
