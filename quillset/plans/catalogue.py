@@ -2,10 +2,472 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillset.functions import measures, numbers
+from quillset.operators import align, compare, ingest, matching, naming, register, store
+from quillset.plans.sql import ORACLES
+from quillset.sources.bindings import bound, table
+from quillset.streaming import progress
+
+_all: dict = {}
+
+
+def query(f):
+    _all[f.__name__] = f
+    return f
+
 
 def queries() -> dict:
-    return {}
+    return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in _all}
+
+
+# --- register ---------------------------------------------------------------
+
+
+def _sheets(spark: SparkSession, d: str) -> DataFrame:
+    return bound(spark, d, "sheets")
+
+
+@query
+def register_reconcile(spark, d):
+    return register.reconcile(_sheets(spark, d), "full").select("number_key", "drawing_no", "status", "old_revision", "new_revision", "old_path", "new_path", "is_older", "needs_attention")
+
+
+@query
+def register_partial(spark, d):
+    return register.reconcile(_sheets(spark, d), "partial", bound(spark, d, "drawing_list")).select("number_key", "drawing_no", "status", "in_list", "needs_attention")
+
+
+@query
+def register_summary(spark, d):
+    return register.summary(register.reconcile(_sheets(spark, d), "full"))
+
+
+@query
+def register_attention(spark, d):
+    return register.reconcile(_sheets(spark, d), "full").where("needs_attention").groupBy("status").agg(F.count("*").alias("n"), F.min("drawing_no").alias("first_no"))
+
+
+@query
+def register_issue_question(spark, d):
+    return register.issue_question(_sheets(spark, d))
+
+
+@query
+def list_missing_from_folders(spark, d):
+    return register.list_missing(_sheets(spark, d), bound(spark, d, "drawing_list"))
+
+
+@query
+def latest_per_number(spark, d):
+    return register.latest_per_number(_sheets(spark, d)).select("side", "number_key", "abs_path", "revision", "n_duplicates", "n_superseded")
+
+
+@query
+def dominant_scheme(spark, d):
+    return register.dominant_scheme(_sheets(spark, d))
+
+
+@query
+def revision_parse(spark, d):
+    codes = _sheets(spark, d).select("revision").distinct()
+    return codes.withColumn("r", numbers.parse_revision(F.col("revision"))).select("revision", "r.scheme", F.col("r.ordinal").cast("long").alias("ordinal"), "r.normalised")
+
+
+@query
+def revision_compare(spark, d):
+    codes = _sheets(spark, d).where("revision is not null").groupBy("k", "side").agg(F.min("revision").alias("revision"))
+    pairs = codes.groupBy("k").agg(F.max(F.when(F.col("side") == "old", F.col("revision"))).alias("o"), F.max(F.when(F.col("side") == "new", F.col("revision"))).alias("n"))
+    return pairs.withColumn("relation", numbers.compare_revisions(numbers.parse_revision(F.col("o")), numbers.parse_revision(F.col("n")))).groupBy("o", "n", "relation").agg(F.count("*").alias("pairs"))
+
+
+# --- files and pages --------------------------------------------------------
+
+
+@query
+def ext_counts(spark, d):
+    tail = F.regexp_extract("url", r"\.([a-z]{2,4})(?:/|$)", 1)
+    return ingest.extension_counts(table(spark, d, "pages").select(tail.alias("extension")))
+
+
+@query
+def sheet_size(spark, d):
+    sized = table(spark, d, "part").select("p_partkey", (F.lit(200.0) + (F.col("p_partkey") * 37) % 700).alias("w"), (F.lit(280.0) + (F.col("p_partkey") * 53) % 950).alias("h"))
+    return sized.select("p_partkey", numbers.sheet_size(F.col("w"), F.col("h")).alias("size_name"))
+
+
+@query
+def duplicate_groups(spark, d):
+    docs = table(spark, d, "documents").select("text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    return ingest.duplicate_groups(docs, "text", "path")
+
+
+@query
+def cache_hit_miss(spark, d):
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select(k.cast("string").alias("path"), F.col("n_chars").alias("size"), (k % 1000).alias("mtime"))
+    cache = files.where(F.col("path").cast("long") % 3 != 0).withColumn("mtime", F.when(F.col("path").cast("long") % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    return ingest.cache_lookup(files, cache).groupBy("hit").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query
+def quarantine_by_reason(spark, d):
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select((k % 41 == 3).alias("encrypted"), F.when(k % 29 == 1, 0).otherwise(F.col("n_chars")).alias("size"), (k % 23 == 5).alias("damaged"))
+    return ingest.quarantine(files).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _pages(spark, d):
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(F.concat(F.lit("f"), F.floor(k / 4).cast("string")).alias("abs_path"), (k % 4).alias("page_index"), F.when(k % 11 != 0, F.concat(F.lit("A-"), (F.floor(k / 4) % 50 + F.when(k % 9 == 0, 1).otherwise(0)).cast("string"))).alias("drawing_no"), F.when(k % 5 == 0, k % 30).otherwise(F.col("n_chars")).alias("text_chars"), (k % 3).alias("image_count"))
+
+
+@query
+def multisheet_collapse(spark, d):
+    return ingest.collapse_pages(_pages(spark, d))
+
+
+@query
+def page_facts(spark, d):
+    return ingest.page_facts(_pages(spark, d))
+
+
+@query
+def find_numbers(spark, d):
+    k = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("see "), F.upper("lang"), F.lit("-"), F.lpad(k, 4, "0"), F.lit(" and A"), F.lpad(k, 3, "0"), F.lit(" at 1:50, UVU-KEO-ARC-L03-DR-A-0"), k, F.lit(" REV"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(numbers.find_numbers(text), "|").alias("found"))
+
+
+@query
+def scale_read(spark, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 6 == 0, F.concat(F.lit("1:"), F.col("p_size").cast("string"))).when(k % 6 == 1, F.lit("Scale 1 : 100 @ A1")).when(k % 6 == 2, F.lit("NTS")).when(k % 6 == 3, F.lit("1:50 and 1/20")).when(k % 6 == 4, F.lit("as  Shown")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", numbers.read_scale(text).alias("s")).select("p_partkey", "s.text", F.col("s.ratio").cast("long").alias("ratio"), "s.confidence")
+
+
+# --- matching and naming ------------------------------------------------------
+
+
+def _match_sides(spark, d):
+    latest = register.latest_per_number(_sheets(spark, d))
+    rows = latest.select("side", F.col("k").alias("id"), F.col("drawing_no").alias("number"), "number_key", F.lower("title").alias("name_key"))
+    return rows.where("side = 'old'").drop("side"), rows.where("side = 'new'").drop("side")
+
+
+@query
+def match_tier1(spark, d):
+    return matching.unique_match(*_match_sides(spark, d), "number", 1.0, 1)
+
+
+@query
+def match_tier2(spark, d):
+    old, new = _match_sides(spark, d)
+    first = matching.unique_match(old, new, "number", 1.0, 1)
+    return matching.unique_match(matching.remainder(old, first, "old_id"), matching.remainder(new, first, "new_id"), "number_key", 0.98, 2)
+
+
+@query
+def match_tiers(spark, d):
+    old, new = _match_sides(spark, d)
+    moved = new.withColumns({"number": F.when(F.col("id") % 6 == 0, F.concat(F.lit("Z"), "number")).otherwise(F.col("number")), "number_key": F.when(F.col("id") % 6 == 0, F.concat(F.lit("Z"), "number_key")).otherwise(F.col("number_key"))})
+    return matching.match_exact_tiers(old, moved).groupBy("tier", "confidence").agg(F.count("*").alias("n"), F.sum(F.when(F.col("old_id") == F.col("new_id"), 1).otherwise(0)).alias("right"))
+
+
+@query
+def list_fill_contains(spark, d):
+    docs = table(spark, d, "documents")
+    files = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("X"), F.upper("lang"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("REVB")).alias("stem"))
+    keys = bound(spark, d, "drawing_list").select(numbers.normalise_number(F.col("drawing_no")).alias("key"))
+    return matching.contains_match(files, keys)
+
+
+def _fingerprints(spark, d, side):
+    docs = table(spark, d, "documents").where("doc_id % 20 = 3" if side else "doc_id % 20 = 7")
+    return docs.select(F.col("doc_id").alias("id"), "lang", matching.tokens(F.regexp_replace("text", "[^ -~]", " ")).alias("tokens"))
+
+
+@query
+def fingerprint_similarity(spark, d):
+    return matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.05)
+
+
+@query
+def match_ambiguity(spark, d):
+    k = F.col("l_orderkey")
+    c = table(spark, d, "lineitem").groupBy((k % 700).alias("left_id"), (F.col("l_partkey") % 40).alias("right_id")).agg((F.lit(0.5) + (F.sum("l_linenumber") * 7 % 50) / 100).alias("score"))
+    return matching.ambiguity(c)
+
+
+@query
+def match_fuzzy_assign(spark, d):
+    return matching.optimal_pairs(matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.02).withColumn("block", F.lit(1).cast("long") + F.col("left_id") % 3), ["block"], 0.02)
+
+
+@query
+def name_ratio(spark, d):
+    pairs = table(spark, d, "part").select("p_partkey", matching.ratio(F.col("p_name"), F.reverse("p_name")).alias("score"))
+    return pairs
+
+
+@query
+def iso_number_parse(spark, d):
+    k = F.col("p_partkey")
+    n = F.concat(F.lit("UVU-KEO-"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-L"), (k % 9).cast("string"), F.lit("-DR-A-"), F.when(k % 4 == 0, F.lit("x")).otherwise(F.lpad(k.cast("string"), 5, "0")))
+    return table(spark, d, "part").select("p_partkey", naming.parse_iso_number(n).alias("f")).select("p_partkey", F.col("f.originator").alias("originator"), F.col("f.level").alias("level"), F.col("f.number").alias("number"))
+
+
+@query
+def render_template(spark, d):
+    k = F.col("p_partkey")
+    name = naming.render("{project:upper}-{number:pad4}_{title:lower}_{rev}", {"project": F.col("p_brand"), "number": k % 977, "title": F.when(k % 3 != 0, F.col("p_name")), "rev": F.when(k % 4 != 1, F.lit("A"))})
+    return table(spark, d, "part").select("p_partkey", name.alias("name"))
+
+
+@query
+def rename_collisions(spark, d):
+    plan = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand")), F.lit(".pdf")).alias("target"))
+    return naming.resolve_collisions(plan).select("seq", "final")
+
+
+@query
+def undo_prefix(spark, d):
+    log = table(spark, d, "orders").select((F.col("o_orderkey") % 300).alias("batch"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 7 % 31 != 5).alias("ok"))
+    return naming.undo_prefix(log).groupBy("batch").agg(F.count_if("undone").alias("undone"), F.count("*").alias("n"))
+
+
+# --- text ---------------------------------------------------------------------
+
+
+def _items(spark, d):
+    return bound(spark, d, "text_items")
+
+
+@query
+def classify_text(spark, d):
+    c = _items(spark, d).select("pair_id", "side", "item_id", measures.classify(F.col("text")).alias("c"))
+    return c.select("pair_id", "side", "item_id", "c.category", "c.confidence")
+
+
+@query
+def parse_numeric(spark, d):
+    texts = _items(spark, d).select("text").distinct()
+    more = texts.select(F.explode(F.array("text", F.concat("text", F.lit("-"), "text"), F.concat("text", F.lit(" / "), "text"))).alias("text")).distinct()
+    n = more.withColumn("n", measures.parse_numeric(F.col("text")))
+    return n.where("n is not null").select("text", "n.value", "n.unit", "n.kind", measures.in_millimetres(F.col("n")).alias("mm"))
+
+
+@query
+def dimension_delta(spark, d):
+    pairs = _items(spark, d).groupBy("pair_id", "item_id").agg(F.max(F.when(F.col("side") == "old", F.col("text"))).alias("o"), F.max(F.when(F.col("side") == "new", F.col("text"))).alias("n")).where("o <> n")
+    c = pairs.withColumn("c", measures.numeric_change(F.col("o"), F.col("n"), F.col("o").startswith("FFL")))
+    return c.select("pair_id", "item_id", F.round("c.delta_mm", 6).alias("delta_mm"), F.round("c.percent", 6).alias("percent"), "c.direction")
+
+
+@query
+def text_unchanged_moved(spark, d):
+    return compare.text_singletons(_items(spark, d))
+
+
+@query
+def renumbering_detect(spark, d):
+    pairs = _items(spark, d).groupBy("pair_id", "item_id").agg(F.max(F.when(F.col("side") == "old", F.col("text"))).alias("old_text"), F.max(F.when(F.col("side") == "new", F.col("text"))).alias("new_text")).where("old_text <> new_text and item_id % 6 <> 2")
+    return compare.renumbering(pairs, 2)
+
+
+# --- vectors, boxes, rasters ----------------------------------------------------
+
+
+def _segments(spark, d):
+    return bound(spark, d, "segments")
+
+
+@query
+def tolerance_resolve(spark, d):
+    k = F.col("p_partkey")
+    n = F.when(k % 5 == 0, None).when(k % 5 == 1, 100).when(k % 5 == 2, 5).when(k % 5 == 3, 500).otherwise(50)
+    t = measures.tolerance((F.col("p_size") * 2.0), n.cast("double"))
+    return table(spark, d, "part").select("p_partkey", t.alias("t")).select("p_partkey", F.round("t.paper_mm", 6).alias("paper_mm"), F.round("t.px", 6).alias("px"), F.round("t.site_mm", 6).alias("site_mm"), "t.clamped")
+
+
+@query
+def segment_canonical_hash(spark, d):
+    return compare.canonical_segment(_segments(spark, d)).groupBy("pair_id", "side").agg(F.count("*").alias("n"), F.count_distinct("geometry").alias("shapes"), F.min("geometry").alias("least"))
+
+
+@query
+def vector_bag_diff(spark, d):
+    return compare.vector_bag_diff(_segments(spark, d))
+
+
+@query
+def vector_removed_added(spark, d):
+    rows = compare.canonical_segment(_segments(spark, d)).select("pair_id", "side", "geometry")
+    old, new = compare.split_sides(rows)
+    gone = old.exceptAll(new).withColumn("state", F.lit("removed")).unionByName(new.exceptAll(old).withColumn("state", F.lit("added")))
+    return gone.groupBy("pair_id", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def moves_mutual_nearest(spark, d):
+    old, new = compare.split_sides(_segments(spark, d))
+    key = ["pair_id", "path_id"]
+    return compare.nearest_moves(old.where("path_id % 7 = 0").select(*key, "x0", "y0", "x1", "y1"), new.where("path_id % 7 = 0").select(*key, "x0", "y0", "x1", "y1"), 60.0).withColumn("distance", F.round("distance", 6))
+
+
+@query
+def hatch_spacing(spark, d):
+    lines = _segments(spark, d).select("pair_id", F.when(F.col("x0") == F.col("x1"), 90).otherwise(0).alias("angle"), F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(F.col("y0")).cast("double").alias("offset"))
+    return compare.hatch_spacing(lines)
+
+
+@query
+def bbox_iou_join(spark, d):
+    c = bound(spark, d, "changes")
+    left, right = compare.boxes(c.where("stream = 'O'"), "l", "change_id"), compare.boxes(c.where("stream = 'F'"), "r", "change_id")
+    return compare.overlapping(left, right).select("pair_id", "l_id", "r_id", F.round("iou", 6).alias("iou"))
+
+
+@query
+def ink_tolerant_diff(spark, d):
+    ink = table(spark, d, "lineitem").select((F.col("l_orderkey") % 10).alias("pair_id"), (F.col("l_partkey") * 7 % 97).alias("x"), (F.col("l_orderkey") * 13 % 89).alias("y"), (F.col("l_linenumber") % 2 == 0).alias("is_old")).where("x < 60").distinct()
+    return compare.ink_difference(ink.where("is_old and (x + y) % 5 <> 0").drop("is_old"), ink.where("not is_old and (x * y) % 7 <> 0").drop("is_old"), 1)
+
+
+@query
+def cluster_regions(spark, d):
+    return compare.cluster_regions(bound(spark, d, "changes"), 39.0)
+
+
+# --- stored changes ---------------------------------------------------------------
+
+
+def _changes(spark, d):
+    return bound(spark, d, "changes")
+
+
+@query
+def style_collapse(spark, d):
+    return store.style_collapse(_changes(spark, d))[0]
+
+
+@query
+def filtered_by_reason(spark, d):
+    changes = _changes(spark, d)
+    small = changes.where("w * h < 200").select("pair_id", "change_id", F.lit("speckle").alias("filter_name"), F.lit("too small").alias("reason"))
+    return store.filtered_by_reason(store.style_collapse(changes)[1].unionByName(small))
+
+
+@query
+def background_collapse(spark, d):
+    return store.background_collapse(_changes(spark, d), 20_000.0)
+
+
+@query
+def change_query(spark, d):
+    return store.load_changes(_changes(spark, d), streams=("O",), kind="N").select("pair_id", "change_id", "category", "confidence")
+
+
+@query
+def change_stats(spark, d):
+    return store.change_statistics(_changes(spark, d))
+
+
+@query
+def triage(spark, d):
+    decisions = table(spark, d, "orders").select((F.col("o_orderkey") * 10 + 1).alias("change_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 2 == 0, "confirmed").otherwise("dismissed").alias("user_status"))
+    return store.triage(_changes(spark, d), decisions).groupBy("user_status").agg(F.count("*").alias("n"))
+
+
+@query
+def layer_toggle(spark, d):
+    layers = table(spark, d, "orders").select((F.col("o_orderkey") % 20).alias("pair_id"), F.col("o_orderpriority").alias("name"), (F.col("o_orderstatus") == "O").alias("visible"), (F.col("o_orderkey") % 2 == 0).alias("is_old"))
+    seen = layers.groupBy("pair_id", "name").agg(F.bool_or(F.when(F.col("is_old"), F.col("visible"))).alias("old_visible"), F.bool_and(F.when(~F.col("is_old"), F.col("visible"))).alias("new_visible"))
+    return seen.withColumn("toggled", ~F.col("old_visible").eqNullSafe(F.col("new_visible")))
+
+
+@query
+def precision_recall(spark, d):
+    labels = table(spark, d, "labels").select((F.col("quality") == 0).alias("truth"), (F.col("toxic") == 1).alias("reported"))
+    return store.precision_recall(labels)
+
+
+@query
+def benchmark_summary(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"), F.round(F.percentile("l_quantity", 0.95), 6).alias("p95"), F.round(F.avg((F.col("l_tax") < 0.05).cast("double")), 6).alias("success"))
+
+
+# --- alignment --------------------------------------------------------------------
+
+
+@query
+def anchor_singletons(spark, d):
+    return align.singletons(_items(spark, d))
+
+
+@query
+def similarity_fit_ls(spark, d):
+    fit = align.fit_similarity(bound(spark, d, "points"))
+    return fit.select("pair_id", "n", *(F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")))
+
+
+@query
+def residual_rms(spark, d):
+    p = bound(spark, d, "points")
+    return align.residuals(p, align.fit_similarity(p)).groupBy("pair_id").agg(F.round(F.sqrt(F.avg(F.col("err") * F.col("err"))), 6).alias("rms"), F.round(F.max("err"), 6).alias("worst"))
+
+
+@query
+def quality_gate(spark, d):
+    p = bound(spark, d, "points")
+    exact = p.select("pair_id").distinct().select("pair_id", F.lit(0).alias("n"), F.lit(0.8).alias("a"), F.lit(0.6).alias("b"), F.lit(10.0).alias("tx"), F.lit(-5.0).alias("ty"))
+    return align.grade(p, exact).select("pair_id", "n", F.round("inlier_ratio", 6).alias("inlier_ratio"), F.round("rms", 6).alias("rms"), "verdict")
+
+
+@query
+def ransac_fit(spark, d):
+    return align.ransac_fit(bound(spark, d, "points"))
+
+
+@query
+def trimmed_fit(spark, d):
+    return align.trimmed_fit(bound(spark, d, "points"), 3.0)
+
+
+# --- progress ---------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), "value", (F.col("event_type") == "purchase").alias("terminal"))
+
+
+@query
+def progress_coalesce(spark, d):
+    return progress.coalesce_progress(_events(spark, d)).select("run_id", "stage", "event_id", "value")
+
+
+@query
+def progress_latest(spark, d):
+    return progress.latest_by_run(_events(spark, d)).select("run_id", "event_id", "stage")
+
+
+@query
+def event_windows(spark, d):
+    return progress.event_windows(_events(spark, d)).select("start", "stage", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def event_sessions(spark, d):
+    return progress.sessions(_events(spark, d))
+
+
+@query
+def change_rank_top3(spark, d):
+    w = Window.partitionBy("pair_id").orderBy(F.desc("confidence"), "change_id")
+    return _changes(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("pair_id", "change_id", "rank")
