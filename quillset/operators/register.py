@@ -40,16 +40,16 @@ def status(old: Column, new: Column, issue: str) -> Column:
 def reconcile(sheets: DataFrame, issue: str = "full", drawing_list: DataFrame | None = None) -> DataFrame:
     """Register rows: number_key, drawing_no, status, old_revision, new_revision, old_path, new_path, is_older, in_list, needs_attention.
 
-    A full outer join of both sides' latest sheets; sheets without number (or not
+    The full outer match of both sides' latest sheets, of which each number has at most one
+    a side, is one aggregation by number, so the sheets are read and ranked once; sheets without number (or not
     readable) are rows of their own; with a list, numbers on it alone are added and new
     numbers off it are marked.
     """
     keep = F.struct("drawing_no", "revision", "rev", "content_hash", "abs_path")
     latest = latest_per_number(sheets)
-    old = latest.where("side = 'old'").select("number_key", keep.alias("o"))
-    new = latest.where("side = 'new'").select("number_key", keep.alias("n"))
     o, n = F.col("o"), F.col("n")
-    rows = old.join(new, "number_key", "full_outer").select(
+    both = latest.groupBy("number_key").agg(*(F.max(F.when(F.col("side") == side, keep)).alias(name) for side, name in (("old", "o"), ("new", "n"))))
+    rows = both.select(
         "number_key", F.coalesce("n.drawing_no", "o.drawing_no").alias("drawing_no"), status(o, n, issue).alias("status"),
         F.col("o.revision").alias("old_revision"), F.col("n.revision").alias("new_revision"), F.col("o.abs_path").alias("old_path"), F.col("n.abs_path").alias("new_path"),
         F.coalesce(compare_revisions(o["rev"], n["rev"]) == "older", F.lit(False)).alias("is_older"),
