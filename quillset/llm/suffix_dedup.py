@@ -131,8 +131,27 @@ def meet_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from table.select(["key", "doc_id", "lo", "n", "off"]).take(pa.array(order[keep])).append_column("split", split).to_batches()
 
 
+def repeats_here(data: np.ndarray, key: np.ndarray, h: np.ndarray, doc: np.ndarray, lo: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows (hash h, starting at ``at`` in data) equal an earlier one of their anchor, byte for byte."""
+    order = np.lexsort((lo, doc, h, key))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    out = np.zeros(len(order), dtype=bool)
+    span = np.arange(WINDOW)
+    later = np.flatnonzero(~first)
+    for i in range(0, len(later), 20_000):
+        j = later[i : i + 20_000]
+        out[order[j]] = (data[at[order[j], None] + span] == data[at[head[j], None] + span]).all(axis=1)
+    return out
+
+
 def fetch_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, doc_id, asks) to (key, salt, doc_id, lo, n, off, bytes); runs of split anchors become single windows."""
+    """(text, doc_id, asks) to (key, salt, doc_id, lo, n, off, bytes); runs of split anchors become single windows.
+
+    Of equal single windows in a batch only the first is sent with bytes; the others,
+    compared with it here, are known to repeat (salt -1, spread by place).
+    """
     names = ["key", "salt", "doc_id", "lo", "n", "off", "bytes"]
     poly = Poly(43)
     for batch in batches:
@@ -156,14 +175,17 @@ def fetch_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s = lo[many[here]] + step[here] + offsets[row[many[here]]] - offsets[a]
                     h[here] = poly.ranges(poly.prefix(data[offsets[a] : offsets[b]]), s, s + WINDOW)
             cold = np.flatnonzero(split <= 1)
-            salt = np.concatenate([salt[cold], 1 + (h % split[many].astype(U64)).astype(np.int64)])
-            row, key, doc = (np.concatenate([x[cold], x[many]]) for x in (row, key, doc))
+            own = repeats_here(data, key[many], h, doc[many], lo[many] + step, offsets[row[many]] + lo[many] + step)
+            place = mix(doc[many].astype(U64) * U64(0x9E3779B97F4A7C15) + (lo[many] + step).astype(U64)).view(np.int64)
+            salt = np.concatenate([salt[cold], np.where(own, -1, 1 + (h % split[many].astype(U64)).astype(np.int64))])
+            key = np.concatenate([key[cold], np.where(own, place, key[many])])
+            row, doc = (np.concatenate([x[cold], x[many]]) for x in (row, doc))
             off = np.concatenate([off[cold], off[many] - step])
             lo, n = np.concatenate([lo[cold], lo[many] + step]), np.concatenate([n[cold], np.ones(len(many), np.int64)])
         most = 40_000
         for i in range(0, len(row), most):
             j = slice(i, i + most)
-            size = n[j] - 1 + WINDOW
+            size = np.where(salt[j] < 0, 0, n[j] - 1 + WINDOW)
             ends = np.concatenate([[0], np.cumsum(size)])
             at = np.repeat(offsets[row[j]] + lo[j] - ends[:-1], size) + np.arange(ends[-1])
             picked = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
@@ -234,7 +256,12 @@ def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    table = pa.Table.from_batches(batches).combine_chunks()
+    table = pa.Table.from_batches(batches)
+    known = pa.compute.less(table["salt"], 0)
+    yield from table.filter(known).select(["doc_id", "lo", "n"]).to_batches()
+    table = table.filter(pa.compute.invert(known)).combine_chunks()
+    if not table.num_rows:
+        return
     key, salt, doc, lo, n, off = (table[c].to_numpy().astype(np.int64) for c in ("key", "salt", "doc_id", "lo", "n", "off"))
     order = np.lexsort((lo, doc, salt, key))
     groups = bounds(key[order], salt[order])
