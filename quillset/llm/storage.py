@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     The result no longer depends on executors that computed it, so a lost executor
-    costs a reread and not a recomputation.
+    costs a reread and not a recomputation. The shuffles behind it are of no more use;
+    Spark deletes their files once the plan is collected as garbage, which ``release`` asks for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillset/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2 * release):  # listeners still hold the plan for a moment
+        time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

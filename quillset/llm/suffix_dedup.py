@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     runs = scan(texts.where("doc_id is not null")).repartition("key")
-    met = materialise(runs.mapInArrow(meet_by_anchor, "key long, doc_id long, lo int, n int, off int, split int"), "runs")
+    met = materialise(runs.mapInArrow(meet_by_anchor, "key long, doc_id long, lo int, n int, off int, split int"), "runs", release=True)
     asks = met.where("split is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "n", "off", "split")).alias("asks"))
     asked = texts.join(asks, "doc_id").select("text", "doc_id", "asks")
     pieces = asked.mapInArrow(fetch_bytes, "key long, salt int, doc_id long, lo int, n int, off int, bytes binary").repartition("key", "salt")
