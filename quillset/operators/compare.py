@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.functions.measures import iou, overlap
+from quillset.operators.folds import fold
 
 
 def split_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,5 +163,54 @@ def cluster_regions(changes: DataFrame, reach: float) -> DataFrame:
     return sized.groupBy("pair_id").applyInPandas(_cluster(reach), "pair_id long, change_id long, cluster long")
 
 
+#: The streams, the most telling first.
+STREAMS = ("text", "hatch", "vector", "raster")
+
+
+def merge_streams(changes: DataFrame, ranking: tuple[str, ...] = STREAMS, least_iou: float = 0.4, least_inside: float = 0.8) -> DataFrame:
+    """One row for what several streams found: pair_id, change_id, streams, n, x, y, w, h, confidence, is_cosmetic.
+
+    In order of stream, size and change_id, a change joins the first kept one of another
+    stream that it overlaps enough (IoU, or share of the smaller); the kept box grows around both and
+    its confidence by 0.1, to 0.99. Rows with ``alone`` (changes of the whole sheet) neither
+    join nor are joined. Null numbers overlap nothing. Only what is kept of a pair is held.
+    """
+    rank = F.coalesce(F.array_position(F.lit(list(ranking)), F.col("stream")), F.lit(0)).cast("int")
+    rank = F.when(rank == 0, len(ranking) + 1).otherwise(rank)
+    sizes = [F.coalesce(F.col(c).cast("double"), F.lit(0.0 if c in "wh" else float("inf"))).alias(c) for c in "xywh"]
+    alone = F.coalesce("alone", F.lit(False)) if "alone" in changes.columns else F.lit(False)
+    rows = changes.where("change_id is not null").select(F.col("pair_id").cast("long"), F.col("change_id").cast("long"), F.coalesce("stream", F.lit("")).alias("stream"), *sizes, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("is_cosmetic", F.lit(False)).alias("is_cosmetic"), alone.alias("alone"), rank.alias("rank"), (-F.col("w") * F.col("h")).cast("double").alias("less"))
+
+    def each(key: tuple, group: Iterable) -> Iterator[tuple]:
+        kept: list[list] = []
+        box, stream = np.empty((16, 4)), np.empty(16, object)
+        for r in group:
+            m, twin = len(kept), None
+            if m and not r.alone:
+                x0, y0, x1, y1 = box[:m].T
+                shared = np.maximum(np.minimum(x1, r.x + r.w) - np.maximum(x0, r.x), 0) * np.maximum(np.minimum(y1, r.y + r.h) - np.maximum(y0, r.y), 0)
+                area, mine = (x1 - x0) * (y1 - y0), r.w * r.h
+                near = (shared > 0) & ((shared >= least_iou * (area + mine - shared)) | (shared >= least_inside * np.minimum(area, mine)))
+                hit = np.flatnonzero(near & (stream[:m] != r.stream))
+                twin = int(hit[0]) if len(hit) else None
+            if twin is None:
+                if m == len(box):
+                    box, stream = np.concatenate([box, np.empty_like(box)]), np.concatenate([stream, np.empty_like(stream)])
+                # a box that nothing can touch keeps whole-sheet changes apart
+                box[m] = np.full(4, np.nan) if r.alone else (r.x, r.y, r.x + r.w, r.y + r.h)
+                stream[m] = r.stream
+                kept.append([r, {r.stream}, 1, r.confidence, r.is_cosmetic])
+                continue
+            box[twin] = (*np.minimum(box[twin, :2], (r.x, r.y)), *np.maximum(box[twin, 2:], (r.x + r.w, r.y + r.h)))
+            best = kept[twin]
+            best[1:] = [best[1] | {r.stream}, best[2] + 1, min(0.99, best[3] + 0.1), best[4] and r.is_cosmetic]
+        for (r, streams, n, sure, cosmetic), (x0, y0, x1, y1) in zip(kept, box, strict=False):
+            place = (r.x, r.y, r.w, r.h) if r.alone else (x0, y0, x1 - x0, y1 - y0)
+            yield *key, r.change_id, "+".join(sorted(streams)), n, *place, sure, cosmetic
+
+    schema = "pair_id long, change_id long, streams string, n long, x double, y double, w double, h double, confidence double, is_cosmetic boolean"
+    return fold(rows, ["pair_id"], ["rank", "less", "change_id"], each, schema)
+
+
 def tokens_equal(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillset.functions import measures, numbers
-from quillset.operators import align, compare, ingest, matching, naming, register, store
+from quillset.operators import align, compare, hatch, ingest, layout, matching, naming, raster, register, store
 from quillset.plans.sql import ORACLES
 from quillset.sources.bindings import bound, table
 from quillset.streaming import progress
@@ -281,6 +281,48 @@ def renumbering_detect(spark, d):
     return compare.renumbering(pairs, 2)
 
 
+@query
+def merge_runs(spark, d):
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("text"))
+    runs = lines.select(k.alias("page"), n.alias("item_id"), "text", (n * 5).alias("x"), (n % 2 * 10).alias("y"), (9 + (n * k) % 3).alias("w"), (2 + k % 2).alias("h"))
+    return layout.merge_runs(runs, ["page"])
+
+
+def _notes(spark, d):
+    """Texts of three sizes, some with a phrase that is stamped on drawings."""
+    k = F.col("p_partkey")
+    phrases = F.array(*map(F.lit, ("For  Tender", "digitally signed by", "Status B", "draft copy", "Reviewed", "grid")))
+    text = F.concat(F.element_at(phrases, (k % 6 + 1).cast("int")), F.lit(" "), F.substring("p_name", 1, 8))
+    size = F.when(k % 7 == 3, 40.0).otherwise(3.0)
+    return table(spark, d, "part").select("p_partkey", (k % 20).alias("pair_id"), text.alias("text"), ((k * 37) % 800).cast("double").alias("x"), ((k * 53) % 560).cast("double").alias("y"), F.when(k % 5 == 0, size).otherwise(size * 9).alias("w"), size.alias("h"), (k % 11 == 2).alias("pale"))
+
+
+@query
+def watermark_text(spark, d):
+    found = layout.watermarks(_notes(spark, d), ["pair_id"], 800.0, 560.0, F.col("pale"))
+    return found.select("p_partkey", "phrase", "signals", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def control_stamps(spark, d):
+    return layout.stamps(_notes(spark, d), 800.0, 560.0).select("p_partkey", "stamp", "phrase", F.round("confidence", 6).alias("confidence"))
+
+
+def _frames(spark, d):
+    """Sheets of ten frame families in 50 projects, each with a line of its own."""
+    k = F.col("o_orderkey")
+    family = k % 10
+    lines = [F.array(*((family * step + i) % 60 / 60.0 for i in range(0, 60, 12)), (k % 60) / 60.0) for step in (5, 7)]
+    return table(spark, d, "orders").select((F.floor(k / 10) % 50).alias("project"), k.alias("sheet_id"), F.when(family < 8, 1.414).otherwise(0.707).alias("aspect"), lines[0].alias("horizontals"), lines[1].alias("verticals"))
+
+
+@query
+def frame_templates(spark, d):
+    sheets = _frames(spark, d)
+    return layout.representatives(sheets, layout.frame_templates(sheets))
+
+
 # --- vectors, boxes, rasters ----------------------------------------------------
 
 
@@ -327,6 +369,43 @@ def hatch_spacing(spark, d):
     return compare.hatch_spacing(lines)
 
 
+@query
+def hatch_regions(spark, d):
+    """Blocks of 40 strokes of 45 or 135 degrees, 6 px from one to the next."""
+    k = F.col("o_orderkey")
+    i = F.floor(k / 20)
+    x = i % 40 * 6 + F.floor(i / 40) * 1000
+    up = F.floor(i / 40) % 2 == 0
+    strokes = table(spark, d, "orders").select((k % 20).alias("pair_id"), F.lit("old").alias("side"), k.alias("path_id"), x.alias("x0"), F.when(up, 0).otherwise(10).alias("y0"), (x + 10).alias("x1"), F.when(up, 10).otherwise(0).alias("y1"))
+    return hatch.hatch_regions(strokes, 200 / 25.4).select("pair_id", "side", "x", "y", "w", "h", F.element_at("angles", 1).alias("angle"), F.round("spacing", 6).alias("spacing"), "n", "crossed")
+
+
+@query
+def flatten_curves(spark, d):
+    k = F.col("p_partkey")
+    at = ((37, 0), (53, 0), (37, 40), (71, 90), (41, 120), (29, 60), (23, 160), (53, 30))
+    curves = table(spark, d, "part").select(k.alias("curve_id"), *((k * m % 97 + a).cast("double").alias(f"{c}{j}") for j in range(4) for c, (m, a) in zip("xy", at[2 * j : 2 * j + 2], strict=True)))
+    return hatch.flatten_curves(curves, 0.79).select("curve_id", "t", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def ink_regions(spark, d):
+    return raster.ink_regions(ink_tolerant_diff(spark, d), 2)
+
+
+@query
+def ink_shift(spark, d):
+    k = F.col("o_orderkey")
+    marks = table(spark, d, "orders").select((k % 20).alias("pair_id"), (k * 131 % 400 + 30).alias("x"), (k * 57 % 300 + 20).alias("y"), F.explode(F.array(F.lit(True), F.lit(False))).alias("is_old"))
+    return raster.ink_shift(marks.withColumn("x", F.when(F.col("is_old"), F.col("x")).otherwise(F.col("x") + 12))).select("pair_id", "turn", "dx", "dy")
+
+
+@query
+def merge_streams(spark, d):
+    found = compare.merge_streams(bound(spark, d, "changes").withColumn("alone", F.col("category") == "large"), ("O", "F"))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def bbox_iou_join(spark, d):
     c = bound(spark, d, "changes")

@@ -54,6 +54,9 @@ SIDES = f"{LATEST}, old AS (SELECT k AS id, drawing_no AS number, number_key FRO
 PRINTS = "prints AS (SELECT doc_id AS id, lang, doc_id % 20 AS m, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z0-9]{2,}')) AS tokens FROM documents WHERE doc_id % 20 IN (3, 7))"
 NUM = r"[-+±]?\d{1,3}(?:[ ,]\d{3})*(?:\.\d+)?|[-+±]?\d+(?:\.\d+)?"
 
+NOTES = r"""(SELECT p_partkey, p_partkey % 20 AS pair_id, upper(regexp_replace(trim((['For  Tender', 'digitally signed by', 'Status B', 'draft copy', 'Reviewed', 'grid'])[p_partkey % 6 + 1] || ' ' || substr(p_name, 1, 8)), '\s+', ' ', 'g')) AS t,
+  (p_partkey * 37) % 800 AS x, (p_partkey * 53) % 560 AS y, CASE WHEN p_partkey % 7 = 3 THEN 40.0 ELSE 3.0 END AS h, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 9 END * CASE WHEN p_partkey % 7 = 3 THEN 40.0 ELSE 3.0 END AS w, p_partkey % 11 = 2 AS pale FROM part)"""
+
 ORACLES = {
     "register_reconcile": f"WITH {register('removed')} SELECT number_key, drawing_no, status, old_revision, new_revision, old_path, new_path, is_older, needs_attention FROM reg",
     "register_partial": f"""WITH {register('not_reissued')}, {LISTED},
@@ -170,4 +173,42 @@ ORACLES = {
     "event_sessions": f"""WITH {EVENTS}, g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM ev), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY run_id ORDER BY ts) AS s FROM g)
  SELECT run_id, min(ts) AS start, count(*) AS n FROM s GROUP BY run_id, s""",
     "change_rank_top3": f"WITH {CHANGES} SELECT pair_id, change_id, row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, change_id) AS rank FROM changes QUALIFY rank <= 3",
+    "merge_runs": """WITH RECURSIVE r AS (SELECT l_orderkey AS page, l_linenumber AS id, min(l_returnflag || l_linestatus) AS text, (l_linenumber * 5)::DOUBLE AS x, (l_linenumber % 2 * 10)::DOUBLE AS y, (9 + l_linenumber * l_orderkey % 3)::DOUBLE AS w, (2 + l_orderkey % 2)::DOUBLE AS h FROM lineitem GROUP BY l_orderkey, l_linenumber),
+ o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y DESC, x, id) AS rn FROM r),
+ f(page, rn, first_id, n, text, x, y, h, rgt) AS (
+  SELECT page, rn, id, 1, text, x, y, h, x + w FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.page, o.rn, CASE WHEN j THEN first_id ELSE id END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN ftext || CASE WHEN o.x > rgt THEN ' ' ELSE '' END || o.text ELSE o.text END,
+   CASE WHEN j THEN fx ELSE o.x END, CASE WHEN j THEN least(fy, o.y) ELSE o.y END, CASE WHEN j THEN greatest(fh, o.h) ELSE o.h END, CASE WHEN j THEN greatest(rgt, o.x + w) ELSE o.x + w END
+  FROM (SELECT f.page AS fpage, f.rn AS frn, first_id, n, f.text AS ftext, f.x AS fx, f.y AS fy, f.h AS fh, rgt, o.*,
+    least(f.h, o.h) >= 0.5 * greatest(f.h, o.h) AND abs(f.y - o.y) <= 0.3 * greatest(f.h, o.h) AND o.x - rgt BETWEEN -0.2 * greatest(f.h, o.h) AND 0.6 * greatest(f.h, o.h) AS j
+   FROM f JOIN o ON o.page = f.page AND o.rn = f.rn + 1) o)
+ SELECT page, first_id, n, text, x, y, rgt - x AS w, h FROM f QUALIFY row_number() OVER (PARTITION BY page, first_id ORDER BY rn DESC) = 1""",
+    "watermark_text": """WITH n AS (SELECT *, median(h) OVER (PARTITION BY pair_id) AS mid, length(replace(t, ' ', '')) AS c FROM NOTES),
+ s AS (SELECT *, CASE WHEN contains(t, 'DRAFT') THEN 'DRAFT' WHEN contains(t, 'FOR TENDER') THEN 'FOR TENDER' WHEN contains(t, 'COPY') THEN 'COPY' END AS phrase,
+  c >= 4 AND 0.55 * c > 1.2 AND ln(w / h) BETWEEN -0.6 * ln(0.55 * c) AND 0.6 * ln(0.55 * c) AS turned FROM n),
+ k AS (SELECT *, turned::INT + (h > 3 * mid)::INT + (w > 320 OR h > 224)::INT + pale::INT + (phrase IS NOT NULL)::INT AS signals FROM s)
+ SELECT p_partkey, phrase, signals, round(least(0.98, 0.45 + 0.18 * signals + CASE WHEN phrase IS NULL THEN 0 ELSE 0.15 END), 6) AS confidence FROM k WHERE signals >= 2 AND (turned OR pale OR phrase IS NOT NULL)""",
+    "control_stamps": """WITH n AS (SELECT *, 2 * greatest(abs((x + w / 2) / 800 - 0.5), abs((y + h / 2) / 560 - 0.5)) AS corner FROM NOTES)
+ SELECT p_partkey, 'signature_block' AS stamp, 'DIGITALLY SIGNED' AS phrase, round(least(0.95, 0.7 + 0.2 * corner), 6) AS confidence FROM n WHERE contains(t, 'DIGITALLY SIGNED')
+ UNION ALL SELECT p_partkey, 'control_stamp', CASE WHEN contains(t, 'REVIEWED') THEN 'REVIEWED' ELSE 'STATUS B' END, round(least(0.95, 0.6 + 0.2 * corner), 6) FROM n WHERE contains(t, 'REVIEWED') OR contains(t, 'STATUS B')""",
+    "flatten_curves": """WITH RECURSIVE c AS (SELECT p_partkey AS id, (p_partkey * 37 % 97)::DOUBLE AS ax, (p_partkey * 53 % 97)::DOUBLE AS ay, (p_partkey * 37 % 97 + 40)::DOUBLE AS bx, (p_partkey * 71 % 97 + 90)::DOUBLE AS ey, (p_partkey * 41 % 97 + 120)::DOUBLE AS cx, (p_partkey * 29 % 97 + 60)::DOUBLE AS cy, (p_partkey * 23 % 97 + 160)::DOUBLE AS dx, (p_partkey * 53 % 97 + 30)::DOUBLE AS dy FROM part),
+ p(id, t, n, ax, ay, bx, ey, cx, cy, dx, dy, flat) AS (
+  SELECT id, 0.0::DOUBLE, 0, ax, ay, bx, ey, cx, cy, dx, dy, greatest(abs((dx - ax) * (ey - ay) - (dy - ay) * (bx - ax)), abs((dx - ax) * (cy - ay) - (dy - ay) * (cx - ax))) <= 0.79 * sqrt((dx - ax) ** 2 + (dy - ay) ** 2) FROM c
+  UNION ALL
+  SELECT id, t, n, ax, ay, bx, ey, cx, cy, dx, dy, n = 10 OR greatest(abs((dx - ax) * (ey - ay) - (dy - ay) * (bx - ax)), abs((dx - ax) * (cy - ay) - (dy - ay) * (cx - ax))) <= 0.79 * sqrt((dx - ax) ** 2 + (dy - ay) ** 2) FROM (
+   SELECT id, t, n + 1 AS n, ax, ay, (ax + bx) / 2 AS bx, (ay + ey) / 2 AS ey, (ax + 2 * bx + cx) / 4 AS cx, (ay + 2 * ey + cy) / 4 AS cy, (ax + 3 * bx + 3 * cx + dx) / 8 AS dx, (ay + 3 * ey + 3 * cy + dy) / 8 AS dy FROM p WHERE NOT flat
+   UNION ALL
+   SELECT id, t + 0.5 ** (n + 1), n + 1, (ax + 3 * bx + 3 * cx + dx) / 8, (ay + 3 * ey + 3 * cy + dy) / 8, (bx + 2 * cx + dx) / 4, (ey + 2 * cy + dy) / 4, (cx + dx) / 2, (cy + dy) / 2, dx, dy FROM p WHERE NOT flat))
+ SELECT id AS curve_id, t + 0.5 ** n AS t, round(dx, 6) AS x, round(dy, 6) AS y FROM p WHERE flat""",
 }
+
+ORACLES = ORACLES | {k: ORACLES[k].replace("NOTES", NOTES) for k in ("watermark_text", "control_stamps")}
+ORACLES["ink_regions"] = """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem WHERE l_partkey * 7 % 97 < 60),
+ a AS (SELECT pair_id, x, y FROM i WHERE o AND (x + y) % 5 <> 0), b AS (SELECT pair_id, x, y FROM i WHERE NOT o AND (x * y) % 7 <> 0), near(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)),
+ d AS (SELECT *, 'removed' AS state FROM (FROM a EXCEPT SELECT pair_id, x + i, y + j FROM b, near) UNION ALL SELECT *, 'added' FROM (FROM b EXCEPT SELECT pair_id, x + i, y + j FROM a, near)),
+ r(pair_id, x, y, u, v) AS (SELECT pair_id, x, y, x, y FROM d UNION SELECT r.pair_id, r.x, r.y, d.x, d.y FROM r JOIN d ON d.pair_id = r.pair_id AND abs(d.x - u) <= 1 AND abs(d.y - v) <= 1),
+ l AS (SELECT pair_id, x, y, min(v * 1000 + u) AS region FROM r GROUP BY ALL),
+ q AS (SELECT pair_id, region, min(x) AS x, min(y) AS y, max(x) AS x1, max(y) AS y1, count(*) AS area FROM l GROUP BY ALL HAVING count(*) >= 2),
+ c AS (SELECT q.pair_id, q.x, q.y, x1 - q.x + 1 AS w, y1 - q.y + 1 AS h, area, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'added') AS added FROM q JOIN d ON d.pair_id = q.pair_id AND d.x BETWEEN q.x AND x1 AND d.y BETWEEN q.y AND y1 GROUP BY q.pair_id, region, q.x, q.y, x1, y1, area)
+ SELECT *, CASE WHEN removed > 0.2 * added AND added > 0.2 * removed THEN 'modified' WHEN added > 0.2 * removed THEN 'added' ELSE 'removed' END AS kind FROM c"""
