@@ -34,7 +34,7 @@ from quillset.llm.textkernel import U64, Poly, flat, mix, slices
 
 WINDOW, GRAM = 100, 28
 SPAN = WINDOW - GRAM + 1
-#: Kinds of runs of one anchor that a single task sorts; more are dealt out by window hash.
+#: Kinds of runs of one anchor that a single task sorts; beyond, windows are dealt out by hash, about so many a deal.
 HOT_KINDS = 2_000
 LOW = U64(0xFFFFFFFF)
 
@@ -121,13 +121,13 @@ def meet_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     known = table.filter(table["known"])
     yield from known.select(["key", "doc_id", "lo", "n", "off"]).append_column("split", pa.nulls(known.num_rows, pa.int32())).to_batches()
     table = table.filter(pa.compute.invert(table["known"]))
-    anchor, cover, doc, lo = (table[c].to_numpy() for c in ("key", "cover", "doc_id", "lo"))
+    anchor, cover, doc, lo, n = (table[c].to_numpy() for c in ("key", "cover", "doc_id", "lo", "n"))
     order, first = first_of_kind(anchor, cover, doc, lo)
     cut = bounds(anchor[order])
-    kinds = np.add.reduceat(first.astype(np.int64), cut[:-1]) if len(order) else np.zeros(0, np.int64)
-    kinds = np.repeat(kinds, np.diff(cut))
+    kinds, windows = (np.repeat(np.add.reduceat(x, cut[:-1]) if len(order) else x, np.diff(cut)) for x in (first.astype(np.int64), np.where(first, n[order], 0).astype(np.int64)))
     keep = ~first | (kinds > 1)
-    split = pa.array(np.where(first, -(-kinds // HOT_KINDS), 0)[keep].astype(np.int32), mask=~first[keep])
+    deals = np.where(kinds > HOT_KINDS, -(-windows // HOT_KINDS), 1)
+    split = pa.array(deals[keep].astype(np.int32), mask=~first[keep])
     yield from table.select(["key", "doc_id", "lo", "n", "off"]).take(pa.array(order[keep])).append_column("split", split).to_batches()
 
 
