@@ -66,10 +66,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, least_docs: int = 4, least_z: float = 4.0, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, factor_decay: float = 3e-3, dropout: float = 0.3, least_docs: int = 4, least_z: float = 4.0, seed: int = 5) -> Machine:
     """Fit on term lists and 0/1 labels; ``prior`` is the share of ones where the rows were sampled from.
 
-    Terms that fewer than ``least_docs`` rows hold, or whose rate among ones differs from
+    Each step hears a term with probability 1 - ``dropout``, so that one strong term is
+    enough where most texts hold several, and factors decay faster than weights, so that
+    pairs only say what single terms don't. Terms that fewer than ``least_docs`` rows hold, or whose rate among ones differs from
     the mean by under ``least_z`` standard errors, aren't used. With one class only, the
     machine is its bias.
     """
@@ -102,9 +104,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
             lengths = first[chunk + 1] - first[chunk]
             t = term[np.repeat(first[chunk] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
             r = np.repeat(np.arange(len(chunk)), lengths)
+            heard = rng.random(len(t)) >= dropout
+            t, r = t[heard], r[heard]
             machine.bias, machine.weight, machine.factor = bias, parameters[:, 0], parameters[:, 1:]
             error = sigmoid(machine.raw(r, t, len(chunk))) - label[chunk]
-            gradient = decay * parameters
+            gradient = parameters * np.r_[decay, np.full(factors, factor_decay)]
             v = machine.factor[t]
             total = np.stack([np.bincount(r, weights=v[:, f], minlength=len(chunk)) for f in range(factors)], axis=1)
             e = error[r] / len(chunk)
