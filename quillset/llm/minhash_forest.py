@@ -32,6 +32,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 WINDOW = 32
 #: Sketch agreement out of 128 that a pair needs: 0.7, where similarity 0.8 gives 0.85 +- 0.03.
 SKETCH_MATCH = 90
+#: Rows of the sorted trees that a task holds, about.
+FOREST_ROWS = 2_000_000
 #: Texts of a candidate group that one task compares.
 BLOCK = 400
 
@@ -130,7 +132,7 @@ def forest_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     rows = tree_rows(reps)
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), TREES * reps.count() // FOREST_ROWS)
     found = materialise(rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(forest_links, "src long, dst long, tag binary"), "forest")
     ends = found.where("tag is not null")
     heads = ends.groupBy("tag").agg(F.min("src").alias("head"))

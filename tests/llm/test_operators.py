@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillset.llm import decontaminate, embed_dedup, line_dedup, minhash_forest, mixing, queries, suffix_dedup, token_count, toxicity, url_filter, warc_revisit
 from quillset.llm.components import components
 
+LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -284,3 +285,74 @@ def test_pipeline(spark):
         assert after.columns == docs.columns
         docs = spark.createDataFrame(after.toArrow())
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} <= {r.doc_id for r in docs.collect()}
+
+
+def plain_lines(docs):
+    strip = lambda line: line.strip(" \t\n\v\f\r").translate(LOWER)
+    holders: dict = {}
+    for i, t in docs.items():
+        for line in (t or "").split("\n"):
+            holders.setdefault(strip(line), set()).add(i)
+    lost = lambda i, line: len(k := strip(line)) >= 20 and len(holders[k]) >= 3 and i != max(holders[k])
+    return {i: t if t is None else "\n".join(line for line in t.split("\n") if not lost(i, line)) for i, t in docs.items()}
+
+
+def plain_near(docs, size, percent):
+    ids = sorted(docs)
+    sets = []
+    for i in ids:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (docs[i] or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set())
+    links = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return {ids[k] for k, r in enumerate(roots(len(ids), links)) if r == k}
+
+
+def plain_leaks(docs, items):
+    """Documents in which an item aligns over the whole text, without any seeds."""
+    split = lambda t: [abs(hash(w)) + 2 for w in re.findall(r"[^\W_]+", (t or "").translate(LOWER))]
+    out = set()
+    for i, t in docs.items():
+        text = np.array([split(t)], np.uint64)
+        for item in items:
+            a = np.array([split(item)], np.uint64)
+            n = a.shape[1]
+            if n >= decontaminate.SEED and text.shape[1] and decontaminate.align(a, np.array([n]), text)[0] >= max(n, 2 * min(n, decontaminate.LEAST_MATCHES)):
+                out.add(i)
+                break
+    return out
+
+
+def plain_mix(docs, source):
+    mass: dict = {}
+    for i, t in docs.items():
+        mass[source[i]] = mass.get(source[i], 0) + max(len((t or "").encode()), 1)
+    total, weight = sum(mass.values()), sum(m**0.7 for m in mass.values())
+    out = []
+    for i, t in docs.items():
+        rate = mass[source[i]] ** 0.7 / weight * total / mass[source[i]]
+        assert rate <= mixing.MAX_PIECE
+        u = int(hashlib.md5(f"20240901|{i}|1".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, np.exp(-rate)
+        c = p
+        while c <= u:
+            k, p = k + 1, p * rate / (k + 1)
+            c += p
+        out += [(i, t, copy) for copy in range(1, k + 1)]
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() against plain loops; only the learned verdict on toxicity is taken from the model."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    source = {r.doc_id: r.source for r in table.collect()}
+    toxic = {r.doc_id for r in toxicity.toxicity(table, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    docs = plain_lines({r.doc_id: r.text for r in table.collect() if r.doc_id not in toxic})
+    kept = plain_near(docs, 5, 80)
+    docs = {i: t for i, t in docs.items() if i in kept}
+    leaked = plain_leaks(docs, [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    expected = plain_mix({i: t for i, t in docs.items() if i not in leaked}, source)
+    assert sorted((r.doc_id, r.text, r["copy"]) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(expected)
+    assert leaked and len(kept) < len(source) - len(toxic)
