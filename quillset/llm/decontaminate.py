@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Items are word sequences (letter or digit runs, A-Z lower-cased). Their n-grams are seeds; how
-many documents hold each is counted over the whole corpus, and an item keeps its rare
-ones: those not far above its own lower quartile, so that an item that leaked into
-thousands of documents keeps seeds too. A seed in a document opens the window in which
-that item could lie, and the local alignment of item and window (match 2, mismatch and
-gap -1) scores copies with substituted, dropped or inserted words.
+Items are word sequences (letter or digit runs, A-Z lower-cased). Their n-grams are seeds, however
+many documents hold them. A seed in a document opens the window in which that item could lie.
+Common seeds open many windows, so a window is first given the most that its words could
+score; those that can't reach the limit are left, which loses nothing. The local alignment of item
+and window (match 2, mismatch and gap -1) scores the others: copies with substituted, dropped or
+inserted words.
 
 Items are handed to executors in chunks of a checked size; more items mean more passes.
 """
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillset.llm.groups import bounds
-from quillset.llm.textkernel import ALNUM, U64, Poly, distinct, flat, shingles, slices, words
+from quillset.llm.textkernel import ALNUM, U64, Poly, flat, shingles, slices, words
 
 SEED = 3
 #: Item words that one pass hands to every executor: 8 bytes each, and as much for seeds.
 MAX_WORDS = 2_000_000
-#: A seed is rare up to this many documents, or this share of them, or so many times its item's lower quartile.
-RARE_DOCS, RARE_SHARE, RARE_TIMES = 3, 2e-5, 4
+#: Hits that are expanded to their items at a time, and cells of a batch of windows.
+MAX_HITS, MAX_CELLS = 1_000_000, 4_000_000
 #: Matching words that an alignment needs, or all of a shorter item.
 LEAST_MATCHES = 8
 
@@ -43,9 +43,6 @@ class Items:
     seed_item: np.ndarray
     seed_at: np.ndarray
 
-    def thinned(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.first, self.word, self.seed[keep], self.seed_item[keep], self.seed_at[keep])
-
     def table(self) -> np.ndarray:
         """A first test of hashes by their low 16 bits."""
         out = np.zeros(1 << 16, dtype=bool)
@@ -72,40 +69,6 @@ def seed_hits(value: np.ndarray, seeds: np.ndarray, table: np.ndarray) -> tuple[
     return maybe[hit], at[hit]
 
 
-def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """Number of documents that hold each seed: added up in each batch, then by Spark."""
-    shared = docs.sparkSession.sparkContext.broadcast((items.seed, items.table()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, table = shared.value
-        poly = Poly(31)
-        for batch in batches:
-            total = np.zeros(len(seeds), np.int64)
-            data, offsets = flat(batch.column(0))
-            for a, b in slices(offsets):
-                doc, _, _, word = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], poly, ALNUM)
-                doc, value = shingles(doc, word, SEED, False, b - a)
-                place, at = seed_hits(value, seeds, table)
-                _, at = distinct(doc[place], at)
-                total += np.bincount(at, minlength=len(seeds))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.seed), np.int64)
-    out[counted["seed"].to_numpy()] = counted["n"].to_numpy()
-    return out[np.searchsorted(items.seed, items.seed)]
-
-
-def rare(items: Items, count: np.ndarray, n_docs: int) -> np.ndarray:
-    order = np.lexsort((count, items.seed_item))
-    cut = np.searchsorted(items.seed_item[order], np.arange(len(items.ids) + 1))
-    size = np.diff(cut)
-    quarter = np.zeros(len(items.ids), np.int64)
-    quarter[size > 0] = count[order][(cut[:-1] + size // 4)[size > 0]]
-    return count <= np.maximum(max(RARE_DOCS, RARE_SHARE * n_docs), RARE_TIMES * quarter[items.seed_item])
-
-
 def align(item: np.ndarray, item_len: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Best local alignment score of each row of item (padded by 0) with its row of text (padded by 1).
 
@@ -126,37 +89,75 @@ def align(item: np.ndarray, item_len: np.ndarray, text: np.ndarray) -> np.ndarra
     return best
 
 
-def alignments(items: Items, doc: np.ndarray, word: np.ndarray, value_doc: np.ndarray, value: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text index, item index, best score) for all texts of a slice that hold seeds."""
-    place, at = seed_hits(value, items.seed, table)
+def padded(items: Items, item: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Word hashes of each item in a row of their own, padded by 0."""
+    a = np.arange(int(length.max()))
+    return np.where(a < length[:, None], items.word[np.minimum(items.first[item, None] + a, len(items.word) - 1)], U64(0))
+
+
+def ceilings(left: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, values: np.ndarray, spots: np.ndarray, n: int) -> np.ndarray:
+    """The most that align() can give for each row of left (see padded()) in words lo to hi of a text of ``n`` words.
+
+    A word of the item that stands in the window can match (2), another one costs 1 if the
+    alignment passes it: the best run of such a sum is never under the alignment's score.
+    values are the text's distinct words and spots their rank * n + place, both sorted.
+    """
+    rank = np.minimum(np.searchsorted(values, left), len(values) - 1)
+    at = np.searchsorted(spots, rank * n + lo[:, None])
+    there = (values[rank] == left) & (spots[np.minimum(at, len(spots) - 1)] < rank * n + hi[:, None]) & (at < len(spots))
+    there &= np.arange(left.shape[1]) < length[:, None]
+    now = np.zeros(len(left), np.int64)
+    best = now
+    for i in range(left.shape[1]):
+        now = np.maximum(now + np.where(there[:, i], 2, -1), 0)
+        best = np.maximum(best, now)
+    return best
+
+
+def windows(items: Items, doc: np.ndarray, value_doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text index, item index, first word, end) of the distinct windows that seed hits open, a bounded number of hits at a time."""
     # a hash may be the seed of several items
-    many = np.searchsorted(items.seed, items.seed[at], side="right") - at if len(at) else at
-    place = np.repeat(place, many)
-    at = np.repeat(at, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
-    row, item = value_doc[place], items.seed_item[at]
-    length = np.diff(items.first)[item]
-    begin = np.searchsorted(doc, row)
-    inner = place - np.searchsorted(value_doc, row)
-    bucket = (inner - items.seed_at[at]) // length
-    key = np.unique(np.stack([row, item, bucket], axis=1), axis=0)
-    row, item, bucket = key.T
-    begin, end = np.searchsorted(doc, row), np.searchsorted(doc, row, side="right")
-    length = np.diff(items.first)[item]
-    slack = length // 4 + 5
-    lo = np.maximum(begin + bucket * length - slack, begin)
-    hi = np.minimum(begin + (bucket + 2) * length + slack, end)
-    score = np.zeros(len(row), np.int64)
-    order = np.argsort(length, kind="stable")
-    most = max(1, 4_000_000 // int(3 * length.max() + 10))
-    for i in range(0, len(order), most):
-        j = order[i : i + most]
-        m, n = int(length[j].max()), int((hi - lo)[j].max())
-        a, b = np.arange(m), np.arange(n)
-        left = np.where(a < length[j, None], items.word[np.minimum(items.first[item[j], None] + a, len(items.word) - 1)], U64(0))
-        right = np.where(b < (hi - lo)[j, None], word[np.minimum(lo[j, None] + b, len(word) - 1)], U64(1))
-        score[j] = align(left, length[j], right)
+    many = np.searchsorted(items.seed, items.seed[at], side="right") - at
+    part = np.cumsum(many) // MAX_HITS
+    cut = bounds(part)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        m = many[a:b]
+        here = np.repeat(place[a:b], m)
+        seed = np.repeat(at[a:b], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+        row, item = value_doc[here], items.seed_item[seed]
+        length = np.diff(items.first)[item]
+        bucket = (here - np.searchsorted(value_doc, row) - items.seed_at[seed]) // length
+        row, item, bucket = np.unique(np.stack([row, item, bucket], axis=1), axis=0).T
+        begin, end = np.searchsorted(doc, row), np.searchsorted(doc, row, side="right")
+        length = np.diff(items.first)[item]
+        slack = length // 4 + 5
+        yield row, item, np.maximum(begin + bucket * length - slack, begin), np.minimum(begin + (bucket + 2) * length + slack, end)
+
+
+def alignments(items: Items, need: np.ndarray, doc: np.ndarray, word: np.ndarray, value_doc: np.ndarray, value: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text index, item index, best score) for all texts of a slice that hold seeds, where the score reaches the item's ``need``."""
+    place, at = seed_hits(value, items.seed, table)
+    found = [(np.zeros(0, np.int64),) * 3]
+    if len(at):
+        values, rank = np.unique(word, return_inverse=True)
+        spots = np.sort(rank * len(word) + np.arange(len(word)))
+    for row, item, lo, hi in windows(items, doc, value_doc, place, at):
+        length = np.diff(items.first)[item]
+        order = np.argsort(length, kind="stable")
+        most = max(1, MAX_CELLS // int(3 * length.max() + 10))
+        for i in range(0, len(order), most):
+            j = order[i : i + most]
+            left = padded(items, item[j], length[j])
+            able = ceilings(left, length[j], lo[j], hi[j], values, spots, len(word)) >= need[item[j]]
+            j, left = j[able], left[able]
+            if not len(j):
+                continue
+            b = np.arange(int((hi - lo)[j].max()))
+            right = np.where(b < (hi - lo)[j, None], word[np.minimum(lo[j, None] + b, len(word) - 1)], U64(1))
+            score = align(left, length[j], right).astype(np.int64)
+            good = score >= need[item[j]]
+            found.append((row[j][good], item[j][good], score[good]))
+    row, item, score = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((-score, item, row))
     row, item, score = row[order], item[order], score[order]
     first = bounds(row, item)[:-1]
@@ -173,6 +174,7 @@ def matcher(items: Items, least: float, spark):
         table = known.table()
         data, offsets = flat(texts)
         size = np.diff(known.first)
+        need = np.maximum(2 * least * size, 2 * np.minimum(size, LEAST_MATCHES))
         count = np.zeros(len(texts), np.int64)
         ids, scores = [], []
         for a, b in slices(offsets):
@@ -180,11 +182,10 @@ def matcher(items: Items, least: float, spark):
                 break
             doc, _, _, word = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], poly, ALNUM)
             value_doc, value = shingles(doc, word, SEED, False, b - a)
-            row, item, score = alignments(known, doc, word, value_doc, value, table)
-            good = (score >= 2 * least * size[item]) & (score >= 2 * np.minimum(size[item], LEAST_MATCHES))
-            count[a:b] = np.bincount(row[good], minlength=b - a)
-            ids.append(known.ids[item[good]])
-            scores.append(score[good] / (2 * size[item[good]]))
+            row, item, score = alignments(known, need, doc, word, value_doc, value, table)
+            count[a:b] = np.bincount(row, minlength=b - a)
+            ids.append(known.ids[item])
+            scores.append(score / (2 * size[item]))
         ids, scores = (np.concatenate(x) if x else np.zeros(0) for x in (ids, scores))
         pairs = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)), pa.array(scores.astype(np.float64))], ["item_id", "score"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pairs)
@@ -203,7 +204,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, max
     spark = docs.sparkSession
     known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_docs = docs.count()
     found = F.array().cast("array<struct<item_id: long, score: double>>")
     chunks = -(-total // (2 * max_words)) or 1
     for c in range(chunks):
@@ -211,7 +211,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, max
         items = pack([r.item_id for r in rows], [r.text for r in rows])
         if not len(items.seed):
             continue
-        items = items.thinned(rare(items, seed_counts(docs, items), n_docs))
         found = F.concat(found, matcher(items, least, spark)(F.coalesce(F.col("text").cast("string"), F.lit("")))) if chunks > 1 else matcher(items, least, spark)(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.withColumn("leaks", found)
 

@@ -187,6 +187,33 @@ def test_decontaminate(spark):
     assert chunked == got
 
 
+def test_decontaminate_keeps_seeds_of_repeated_partial_copies(spark):
+    """An edited copy and a bit over half of an item, each in many documents: no seed may be given up for its count."""
+    docs, expected = [], set()
+    items = {}
+    for i, copies in enumerate((4, 50, 1000)):
+        for part in range(2):
+            item = [f"w{i}x{part}x{k}" for k in range(24)]
+            items[2 * i + part] = " ".join(item)
+            text = " ".join(item[:13] if part else [w if k not in (8, 16) else f"other{k}" for k, w in enumerate(item)])
+            expected |= {(len(docs) + c, 2 * i + part) for c in range(copies)}
+            docs += [f"before {text} after"] * copies
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(make(spark, docs), bench).collect()} == expected
+
+
+def test_decontaminate_ceilings_are_never_under_the_alignment():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        m, n = rng.integers(1, 9), rng.integers(1, 15)
+        item, text = rng.integers(2, 9, m).astype(np.uint64), rng.integers(2, 9, n).astype(np.uint64)
+        lo, hi = np.sort(rng.integers(0, n + 1, 2))
+        values, rank = np.unique(text, return_inverse=True)
+        most = decontaminate.ceilings(item[None], np.array([m]), np.array([lo]), np.array([hi]), values, np.sort(rank * n + np.arange(n)), n)[0]
+        assert most >= (decontaminate.align(item[None], np.array([m]), text[None, lo:hi])[0] if hi > lo else 0)
+        assert most == 0 or np.isin(item, text[lo:hi]).any()
+
+
 def test_align_equals_plain_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(30):
