@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillset.functions.measures import iou, overlap
 from quillset.operators.folds import fold
+from quillset.operators.matching import assign
 
 
 def split_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +29,43 @@ def text_singletons(items: DataFrame, move_px: float = 3.9) -> DataFrame:
     return both.select("pair_id", "text", state.alias("state"), F.round(distance, 6).alias("distance"))
 
 
+def pair_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of least total distance between the old and new items of one group, as many as the smaller side has; then the items left over."""
+    pdf = pdf.sort_values("item_id")
+    old, new = pdf[pdf["side"] == "old"], pdf[pdf["side"] == "new"]
+    cost = np.hypot(old["x"].to_numpy()[:, None] - new["x"].to_numpy(), old["y"].to_numpy()[:, None] - new["y"].to_numpy())
+    pairs = assign(cost) if len(old) <= len(new) else [(i, j) for j, i in assign(cost.T)]
+    i, j = (np.array(side, int) for side in zip(*pairs, strict=True))
+    alone_old, alone_new = np.delete(old["item_id"].to_numpy(), i), np.delete(new["item_id"].to_numpy(), j)
+    rows = [*zip(old["item_id"].to_numpy()[i], new["item_id"].to_numpy()[j], cost[i, j], strict=True), *((o, None, None) for o in alone_old), *((None, n, None) for n in alone_new)]
+    out = pd.DataFrame(rows, columns=["old_id", "new_id", "distance"])
+    return out.astype({"old_id": "Int64", "new_id": "Int64", "distance": "Float64"}).assign(pair_id=pdf["pair_id"].iloc[0], text=pdf["text"].iloc[0])
+
+
+def text_repeats(items: DataFrame, move_px: float = 3.9) -> DataFrame:
+    """pair_id, text, old_id, new_id, state, distance for every item whose text stands more than once on a side: the rest of text_singletons().
+
+    Equal texts are paired by least total distance. Items at the same place are paired first, by
+    aggregation: by the triangle inequality a least total holds such pairs. What is left is assigned group by
+    group where both sides have some; an item without text or place pairs with none.
+    """
+    key = ["pair_id", "text"]
+    most = items.groupBy(*key, "side").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("n")).where("n > 1").select(F.col("pair_id").alias("p"), F.col("text").alias("t"))
+    rows = items.join(most, F.col("pair_id").eqNullSafe(F.col("p")) & F.col("text").eqNullSafe(F.col("t")), "left_semi").select(*key, "side", F.col("item_id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
+    placed = F.col("pair_id").isNotNull() & F.col("text").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    nth = rows.where(placed).withColumn("r", F.row_number().over(Window.partitionBy(*key, "side", "x", "y").orderBy("item_id")))
+    at = nth.groupBy(*key, "x", "y", "r").agg(*(F.max(F.when(F.col("side") == s, F.col("item_id"))).alias(f"{s}_id") for s in ("old", "new")))
+    same = at.where("old_id is not null and new_id is not null").select(*key, "old_id", "new_id", F.lit(0.0).alias("distance"))
+    left = at.where("old_id is null or new_id is null").select(*key, F.when(F.col("old_id").isNull(), "new").otherwise("old").alias("side"), F.coalesce("old_id", "new_id").alias("item_id"), "x", "y")
+    both = left.groupBy(*key).agg(F.count_distinct("side").alias("n")).where("n = 2").select(*key)
+    kinds = dict(items.dtypes)
+    near = left.join(both, key, "left_semi").groupBy(*key).applyInPandas(pair_nearest, f"pair_id {kinds['pair_id']}, text string, old_id long, new_id long, distance double")
+    lone = left.join(both, key, "left_anti").select(*key, "side", "item_id").unionByName(rows.where(~placed).select(*key, "side", "item_id"))
+    lone = lone.select(*key, *(F.when(F.col("side") == s, F.col("item_id")).alias(f"{s}_id") for s in ("old", "new")), F.lit(None).cast("double").alias("distance"))
+    state = F.when(F.col("old_id").isNull(), "new_only").when(F.col("new_id").isNull(), "old_only").when(F.col("distance") <= move_px, "unchanged").otherwise("moved")
+    return same.unionByName(near).unionByName(lone).select(*key, "old_id", "new_id", state.alias("state"), F.round("distance", 6).alias("distance"))
+
+
 def renumbering(edits: DataFrame, least: int = 4) -> DataFrame:
     """Pairs whose tag edits are one bulk renumbering: all parse, one offset, one prefix pair, one to one."""
     parts = edits

@@ -275,6 +275,11 @@ def text_unchanged_moved(spark, d):
     return compare.text_singletons(_items(spark, d))
 
 
+@query
+def text_repeats_paired(spark, d):
+    return compare.text_repeats(_items(spark, d))
+
+
 @query
 def renumbering_detect(spark, d):
     pairs = _items(spark, d).groupBy("pair_id", "item_id").agg(F.max(F.when(F.col("side") == "old", F.col("text"))).alias("old_text"), F.max(F.when(F.col("side") == "new", F.col("text"))).alias("new_text")).where("old_text <> new_text and item_id % 6 <> 2")

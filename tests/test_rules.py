@@ -87,6 +87,38 @@ def test_assignment_is_optimal():
         assert sum(cost[i, j] for i, j in matching.assign(cost)) == pytest.approx(best)
 
 
+def test_every_text_item_has_a_state(spark):
+    """Texts that stand several times on a side are paired by least total distance; with the singletons, no item is left out."""
+    rng = np.random.default_rng(8)
+    rows, i = [], 0
+    for pair in range(3):
+        for text, n in (("a", (3, 3)), ("b", (2, 4)), ("c", (4, 1)), ("d", (0, 3)), ("e", (2, 0)), ("f", (1, 1)), ("g", (1, 0))):
+            for side, k in zip(("old", "new"), n, strict=True):
+                for _ in range(k):
+                    rows.append((pair, side, i, text, *(float(v) for v in rng.integers(0, 4, 2) * 10)))
+                    i += 1
+    rows += [(0, "old", i, None, 1.0, 1.0), (0, "old", i + 1, None, 1.0, 1.0), (0, "new", i + 2, None, 1.0, 1.0), (0, "old", i + 3, "h", None, 1.0), (0, "old", i + 4, "h", 5.0, 1.0), (0, "new", i + 5, "h", 5.0, 3.0)]
+    items = spark.createDataFrame(rows, "pair_id long, side string, item_id long, text string, x double, y double").repartition(3)
+    got = compare.text_repeats(items).collect()
+    single = {(r.pair_id, r.text) for r in compare.text_singletons(items).collect()}
+    place = {r[2]: r for r in rows}
+    assert sorted(x for r in got for x in (r.old_id, r.new_id) if x is not None) == sorted(r[2] for r in rows if (r[0], r[3]) not in single)
+    for r in got:
+        if r.old_id is None or r.new_id is None:
+            assert (r.state, r.distance) == ("new_only" if r.old_id is None else "old_only", None)
+        else:
+            o, n = place[r.old_id], place[r.new_id]
+            assert o[:1] + o[3:4] == n[:1] + n[3:4] == (r.pair_id, r.text) and o[1] == "old" and n[1] == "new"
+            assert r.distance == pytest.approx(np.hypot(o[4] - n[4], o[5] - n[5]), abs=1e-6) and r.state == ("unchanged" if r.distance <= 3.9 else "moved")
+    for pair in range(3):
+        for text in "abcde":
+            old, new = ([r[4:] for r in rows if r[:2] == (pair, s) and r[3] == text] for s in ("old", "new"))
+            few, many = sorted((old, new), key=len)
+            best = min(sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(few, p, strict=True)) for p in itertools.permutations(many, len(few)))
+            pairs = [r.distance for r in got if (r.pair_id, r.text) == (pair, text) and r.distance is not None]
+            assert len(pairs) == len(few) and sum(pairs) == pytest.approx(best, abs=1e-4)
+
+
 def test_indel_ratio():
     assert matching.indel_ratio("abc", "abc") == 100.0
     assert matching.indel_ratio("abcd", "abxd") == pytest.approx(75.0)
