@@ -4,7 +4,8 @@ Each document of source s is repeated Poisson(rate_s) times, rate_s = weight_s *
 budget / mass_s, where mass is UTF-8 bytes. The draw inverts the Poisson distribution
 at a uniform number hashed from (seed, doc_id), so it's the same on every run and for
 every partitioning. Rates over MAX_PIECE are a sum of equally small Poisson draws, each
-with its own hash, which has the same distribution and never underflows.
+with its own hash, which has the same distribution and never underflows; that is one draw
+for some MAX_PIECE copies, so drawing never costs more than the copies do.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillset.functions import let
 from quillset.llm.storage import materialise
 
 MAX_PIECE = 16.0
@@ -69,9 +71,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     ``mix_key`` (string, hexadecimal): rows are in random order, which is the order of
     ``mix_key`` in each of the hash partitions they are dealt to. A null source is a
     source of its own (weight 0 where weights are given); a null or empty text has a
-    mass of one byte. Rows with equal doc_id are drawn alike; a null doc_id is hashed
-    as an empty string. An empty table gives an empty table. Columns named as the three
-    new ones are replaced.
+    mass of one byte. Rows with equal doc_id are drawn alike; a row without doc_id
+    is drawn by its text. Texts of any length pass through unread but for their bytes. An empty
+    table gives an empty table. Columns named as the three new ones are replaced.
     """
     docs = docs.drop("copy", "rate", "mix_key")
     rates = materialise(source_rates(docs, weights, temperature, epochs), "rates")
@@ -80,14 +82,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         known = F.broadcast(known)
     joined = docs.join(known, F.col("source").eqNullSafe(F.col("__source")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
     def draw(j: Column) -> Column:
-        u = uniform(F.lit(seed), F.col("doc_id"), j)
-        return F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
-
-    times = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, j: acc + draw(j))
-    repeated = joined.withColumn("__times", times).where("__times > 0")
-    copies = repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+        # the number is worked out once and not for each term that it's compared with
+        return let(uniform(F.lit(seed), name, j), lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
+
+    more = F.when(F.col("__pieces") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(F.col("__pieces"), F.lit(2))), F.lit(0), lambda acc, j: acc + draw(j))).otherwise(0)
+    repeated = joined.withColumn("__times", draw(F.lit(1)) + more)
+    # the outer form keeps Catalyst from drawing again in a filter below the explode
+    copies = repeated.withColumn("copy", F.explode_outer(F.when(F.col("__times") > 0, F.sequence(F.lit(1), F.col("__times"))))).where("copy is not null")
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), name, F.col("copy").cast("string")))
     out = copies.withColumn("mix_key", key).select(*docs.columns, "copy", "rate", "mix_key")
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
