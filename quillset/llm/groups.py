@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -18,7 +19,7 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         change = np.zeros(batch.num_rows - 1, dtype=bool)
         for k in keys:
             column = batch.column(batch.schema.get_field_index(k))
-            change |= ~np.asarray(pa.compute.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+            change |= ~np.asarray(pc.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
         cuts = np.flatnonzero(change) + 1
         if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != batch.column(batch.schema.get_field_index(k))[0].as_py() for k in keys):
             yield pa.Table.from_batches(held)
@@ -32,6 +33,19 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def gathered(tables: Iterable[pa.Table], least_rows: int = 50_000) -> Iterator[pa.Table]:
+    """Consecutive tables joined until they have ``least_rows``, so that each call on them has some work."""
+    held, n = [], 0
+    for table in tables:
+        held.append(table)
+        n += table.num_rows
+        if n >= least_rows:
+            yield pa.concat_tables(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def bounds(*columns: np.ndarray) -> np.ndarray:
     """Start of each run of equal values, and the end."""
     n = len(columns[0])

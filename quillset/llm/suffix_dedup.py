@@ -5,16 +5,18 @@ doc_id, or the same document further left). Windows that are equal choose the sa
 anchor, the k-gram of the smallest hash among those inside (rightmost if tied), so they
 meet under the anchor's hash wherever they stand:
 
-1. Scan: the run of windows that choose one anchor is a row: anchor hash, hash of all the
-   bytes the run covers, document, place. Equal runs met in one batch leave only their
-   first as a row; the others are already known to repeat.
-2. By anchor: a run equal to an earlier one repeats as a whole. Where an anchor has
-   different runs, the first of each kind asks for its bytes.
+1. Scan: the run of windows that choose one anchor is a row: anchor hash, two hashes of all the
+   bytes the run covers, document, place. Equal runs met in one batch are compared byte for
+   byte; they're known to repeat and leave as merged ranges, so only the first of each kind
+   in a batch travels with its hashes. An anchor that very many documents share thereby has
+   at most as many rows as there are batches, for each kind of run.
+2. By anchor: a run equal to an earlier one repeats as a whole (128 bits of cover hash and the
+   anchor agree). Where an anchor has different runs, the first of each kind asks for its bytes.
 3. Those bytes, fetched by a join, are grouped by anchor and their windows sorted as
    suffixes: a mergesort whose comparisons find the common extension by binary search on
    prefix hashes. Neighbours that agree for a whole window are equal, which is confirmed
-   on the bytes; all but the earliest repeat. Anchors with very many kinds of runs are
-   dealt out by the windows' own hashes.
+   on the bytes; all but the earliest repeat. Should hashes collide, that part is sorted by its
+   bytes instead. Anchors with very many kinds of runs are dealt out by the windows' own hashes.
 4. Repeated windows are gathered by document and cut out.
 """
 
@@ -25,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillset.llm.groups import bounds
+from quillset.llm.groups import bounds, gathered, sorted_groups
 from quillset.llm.storage import materialise
 from quillset.llm.textkernel import U64, Poly, flat, mix, slices
 
@@ -47,14 +50,14 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - size)], key[width - size :]) if width > size else key
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, gram: Poly, cover: Poly) -> tuple[np.ndarray, ...]:
-    """(text index, anchor hash, cover hash, first window, windows, anchor place) of each run; places are within the slice."""
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, gram: Poly, cover: Poly, second: Poly) -> tuple[np.ndarray, ...]:
+    """(text index, anchor hash, cover hash, second cover hash, first window, windows, anchor place) of each run; places are within the slice."""
     n = len(data)
     sizes = np.diff(offsets)
     long = np.flatnonzero(sizes >= WINDOW)
     none = np.zeros(0, np.int64)
     if not len(long):
-        return none, none.astype(U64), none.astype(U64), none, none, none
+        return none, none.astype(U64), none.astype(U64), none.astype(U64), none, none, none
     prefix = gram.prefix(data)
     gram.reserve(n + 1)
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * gram.inverses[: n - GRAM + 1])
@@ -69,27 +72,41 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, gram: Poly, cover: Poly
     lo, count, at = start[cut[:-1]], np.diff(cut), chosen[cut[:-1]]
     doc = np.searchsorted(offsets, lo, side="right") - 1
     shape = ((at - lo).astype(U64) << U64(32)) ^ count.astype(U64)
-    whole = mix(cover.ranges(cover.prefix(data), lo, lo + count - 1 + WINDOW) ^ mix(shape))
-    return doc, grams[at], whole, lo, count, at
+    whole, other = (mix(p.ranges(p.prefix(data), lo, lo + count - 1 + WINDOW) ^ mix(shape)) for p in (cover, second))
+    return doc, grams[at], whole, other, lo, count, at
 
 
-def first_of_kind(anchor: np.ndarray, cover: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, whether the row is the first of its anchor and cover), by (anchor, cover, doc, lo)."""
-    order = np.lexsort((lo, doc, cover, anchor))
-    a, c = anchor[order], cover[order]
+def first_of_kind(anchor: np.ndarray, cover: np.ndarray, second: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether the row is the first of its anchor and cover), by (anchor, covers, doc, lo)."""
+    order = np.lexsort((lo, doc, second, cover, anchor))
     first = np.ones(len(order), dtype=bool)
-    first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    first[1:] = False
+    for x in (anchor[order], cover[order], second[order]):
+        first[1:] |= x[1:] != x[:-1]
     return order, first
 
 
-RUN_SCHEMA = "key long, cover long, doc_id long, lo int, n int, off int, known boolean"
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``size`` bytes at a and b are equal, a bounded number of bytes at a time."""
+    out = np.zeros(len(a), dtype=bool)
+    total = np.concatenate([[0], np.cumsum(size)])
+    for i, j in slices(total):
+        step = np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], size[i:j])
+        differs = data[np.repeat(a[i:j], size[i:j]) + step] != data[np.repeat(b[i:j], size[i:j]) + step]
+        wrong = np.concatenate([[0], np.cumsum(differs)])
+        out[i:j] = wrong[total[i + 1 : j + 1] - total[i]] == wrong[total[i:j] - total[i]]
+    return out
+
+
+RUN_SCHEMA = "key long, cover long, second long, doc_id long, lo int, n int, off int, known boolean"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Runs of all texts; those that repeat one of their batch are known already."""
+    """The first run of each kind in a batch, and merged ranges of windows known to repeat one of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, cover = Poly(41), Poly(42)
+        gram, cover, second = Poly(41), Poly(42), Poly(45)
+        names = ["key", "cover", "second", "doc_id", "lo", "n", "off", "known"]
         for batch in batches:
             data, offsets = flat(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -98,37 +115,55 @@ def scan(docs: DataFrame) -> DataFrame:
                 for a, b in slices(offsets[part[0] : part[1] + 1] - offsets[part[0]]):
                     a, b = a + part[0], b + part[0]
                     base = offsets[a : b + 1] - offsets[a]
-                    doc, anchor, whole, lo, count, at = anchored_runs(data[offsets[a] : offsets[b]], base, gram, cover)
-                    got.append((anchor, whole, ids[a:b][doc], lo - base[doc], count, at - lo))
-                anchor, whole, doc, lo, count, off = (np.concatenate(x) for x in zip(*got, strict=True))
-                order, first = first_of_kind(anchor, whole, doc, lo)
-                # known rows need no company: their key is spread by place
-                key = np.where(first, anchor[order], mix(doc[order].astype(U64) * U64(0x9E3779B97F4A7C15) + lo[order].astype(U64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(whole[order].view(np.int64)), pa.array(doc[order]), pa.array(lo[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), pa.array(off[order].astype(np.int32)), pa.array(~first)],
-                    ["key", "cover", "doc_id", "lo", "n", "off", "known"],
-                )
+                    doc, anchor, whole, other, lo, count, at = anchored_runs(data[offsets[a] : offsets[b]], base, gram, cover, second)
+                    got.append((anchor, whole, other, a + doc, lo - base[doc], count, at - lo))
+                anchor, whole, other, row, lo, count, off = (np.concatenate(x) for x in zip(*got, strict=True))
+                order, first = first_of_kind(anchor, whole, other, ids[row], lo)
+                head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+                # later runs in order of place; neighbours that repeat neighbours are one range
+                later, head = order[~first], head[~first]
+                by = np.lexsort((lo[later], row[later]))
+                later, head = later[by], head[by]
+                place = offsets[row] + lo
+                merged = np.ones(len(later), dtype=bool)
+                merged[1:] = (row[later[1:]] != row[later[:-1]]) | (row[head[1:]] != row[head[:-1]])
+                for x in (later, head):
+                    merged[1:] |= place[x[1:]] != place[x[:-1]] + count[x[:-1]]
+                cut = np.flatnonzero(merged)
+                n = np.add.reduceat(count[later], cut) if len(cut) else np.zeros(0, np.int64)
+                start = later[cut]
+                equal = same_bytes(data, place[start], place[head[cut]], n - 1 + WINDOW)
+                if not equal.all():
+                    # hashes that collide: these runs travel, under a hash of another family
+                    odd = later[np.repeat(~equal, np.diff(np.concatenate([cut, [len(later)]])))]
+                    for i in odd:
+                        whole[i] = np.frombuffer(hashlib.sha256(data[place[i] : place[i] + count[i] - 1 + WINDOW].tobytes()).digest()[:8], U64)[0]
+                    order, first = np.concatenate([order[first], odd]), np.ones(first.sum() + len(odd), dtype=bool)
+                    start, n = start[equal], n[equal]
+                mine = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[mine].view(np.int64), whole[mine].view(np.int64), other[mine].view(np.int64), ids[row[mine]], lo[mine].astype(np.int32), count[mine].astype(np.int32), off[mine].astype(np.int32), np.zeros(len(mine), bool))], names)
+                # known ranges need no company: their key is spread by place
+                key = mix(ids[row[start]].astype(U64) * U64(0x9E3779B97F4A7C15) + lo[start].astype(U64)).view(np.int64)
+                none = np.zeros(len(start), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, none, none, ids[row[start]], lo[start].astype(np.int32), n.astype(np.int32), none.astype(np.int32), np.ones(len(start), bool))], names)
 
     return docs.mapInArrow(run, RUN_SCHEMA)
 
 
 def meet_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated runs (split null), and the first of each kind where an anchor has several (split: how many ways to deal it)."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    known = table.filter(table["known"])
-    yield from known.select(["key", "doc_id", "lo", "n", "off"]).append_column("split", pa.nulls(known.num_rows, pa.int32())).to_batches()
-    table = table.filter(pa.compute.invert(table["known"]))
-    anchor, cover, doc, lo, n = (table[c].to_numpy() for c in ("key", "cover", "doc_id", "lo", "n"))
-    order, first = first_of_kind(anchor, cover, doc, lo)
-    cut = bounds(anchor[order])
-    kinds, windows = (np.repeat(np.add.reduceat(x, cut[:-1]) if len(order) else x, np.diff(cut)) for x in (first.astype(np.int64), np.where(first, n[order], 0).astype(np.int64)))
-    keep = ~first | (kinds > 1)
-    deals = np.where(kinds > HOT_KINDS, -(-windows // HOT_KINDS), 1)
-    split = pa.array(deals[keep].astype(np.int32), mask=~first[keep])
-    yield from table.select(["key", "doc_id", "lo", "n", "off"]).take(pa.array(order[keep])).append_column("split", split).to_batches()
+    for table in gathered(sorted_groups(batches, ["key"])):
+        known = table.filter(table["known"])
+        yield from known.select(["key", "doc_id", "lo", "n", "off"]).append_column("split", pa.nulls(known.num_rows, pa.int32())).to_batches()
+        table = table.filter(pc.invert(table["known"]))
+        anchor, cover, second, doc, lo, n = (table[c].to_numpy() for c in ("key", "cover", "second", "doc_id", "lo", "n"))
+        order, first = first_of_kind(anchor, cover, second, doc, lo)
+        cut = bounds(anchor[order])
+        kinds, windows = (np.repeat(np.add.reduceat(x, cut[:-1]) if len(order) else x, np.diff(cut)) for x in (first.astype(np.int64), np.where(first, n[order], 0).astype(np.int64)))
+        keep = ~first | (kinds > 1)
+        deals = np.where(kinds > HOT_KINDS, -(-windows // HOT_KINDS), 1)
+        split = pa.array(deals[keep].astype(np.int32), mask=~first[keep])
+        yield from table.select(["key", "doc_id", "lo", "n", "off"]).take(pa.array(order[keep])).append_column("split", split).to_batches()
 
 
 def repeats_here(data: np.ndarray, key: np.ndarray, h: np.ndarray, doc: np.ndarray, lo: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -251,57 +286,64 @@ class Suffixes:
             order, width = moved, width * 2
 
 
+def by_bytes(data: np.ndarray, start: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """What Suffixes.sort() gives, found by comparing whole windows."""
+    text = data[start[:, None] + np.arange(WINDOW)]
+    return np.lexsort((*text.T[::-1], np.repeat(np.arange(len(cut) - 1), np.diff(cut))))
+
+
+def equal_neighbours(data: np.ndarray, start: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the windows within their buckets, whether each but the first equals the one before)."""
+    suffixes = Suffixes(data)
+    order = suffixes.sort(start, cut)
+    inside = np.ones(max(len(start) - 1, 0), dtype=bool)
+    inside[cut[1:-1] - 1] = False
+    a, b = start[order[:-1]], start[order[1:]]
+    same = inside.copy()
+    same[inside] = suffixes.common(a[inside], b[inside]) == WINDOW
+    at = np.flatnonzero(same)
+    if not same_bytes(data, a[at], b[at], np.full(len(at), WINDOW)).all():
+        order = by_bytes(data, start, cut)
+        a, b = start[order[:-1]], start[order[1:]]
+        same = inside.copy()
+        same[inside] = same_bytes(data, a[inside], b[inside], np.full(int(inside.sum()), WINDOW))
+    return order, same
+
+
 def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that equal an earlier one of their anchor, as (doc_id, lo, n)."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    known = pa.compute.less(table["salt"], 0)
-    yield from table.filter(known).select(["doc_id", "lo", "n"]).to_batches()
-    table = table.filter(pa.compute.invert(known)).combine_chunks()
-    if not table.num_rows:
-        return
-    key, salt, doc, lo, n, off = (table[c].to_numpy().astype(np.int64) for c in ("key", "salt", "doc_id", "lo", "n", "off"))
-    order = np.lexsort((lo, doc, salt, key))
-    groups = bounds(key[order], salt[order])
-    data, ends = flat(table["bytes"])
-    group_bytes = np.concatenate([[0], np.cumsum((n[order] + WINDOW)[: groups[-1]])])[groups]
-    for ga, gb in slices(group_bytes, 1 << 22):
-        rows = order[groups[ga] : groups[gb]]
-        size = ends[rows + 1] - ends[rows]
-        begin = np.cumsum(size) - size
-        part = data[np.repeat(ends[rows] - begin, size) + np.arange(size.sum())]
-        step = np.arange(n[rows].sum()) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
-        row = np.repeat(np.arange(len(rows)), n[rows])
-        group = np.repeat(np.arange(gb - ga), np.diff(groups[ga : gb + 1]))
-        # the distance from window to anchor is the same for equal windows
-        away = off[rows][row] - step
-        by = np.lexsort((lo[rows][row] + step, doc[rows][row], away, group[row]))
-        row, step, away = row[by], step[by], away[by]
-        start = begin[row] + step
-        cut = bounds(group[row], away)
-        suffixes = Suffixes(part)
-        sorted_ = suffixes.sort(start, cut)
-        a, b = start[sorted_[:-1]], start[sorted_[1:]]
-        same = np.ones(max(len(start) - 1, 0), dtype=bool)
-        same[cut[1:-1] - 1] = False
-        at = np.flatnonzero(same)
-        same[at] = suffixes.common(a[at], b[at]) == WINDOW
-        for i in range(0, len(at), 20_000):
-            j = at[i : i + 20_000]
-            j = j[same[j]]
-            span = np.arange(WINDOW)
-            if not (part[a[j, None] + span] == part[b[j, None] + span]).all():
-                raise RuntimeError("prefix hashes collided; run again with another base")
-        # stable by place: the first of equal windows is the earliest
-        repeated = np.zeros(len(start), dtype=bool)
-        repeated[sorted_[1:][same]] = True
-        d, s = doc[rows][row][repeated], (lo[rows][row] + step)[repeated]
-        again = np.lexsort((s, d))
-        d, s = d[again], s[again]
-        run = bounds(d, s - np.arange(len(s)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[run[:-1]]), pa.array(s[run[:-1]].astype(np.int32)), pa.array(np.diff(run).astype(np.int32))], ["doc_id", "lo", "n"])
+    for table in gathered(sorted_groups(batches, ["key", "salt"])):
+        known = pc.less(table["salt"], 0)
+        yield from table.filter(known).select(["doc_id", "lo", "n"]).to_batches()
+        table = table.filter(pc.invert(known)).combine_chunks()
+        if not table.num_rows:
+            continue
+        key, salt, doc, lo, n, off = (table[c].to_numpy().astype(np.int64) for c in ("key", "salt", "doc_id", "lo", "n", "off"))
+        order = np.lexsort((lo, doc, salt, key))
+        groups = bounds(key[order], salt[order])
+        data, ends = flat(table["bytes"])
+        group_bytes = np.concatenate([[0], np.cumsum((n[order] + WINDOW)[: groups[-1]])])[groups]
+        for ga, gb in slices(group_bytes, 1 << 22):
+            rows = order[groups[ga] : groups[gb]]
+            size = ends[rows + 1] - ends[rows]
+            begin = np.cumsum(size) - size
+            part = data[np.repeat(ends[rows] - begin, size) + np.arange(size.sum())]
+            step = np.arange(n[rows].sum()) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+            row = np.repeat(np.arange(len(rows)), n[rows])
+            group = np.repeat(np.arange(gb - ga), np.diff(groups[ga : gb + 1]))
+            # the distance from window to anchor is the same for equal windows
+            away = off[rows][row] - step
+            by = np.lexsort((lo[rows][row] + step, doc[rows][row], away, group[row]))
+            row, step, away = row[by], step[by], away[by]
+            sorted_, same = equal_neighbours(part, begin[row] + step, bounds(group[row], away))
+            # stable by place: the first of equal windows is the earliest
+            repeated = np.zeros(len(row), dtype=bool)
+            repeated[sorted_[1:][same]] = True
+            d, s = doc[rows][row][repeated], (lo[rows][row] + step)[repeated]
+            again = np.lexsort((s, d))
+            d, s = d[again], s[again]
+            run = bounds(d, s - np.arange(len(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(d[run[:-1]]), pa.array(s[run[:-1]].astype(np.int32)), pa.array(np.diff(run).astype(np.int32))], ["doc_id", "lo", "n"])
 
 
 def cut_out(data: bytes, lo: np.ndarray, n: np.ndarray) -> tuple[int, int, list[bytes]]:
@@ -324,14 +366,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     documents. What is left may not be valid UTF-8, so it is binary. Rows that share
     doc_id and text are one document and are cut alike; doc_id is expected to name one
     text (of different texts under one id, ranges that repeat are cut from each). Rows
-    without doc_id are neither compared nor cut. An empty table gives an empty table.
+    without doc_id are neither compared nor cut. Texts of any length are read whole. Further columns,
+    whatever their names, are ignored. An empty table gives an empty table.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    runs = scan(texts.where("doc_id is not null")).repartition("key")
-    met = materialise(runs.mapInArrow(meet_by_anchor, "key long, doc_id long, lo int, n int, off int, split int"), "runs", release=True)
+    runs = scan(texts.where("doc_id is not null")).repartition("key").sortWithinPartitions("key")
+    met = materialise(runs.mapInArrow(meet_by_anchor, "key long, doc_id long, lo int, n int, off int, split int"), "runs")
     asks = met.where("split is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "n", "off", "split")).alias("asks"))
     asked = texts.join(asks, "doc_id").select("text", "doc_id", "asks")
-    pieces = asked.mapInArrow(fetch_bytes, "key long, salt int, doc_id long, lo int, n int, off int, bytes binary").repartition("key", "salt")
+    pieces = asked.mapInArrow(fetch_bytes, "key long, salt int, doc_id long, lo int, n int, off int, bytes binary").repartition("key", "salt").sortWithinPartitions("key", "salt")
     partial = pieces.mapInArrow(sort_windows, "doc_id long, lo int, n int")
     marks = met.where("split is null").select("doc_id", "lo", "n").unionAll(partial).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
 
