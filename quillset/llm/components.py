@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillset.llm.storage import materialise
+from quillset.llm.storage import remove, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,13 +37,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gives an empty result.
     """
     ends = edges.where("src is not null and dst is not null and src <> dst")
-    now = materialise(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
+    spark = edges.sparkSession
+    now, path = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = materialise(_small(_large(now)), "links")
-        state, before = _state(now), state
+        before, old = state, path
+        now, path = written(_small(_large(now)), "links")
+        state = _state(now)
+        remove(spark, old)
         if state == before:
             break
     else:

@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set and all runs on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quillset-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table", release: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet under the shared folder: the table, read back, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillset/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     The result no longer depends on executors that computed it, so a lost executor
-    costs a reread and not a recomputation. The shuffles behind it are of no more use;
-    Spark deletes their files once the plan is collected as garbage, which ``release`` asks for.
+    costs a reread and not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillset/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    for _ in range(2 * release):  # listeners still hold the plan for a moment
-        time.sleep(0.5)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of written() that no plan reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
