@@ -14,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.llm.groups import bounds
+from quillset.llm.storage import materialise
 from quillset.llm.textkernel import ALNUM, LOWER, U64, Poly, distinct, flat, mix, slices, words
 
 BITS = 20
 PREFIX = 5
 #: Labelled rows of each class that the machine is fitted on, at most.
 SAMPLE_PER_CLASS = 6_000
+#: Distinct terms of all sampled rows of a class, at most (and one text's more): 4 bytes each on the driver.
+TERMS_PER_CLASS = 4_000_000
 
 
 def term_rows(column: pa.Array, poly: Poly, keep: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,14 +69,52 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, factor_decay: float = 3e-3, dropout: float = 0.3, least_docs: int = 4, least_z: float = 4.0, seed: int = 5) -> Machine:
+def telling(doc: np.ndarray, term: np.ndarray, label: np.ndarray, *, least_docs: int, least_z: float, pair_terms: int, least_pair_z: float) -> np.ndarray:
+    """Buckets that the machine is given: those that tell something alone or together with another.
+
+    Alone: the rate among ones differs from the mean by ``least_z`` standard errors. Together: of
+    the ``pair_terms`` commonest buckets, a pair's rate among ones differs from what the two terms' log
+    odds add up to by ``least_pair_z`` standard errors; there the terms alone may say nothing.
+    """
+    seen = np.bincount(term, minlength=1 << BITS)
+    ones = np.bincount(term, weights=label[doc], minlength=1 << BITS)
+    mean = label.mean()
+    z = (ones - seen * mean) / np.sqrt(np.maximum(seen * mean * (1 - mean), 1e-9))
+    alone = (seen >= least_docs) & (np.abs(z) >= least_z)
+    common = np.argsort(-seen, kind="stable")[:pair_terms]
+    common = common[seen[common] >= 4 * least_docs]
+    place = np.full(1 << BITS, -1)
+    place[common] = np.arange(len(common))
+    row, column = doc[place[term] >= 0], place[term[place[term] >= 0]]
+    both, both_ones = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
+    for r in range(0, len(label), 1_000):
+        a, b = np.searchsorted(row, [r, r + 1_000])
+        x = np.zeros((min(1_000, len(label) - r), len(common)), np.float32)
+        x[row[a:b] - r, column[a:b]] = 1
+        both += x.T @ x
+        x = x[label[r : r + 1_000] == 1]
+        both_ones += x.T @ x
+
+    def odds(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        return np.log((one + 0.5) / (all_ - one + 0.5))
+
+    single = odds(ones[common], seen[common])
+    expected = sigmoid(single[:, None] + single - odds(label.sum(), len(label)))
+    error = np.sqrt(both * expected * (1 - expected) + 0.5)
+    pairs = (np.abs(both_ones - both * expected) >= least_pair_z * error) & (both >= 4 * least_docs)
+    np.fill_diagonal(pairs, False)
+    alone[common[pairs.any(axis=1)]] = True
+    return np.flatnonzero(alone)
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, factor_decay: float = 1e-3, dropout: float = 0.3, least_docs: int = 4, least_z: float = 4.0, pair_terms: int = 2_000, least_pair_z: float = 6.0, seed: int = 5) -> Machine:
     """Fit on term lists and 0/1 labels; ``prior`` is the share of ones where the rows were sampled from.
 
     Each step hears a term with probability 1 - ``dropout``, so that one strong term is
     enough where most texts hold several, and factors decay faster than weights, so that
-    pairs only say what single terms don't. Terms that fewer than ``least_docs`` rows hold, or whose rate among ones differs from
-    the mean by under ``least_z`` standard errors, aren't used. With one class only, the
-    machine is its bias.
+    pairs only say what single terms don't. Terms that telling() leaves out aren't used. Where
+    ones are rarer or commoner than in the sample, the bias is moved by the difference of the
+    log odds. With one class only, the machine is its bias.
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     none = Machine(np.zeros(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, factors)))
@@ -81,11 +122,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
         return none
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     term = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    seen = np.bincount(term, minlength=1 << BITS)
-    ones = np.bincount(term, weights=label[doc].astype(float), minlength=1 << BITS)
-    mean = label.mean()
-    z = (ones - seen * mean) / np.sqrt(np.maximum(seen * mean * (1 - mean), 1e-9))
-    buckets = np.flatnonzero((seen >= least_docs) & (np.abs(z) >= least_z))
+    buckets = telling(doc, term, label, least_docs=least_docs, least_z=least_z, pair_terms=pair_terms, least_pair_z=least_pair_z)
     if not len(buckets):
         return none
     place = np.full(1 << BITS, -1)
@@ -97,7 +134,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
     parameters = np.zeros((len(buckets), factors + 1))
     parameters[:, 1:] = machine.factor
     moment, square, bias, bias_m, bias_s, step = np.zeros_like(parameters), np.zeros_like(parameters), 0.0, 0.0, 0.0, 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        slower = rate * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for chunk in np.array_split(order, max(1, len(rows) // 256)):
             chunk = np.sort(chunk)
@@ -121,13 +159,15 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
             square = 0.999 * square + 0.001 * gradient**2
             g = float(error.mean())
             bias_m, bias_s = 0.9 * bias_m + 0.1 * g, 0.999 * bias_s + 0.001 * g * g
-            parameters -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-            bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_s / (1 - 0.999**step)) + 1e-8)
-    return Machine(buckets, bias, parameters[:, 0].copy(), parameters[:, 1:].copy())
+            parameters -= slower * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            bias -= slower * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_s / (1 - 0.999**step)) + 1e-8)
+    mean = float(label.mean())
+    shift = float(np.log(prior / (1 - prior)) - np.log(mean / (1 - mean)))
+    return Machine(buckets, bias + shift, parameters[:, 0].copy(), parameters[:, 1:].copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", per_class: int = SAMPLE_PER_CLASS, **options) -> Machine:
-    """Fit on at most ``per_class`` labelled documents of each class, the first ones in hash order.
+def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", per_class: int = SAMPLE_PER_CLASS, terms_per_class: int = TERMS_PER_CLASS, **options) -> Machine:
+    """Fit on the first labelled documents of each class in hash order: at most ``per_class``, until they have ``terms_per_class`` distinct terms in all.
 
     ``labels``: doc_id and ``target`` (0 or 1; others are ignored). The sampled ids are
     broadcast, being bounded, and meet the texts without a shuffle of texts.
@@ -149,7 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", per_clas
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], ["doc_id", "label", "terms"])
 
     joined = docs.select(F.col("text").cast("string"), "doc_id").join(F.broadcast(sample), "doc_id").select("text", F.col("doc_id").cast("long"), "label")
-    got = joined.mapInArrow(run, "doc_id long, label int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    listed = materialise(joined.mapInArrow(run, "doc_id long, label int, terms array<int>"), "sample-terms")
+    so_far = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = listed.withColumn("before", F.coalesce(F.sum(F.size("terms")).over(so_far), F.lit(0))).where(F.col("before") < terms_per_class)
+    got = held.select("doc_id", "label", "terms").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     rows = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     if isinstance(rows, pa.ChunkedArray):
         rows = rows.chunk(0) if rows.num_chunks else pa.array([], pa.list_(pa.int32()))
