@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillset.llm import decontaminate, embed_dedup, line_dedup, minhash_forest, mixing, suffix_dedup, token_count, toxicity, url_filter, warc_revisit
@@ -37,27 +37,31 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """A crawl log made of pages: two captures in three are full responses, the third is not modified.
+    """A crawl log made of pages, validators being hashes of their html.
 
-    Captures of every path's last segment modulo 40 share a URL, so revisits find earlier responses.
+    Every page has a full response and, 20 days later, a not-modified one under another
+    spelling of its URL. One page in four had a full response of other content in between, one
+    in nine sends no etag but a date, and one in seven is not modified against an etag that nobody sent.
     """
     k = F.col("page_id")
-    site = F.concat(F.lit("HTTP://Site"), (k % 40).cast("string"), F.lit(".example:80/"), F.when(k % 2 == 0, F.lit("a/")).otherwise(F.lit("a#top")))
-    etag = F.concat(F.when(k % 5 == 0, F.lit('W/"')).otherwise(F.lit('"')), (k % 40 + F.when(k % 7 == 0, 1).otherwise(0)).cast("string"), F.lit('"'))
-    kind = F.when(k % 3 == 2, "revisit").otherwise("response")
-    return pages.where("page_id is not null").select(
-        k.alias("record_id"),
-        kind.alias("kind"),
-        site.alias("url"),
-        (k * 3600).alias("fetched"),
-        F.when(k % 11 != 0, etag).alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), k.cast("string"), F.lit("etag"), F.coalesce(etag, F.lit(""))).alias("headers"),
-    )
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    dated = F.concat(F.lit("day "), (k % 50).cast("string"))
+    spelt = F.concat(F.upper(F.regexp_extract("url", "^(https?)://", 1)), F.regexp_replace(F.regexp_extract("url", "(?s)^https?(://.*)$", 1), "(#.*)?$", "#part"))
+
+    def record(n: int, kind: str, url: Column, days: int, etag: Column) -> Column:
+        etag = F.when(k % 9 != 0, etag)
+        headers = F.create_map(F.lit("content-type"), F.lit("text/html" if kind == "response" else "none"), F.lit("date"), F.concat(k.cast("string"), F.lit(f"+{days}")), F.lit("etag"), F.coalesce(etag, F.lit("")))
+        return F.struct((k * 4 + n).alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), (k * 3600 + days * 86400).alias("fetched"), etag.alias("etag"), F.when(k % 9 == 0, dated).alias("last_modified"), headers.alias("headers"))
+
+    first = record(0, "response", F.col("url"), 0, tag)
+    between = record(1, "response", F.col("url"), 10, F.concat(F.lit('"other '), F.octet_length("url").cast("string"), F.lit('"')))
+    again = record(2, "revisit", spelt, 20, F.when(k % 7 == 0, F.lit('"unknown"')).otherwise(F.concat(F.lit("W/"), tag)))
+    captures = F.when(k % 4 == 0, F.array(first, between, again)).otherwise(F.array(first, again))
+    return pages.select(F.explode(captures).alias("r")).select("r.*")
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc_revisit.resolve_revisits(warc_records(table(spark, sf_dir, "pages").select("page_id")))
+    found = warc_revisit.resolve_revisits(warc_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("record_id", "canonical", "base_id", "status", F.element_at("headers", "content-type").alias("content_type"), F.element_at("headers", "date").alias("date"))
 
 
@@ -130,16 +134,26 @@ SELECT doc_id, text, lang, source, n_chars, copy, round(rate, 9) AS rate, md5('2
 """
 
 OP6 = r"""
-WITH r AS (
-  SELECT page_id AS id, page_id % 40 AS site, page_id % 3 = 2 AS revisit, page_id * 3600 AS fetched,
-    CASE WHEN page_id % 11 <> 0 THEN '"' || (page_id % 40 + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) || '"' END AS tag
+WITH p AS (
+  SELECT page_id AS k, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '(?s)^([a-z]+://[^/?]*)([^?]*?)/*([?].*)?$', '\1\2\3') AS bare, '"' || md5(coalesce(html, '')) || '"' AS tag, '"other ' || strlen(url) || '"' AS other
   FROM pages),
+u AS (SELECT *, regexp_replace(bare, '^([a-z]+://[^/?]*)($|[?].*$)', '\1/\2') AS canonical FROM p),
+r AS (
+  SELECT k * 4 AS id, k, canonical, k * 3600 AS fetched, CASE WHEN k % 9 <> 0 THEN tag END AS tag, '+0' AS days FROM u
+  UNION ALL
+  SELECT k * 4 + 1, k, canonical, k * 3600 + 864000, CASE WHEN k % 9 <> 0 THEN other END, '+10' FROM u WHERE k % 4 = 0),
+v AS (SELECT k * 4 + 2 AS id, k, canonical, k * 3600 + 1728000 AS fetched, CASE WHEN k % 9 <> 0 THEN CASE WHEN k % 7 = 0 THEN '"unknown"' ELSE tag END END AS tag FROM u),
 j AS (
-  SELECT v.id, v.site, v.tag, b.id AS base, b.tag AS base_tag
-  FROM (SELECT * FROM r WHERE revisit) v ASOF LEFT JOIN (SELECT * FROM r WHERE NOT revisit) b ON v.site = b.site AND v.fetched > b.fetched),
+  SELECT v.*, r.id AS base_id, r.k AS base_k, r.tag AS base_tag, r.days,
+    row_number() OVER (PARTITION BY v.id ORDER BY r.fetched DESC, r.id DESC) AS n
+  FROM v JOIN r ON v.canonical = r.canonical AND (v.fetched, v.id) > (r.fetched, r.id)),
 s AS (
-  SELECT *, CASE WHEN base IS NULL THEN 'orphan' WHEN tag IS NULL OR base_tag IS NULL THEN 'unverified' WHEN tag = base_tag THEN 'resolved' ELSE 'stale' END AS status FROM j)
-SELECT id AS record_id, 'http://site' || site || '.example/a' AS canonical, base AS base_id, status, 'text/html' AS content_type, id::VARCHAR AS date FROM s
+  SELECT *, CASE WHEN tag IS NOT NULL AND base_tag IS NOT NULL THEN CASE WHEN tag = base_tag THEN 'resolved' ELSE 'stale' END
+    WHEN k % 9 = 0 AND base_k % 9 = 0 THEN CASE WHEN k % 50 = base_k % 50 THEN 'resolved' ELSE 'stale' END ELSE 'unverified' END AS status
+  FROM j WHERE n = 1)
+SELECT id AS record_id, canonical, base_id, status,
+  CASE WHEN status = 'stale' THEN 'none' ELSE 'text/html' END AS content_type, k || '+20' AS date
+FROM s
 """
 
 OP9 = r"""

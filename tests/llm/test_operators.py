@@ -237,27 +237,65 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs, {"none": 1.0}).count() == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_toxicity_learns_pairs(spark):
-    """Neither an insult nor a group alone is toxic here; together they are."""
+def pair_texts(rule, n=1600):
     rng = random.Random(6)
     plain = [f"word{i}" for i in range(50)]
     texts, labels = [], []
-    for i in range(1200):
+    for _ in range(n):
         w = rng.sample(plain, 12)
         insult, group = rng.random() < 0.5, rng.random() < 0.5
         w += ["dreadful"] * insult + ["martians"] * group
         rng.shuffle(w)
         texts.append(" ".join(w))
-        labels.append(int(insult and group))
+        labels.append(int(rule(insult, group)))
+    return texts, labels
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_toxicity_learns_pairs(spark, rule):
+    """Two terms together: as a conjunction, and as exclusive or, where neither says anything alone and no linear model does better than chance."""
+    texts, labels = pair_texts(rule)
     lab = spark.createDataFrame([(i, x) for i, x in enumerate(labels)] + [(None, 1), (5000, 2)], "doc_id long, toxic int")
     got = toxicity.toxicity(make(spark, [*texts, None, "", "x " * 200_000]), lab).collect()
-    held = [r for r in got if r.held_out and r.doc_id < 1200]
-    assert len(held) > 300 and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.97 * len(held)
-    assert all(0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id < len(labels)]
+    assert len(held) > 400 and sum((r.score >= 0.5) == labels[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     alone = toxicity.toxicity(make(spark, ["a", None]), lab.limit(0)).collect()
     assert len(alone) == 2 and all(r.predicted == 0 for r in alone)
 
 
+def test_machine_equals_plain_sums():
+    """The machine's sums against a loop over pairs, and its scores' slope against differences."""
+    rng = np.random.default_rng(8)
+    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
+    rows = [np.sort(rng.choice(9, k, replace=False)) for k in (0, 1, 4, 9)]
+    got = m.raw(np.repeat(np.arange(4), [len(r) for r in rows]), np.concatenate(rows), 4)
+    for r, x in zip(rows, got, strict=True):
+        assert x == pytest.approx(0.3 + m.weight[r].sum() + sum(m.factor[i] @ m.factor[j] for i, j in itertools.combinations(r, 2)))
+
+
+def test_toxicity_scores_equal_a_plain_machine(spark):
+    """The operator's scores are those of the fitted machine, worked out word by word."""
+    from quillset.llm.textkernel import Poly
+
+    texts, labels = pair_texts(lambda a, b: a and b, 400)
+    docs, lab = make(spark, [*texts, "", None]), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    machine = toxicity.train(docs, lab.where(~held))
+    place = {int(b): k for k, b in enumerate(machine.buckets)}
+
+    def bucket(word):
+        import pyarrow as pa
+
+        return next(toxicity.term_rows(pa.array([word]), Poly(23)))[3]
+
+    known = {w: [place[int(b)] for b in bucket(w) if int(b) in place] for t in texts for w in t.split()}
+    for r in toxicity.toxicity(docs, lab).collect():
+        terms = sorted({k for w in (r.text or "").split() for k in known[w]})
+        raw = machine.bias + sum(machine.weight[k] for k in terms) + sum(machine.factor[i] @ machine.factor[j] for i, j in itertools.combinations(terms, 2))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
 def test_urls(spark):
     urls = ["http://A.Example.org/es/x?y", "https://example.org/en/12", "http://notexample.org/en/1", "ftp://com/de/", "x.com/de/", None, "http://org", "http://b.com/fr/é#z", "http://org/" + "p" * 100_000, "http://a.org:80/x", "a://b://c/d"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -268,14 +306,37 @@ def test_urls(spark):
     assert [r.verdict for r in url_filter.filter_urls(df, (), listed).orderBy("page_id").collect()][7] == "block"
 
 
-def test_url_collisions_are_confirmed(spark, monkeypatch):
+def test_url_collisions_are_confirmed(spark):
     """Keys that collide don't match: here the stored string of the only key is another one."""
-    name = url_filter.write_digest_array(spark, [("block", "bad.com", "/", True)])
-    keys, offsets, codes, hosts, blob = url_filter.open_digest_array(name)
+    name = url_filter.write_digest_array(url_filter.listed_entries(spark, [("block", "bad.com", "/")], None))
+    keys = url_filter.open_digest_array(name)[0]
     import pyarrow as pa
 
-    assert url_filter.probe(name, pa.array([[int(keys[0])]], pa.list_(pa.int64())), pa.array([["evil.com/"]]))[0][0] == -1
-    assert url_filter.probe(name, pa.array([[int(keys[0])]], pa.list_(pa.int64())), pa.array([["bad.com/"]]))[0][0] == 0
+    for text, found in (("evil.com/", -1), ("evl.com/", -1), ("bad.com/", 0)):
+        assert url_filter.probe(name, pa.array([[int(keys[0])]], pa.list_(pa.int64())), pa.array([[text]]))[0] == found
+
+
+def test_urls_of_a_long_list(spark):
+    """150,000 entries: mapped and joined alike, and as a plain search says."""
+    n = 150_000
+    listed = spark.range(n).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com")).alias("host"), F.when(F.col("id") % 3 == 0, "/").otherwise(F.concat(F.lit("/p"), F.col("id") % 7)).alias("path"))
+    urls = [f"http://{'www.' * (k % 2)}h{k * 37}.COM/p{k % 9}/x" for k in range(9000)] + [None, "", "http://h3.com", "http://org/" + "p" * 50_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string").withColumns({"rule": F.lit(1), "verdict": F.lit(2), "entry": F.lit(3)})
+    rules = [("allow", "h37.com", "/p1"), ("block", "com", "/p8/")]
+    mapped, joined = (sorted((r.page_id, r.rule or "", r.verdict, r.entry) for r in url_filter.filter_urls(pages, rules, listed, max_bytes=m).collect()) for m in (1 << 26, 1000))
+
+    def plain(k):
+        h, p = k * 37, f"/p{k % 9}/x"
+        if h == 37:
+            return "h37.com/p1", "allow"
+        if p.startswith("/p8/"):
+            return "com/p8/", "block"
+        return "", "block" if h < n and (h % 3 == 0 or p.startswith(f"/p{h % 7}")) else "allow"
+
+    assert mapped == joined and len(mapped) == len(urls) + 1
+    assert {i: (r, v) for i, r, v, _ in mapped if i < 9000} == {k: plain(k) for k in range(9000)}
+    assert [v for i, _, v, _ in mapped if i >= 9000] == ["allow"] * 4
+    assert url_filter.filter_urls(pages.limit(0), rules, listed).count() == 0 and url_filter.filter_urls(pages, (), listed.limit(0)).where("verdict = 'allow'").count() == len(urls) + 1
 
 
 def test_warc(spark):
