@@ -25,7 +25,8 @@ def fold(rows: DataFrame, by: list[str], order: list[Column | str], each: Callab
         groups = groupby(stream, key=lambda row: tuple(row[i] for i in at))
         made = (out for key, group in groups for out in each(key, group))
         for chunk in batched(made, 10_000):
-            yield pd.DataFrame(chunk, columns=names)
+            # objects, so that large numbers beside nulls stay whole
+            yield pd.DataFrame(chunk, columns=names, dtype=object)
 
     placed = rows.where(F.expr(" and ".join(f"`{c}` is not null" for c in by)))
     return placed.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
