@@ -6,6 +6,8 @@ same rows; everything after it is computed independently.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -101,3 +103,16 @@ def as_oracle(name: str) -> str:
     for t in TABLES:
         text = text.replace(f"{{{t}}}", t)
     return f"({text})"
+
+
+#: How SQL twins name the bindings.
+NAMES = {"SHEETS": "sheets", "DRAWING_LIST": "drawing_list", "ITEMS": "text_items", "SEGMENTS": "segments", "POINTS": "points", "CHANGES": "changes"}
+
+
+def with_bindings(sql: str) -> str:
+    """DuckDB SQL with the bindings' names, written in capitals after FROM or JOIN, replaced by their text."""
+    return re.sub(r"\b(FROM|JOIN) (" + "|".join(NAMES) + r")\b", lambda m: f"{m[1]} {duckdb_text(NAMES[m[2]])}", sql)
+
+
+def duckdb_text(name: str) -> str:
+    return as_oracle(name).replace("AS STRING", "AS VARCHAR")
