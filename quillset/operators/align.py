@@ -7,9 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RMS_PX, HOLDOUT_PX, LEAST_ANCHORS, GOOD_ANCHORS, INLIERS, MARGIN = 2.0, 3.0, 3, 8, 0.6, 0.1
-
-
 def singletons(items: DataFrame) -> DataFrame:
     """pair_id, label, ox, oy, nx, ny for texts that stand exactly once on each side."""
     def one(side: str, p: str) -> DataFrame:
@@ -47,17 +44,6 @@ def trimmed_fit(points: DataFrame, limit: float, rounds: int = 3) -> DataFrame:
     return fit_similarity(used)
 
 
-def grade(points: DataFrame, fit: DataFrame, limit: float = 3.0) -> DataFrame:
-    """pair_id, n, inlier_ratio, rms, verdict: excellent, good, review or failed; metrics within 10 % of a limit only pass for review."""
-    r = residuals(points, fit)
-    inside = F.col("err") <= limit
-    m = r.groupBy("pair_id").agg(F.count("*").alias("n"), F.avg(inside.cast("double")).alias("inlier_ratio"), F.sqrt(F.avg(F.when(inside, F.col("err") * F.col("err")))).alias("rms"))
-    passes = (F.col("n") >= LEAST_ANCHORS) & (F.col("inlier_ratio") >= INLIERS) & (F.col("rms") <= RMS_PX)
-    nearly = (F.col("n") >= LEAST_ANCHORS) & (F.col("inlier_ratio") >= INLIERS * (1 - MARGIN)) & (F.col("rms") <= RMS_PX * (1 + MARGIN))
-    verdict = F.when(passes & (F.col("n") >= GOOD_ANCHORS) & (F.col("rms") <= RMS_PX / 2), "excellent").when(passes, "good").when(nearly, "review").otherwise("failed")
-    return m.withColumn("verdict", verdict)
-
-
 def ransac_fit(points: DataFrame, limit: float = 3.0, rounds: int = 200) -> DataFrame:
     """pair_id, inliers, a, b, tx, ty: the similarity through two points that most others agree with, refitted on them; seeded by pair."""
 
@@ -65,10 +51,13 @@ def ransac_fit(points: DataFrame, limit: float = 3.0, rounds: int = 200) -> Data
         pdf = pdf.sort_values(["ox", "oy"])
         p, q = (pdf[f"{s}x"].to_numpy() + 1j * pdf[f"{s}y"].to_numpy() for s in "on")
         pair = int(pdf["pair_id"].iloc[0])
+        none = pd.DataFrame({"pair_id": [pair], "inliers": [0], "a": [np.nan], "b": [np.nan], "tx": [np.nan], "ty": [np.nan]})
         if len(p) < 2:
-            return pd.DataFrame({"pair_id": [pair], "inliers": [0], "a": [np.nan], "b": [np.nan], "tx": [np.nan], "ty": [np.nan]})
-        i = np.random.default_rng(pair).integers(0, len(p), (rounds, 2))
+            return none
+        i = np.random.default_rng(abs(pair)).integers(0, len(p), (rounds, 2))
         i = i[p[i[:, 0]] != p[i[:, 1]]]
+        if not len(i):
+            return none
         m = (q[i[:, 1]] - q[i[:, 0]]) / (p[i[:, 1]] - p[i[:, 0]])
         t = q[i[:, 0]] - m * p[i[:, 0]]
         inside = np.abs(m[:, None] * p + t[:, None] - q) <= limit

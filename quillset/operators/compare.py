@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.functions.measures import iou, overlap
 from quillset.operators.folds import fold
+from quillset.operators.graph import components
 from quillset.operators.matching import assign
+from quillset.storage import materialise
 
 
 def split_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,17 +30,20 @@ def text_singletons(items: DataFrame, move_px: float = 3.9) -> DataFrame:
     return both.select("pair_id", "text", state.alias("state"), F.round(distance, 6).alias("distance"))
 
 
-def pair_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+def pair_nearest(key: tuple, items: Iterable) -> Iterator[tuple]:
     """Pairs of least total distance between the old and new items of one group, as many as the smaller side has; then the items left over."""
-    pdf = pdf.sort_values("item_id")
-    old, new = pdf[pdf["side"] == "old"], pdf[pdf["side"] == "new"]
-    cost = np.hypot(old["x"].to_numpy()[:, None] - new["x"].to_numpy(), old["y"].to_numpy()[:, None] - new["y"].to_numpy())
+    sides: dict[str, list] = {"old": [], "new": []}
+    for r in items:
+        sides[r.side].append((r.item_id, r.x, r.y))
+    old, new = sides["old"], sides["new"]
+    at = [np.array([(x, y) for _, x, y in side]).reshape(-1, 2) for side in (old, new)]
+    cost = np.hypot(*(at[0][:, None, i] - at[1][:, i] for i in (0, 1)))
     pairs = assign(cost) if len(old) <= len(new) else [(i, j) for j, i in assign(cost.T)]
-    i, j = (np.array(side, int) for side in zip(*pairs, strict=True))
-    alone_old, alone_new = np.delete(old["item_id"].to_numpy(), i), np.delete(new["item_id"].to_numpy(), j)
-    rows = [*zip(old["item_id"].to_numpy()[i], new["item_id"].to_numpy()[j], cost[i, j], strict=True), *((o, None, None) for o in alone_old), *((None, n, None) for n in alone_new)]
-    out = pd.DataFrame(rows, columns=["old_id", "new_id", "distance"])
-    return out.astype({"old_id": "Int64", "new_id": "Int64", "distance": "Float64"}).assign(pair_id=pdf["pair_id"].iloc[0], text=pdf["text"].iloc[0])
+    for i, j in pairs:
+        yield *key, old[i][0], new[j][0], float(cost[i, j])
+    met = [{p[n] for p in pairs} for n in (0, 1)]
+    yield from ((*key, o[0], None, None) for i, o in enumerate(old) if i not in met[0])
+    yield from ((*key, None, n[0], None) for j, n in enumerate(new) if j not in met[1])
 
 
 def text_repeats(items: DataFrame, move_px: float = 3.9) -> DataFrame:
@@ -59,7 +63,7 @@ def text_repeats(items: DataFrame, move_px: float = 3.9) -> DataFrame:
     left = at.where("old_id is null or new_id is null").select(*key, F.when(F.col("old_id").isNull(), "new").otherwise("old").alias("side"), F.coalesce("old_id", "new_id").alias("item_id"), "x", "y")
     both = left.groupBy(*key).agg(F.count_distinct("side").alias("n")).where("n = 2").select(*key)
     kinds = dict(items.dtypes)
-    near = left.join(both, key, "left_semi").groupBy(*key).applyInPandas(pair_nearest, f"pair_id {kinds['pair_id']}, text string, old_id long, new_id long, distance double")
+    near = fold(left.join(both, key, "left_semi"), key, ["side", "item_id"], pair_nearest, f"pair_id {kinds['pair_id']}, text string, old_id long, new_id long, distance double")
     lone = left.join(both, key, "left_anti").select(*key, "side", "item_id").unionByName(rows.where(~placed).select(*key, "side", "item_id"))
     lone = lone.select(*key, *(F.when(F.col("side") == s, F.col("item_id")).alias(f"{s}_id") for s in ("old", "new")), F.lit(None).cast("double").alias("distance"))
     state = F.when(F.col("old_id").isNull(), "new_only").when(F.col("new_id").isNull(), "old_only").when(F.col("distance") <= move_px, "unchanged").otherwise("moved")
@@ -131,16 +135,30 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float = 64.0, least_iou
     return found.where((F.col("iou") >= least_iou) | (F.col("inside") >= least_inside))
 
 
+#: How much two segments of one shape may differ in length, and in their box's sides.
+LENGTH_TOLERANCE, BOX_TOLERANCE = 0.08, 0.1
+
+
+def similar(a: Column, b: Column, tolerance: float) -> Column:
+    longer = F.greatest(F.abs(a), F.abs(b))
+    return (longer < 1e-6) | (F.abs(a - b) <= tolerance * longer)
+
+
 def nearest_moves(old: DataFrame, new: DataFrame, radius: float) -> DataFrame:
-    """Mutual nearest unmatched segments of equal length within ``radius``: pair_id, old_id, new_id, distance."""
+    """Mutual nearest unmatched segments of one shape within ``radius``: pair_id, old_id, new_id, distance.
+
+    One shape: lengths within 8 %, the boxes' sides within 10 %. Nearest is by the boxes' centres.
+    """
     def at(df: DataFrame, p: str) -> DataFrame:
-        mid = df.select("pair_id", F.col("path_id").alias(f"{p}_id"), ((F.col("x0") + F.col("x1")) / 2).alias(f"{p}_x"), ((F.col("y0") + F.col("y1")) / 2).alias(f"{p}_y"), (F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))).alias("len"), (F.col("x0") == F.col("x1")).alias("upright"))
+        wide, high = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+        mid = df.select("pair_id", F.col("path_id").alias(f"{p}_id"), ((F.col("x0") + F.col("x1")) / 2).alias(f"{p}_x"), ((F.col("y0") + F.col("y1")) / 2).alias(f"{p}_y"), F.sqrt(wide * wide + high * high).alias(f"{p}_len"), wide.alias(f"{p}_wide"), high.alias(f"{p}_high"))
         half = radius if p == "l" else 0.0
         return mid.withColumns({f"{p}_cx": F.col(f"{p}_x"), f"{p}_cy": F.col(f"{p}_y"), f"{p}_x": F.col(f"{p}_x") - half, f"{p}_y": F.col(f"{p}_y") - half, f"{p}_w": F.lit(2 * half), f"{p}_h": F.lit(2 * half)})
 
-    pairs = grid_join(at(old, "l").withColumnRenamed("len", "l_len").withColumnRenamed("upright", "l_up"), at(new, "r"), 2 * radius)
+    pairs = grid_join(at(old, "l"), at(new, "r"), 2 * radius)
     d = F.pow(F.col("l_cx") - F.col("r_cx"), 2) + F.pow(F.col("l_cy") - F.col("r_cy"), 2)
-    near = pairs.withColumn("d2", d).where((F.col("d2") <= radius * radius) & (F.col("l_len") == F.col("len")) & (F.col("l_up") == F.col("upright")))
+    alike = similar(F.col("l_len"), F.col("r_len"), LENGTH_TOLERANCE) & similar(F.col("l_wide"), F.col("r_wide"), BOX_TOLERANCE) & similar(F.col("l_high"), F.col("r_high"), BOX_TOLERANCE)
+    near = pairs.withColumn("d2", d).where((F.col("d2") <= radius * radius) & alike & (F.greatest("l_len", "r_len") > 0))
     a = Window.partitionBy("pair_id", "l_id").orderBy("d2", "r_id")
     b = Window.partitionBy("pair_id", "r_id").orderBy("d2", "l_id")
     best = near.withColumns({"ra": F.row_number().over(a), "rb": F.row_number().over(b)}).where("ra = 1 and rb = 1")
@@ -171,34 +189,48 @@ def ink_difference(old: DataFrame, new: DataFrame, radius: int) -> DataFrame:
     return alone(old, new, "removed").unionByName(alone(new, old, "added"))
 
 
-def _cluster(reach: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy single pass in order of size and place: a box joins the first group it comes near."""
-        pdf = pdf.sort_values(["area", "x", "y", "change_id"], ascending=[False, True, True, True])
-        groups: list[list[float]] = []
-        members: list[int] = []
-        for x, y, w, h in pdf[["x", "y", "w", "h"]].to_numpy():
-            if groups:
-                g = np.array(groups)
-                near = np.flatnonzero((g[:, 0] - reach <= x + w) & (x <= g[:, 2] + reach) & (g[:, 1] - reach <= y + h) & (y <= g[:, 3] + reach))
-            else:
-                near = np.zeros(0, int)
-            if len(near):
-                k = int(near[0])
-                groups[k] = [min(groups[k][0], x), min(groups[k][1], y), max(groups[k][2], x + w), max(groups[k][3], y + h)]
-            else:
-                k = len(groups)
-                groups.append([x, y, x + w, y + h])
-            members.append(k)
-        return pd.DataFrame({"pair_id": pdf["pair_id"], "change_id": pdf["change_id"], "cluster": members})
-
-    return run
-
-
-def cluster_regions(changes: DataFrame, reach: float) -> DataFrame:
-    """pair_id, change_id, cluster: neighbouring changes of a pair and cosmetic flag; order-dependent, so one group a pair."""
-    sized = changes.select("pair_id", "change_id", "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"))
-    return sized.groupBy("pair_id").applyInPandas(_cluster(reach), "pair_id long, change_id long, cluster long")
+#: Kinds that stand for a whole sheet or list and belong to no region.
+WHOLE_SHEET_KINDS = ("layer_visibility_changed", "background_updated", "tags_renumbered")
+
+
+def _first_group(key: tuple, changes: Iterable) -> Iterator[tuple]:
+    """Changes in order, each with its earlier neighbours: it joins the oldest of their groups or opens one."""
+    opened: dict[int, int] = {}
+    for c in changes:
+        opened[c.change_id] = min((opened[e] for e in c.earlier), default=c.change_id)
+        yield c.pair_id, c.change_id, opened[c.change_id]
+
+
+def cluster_regions(changes: DataFrame, reach: float, cell: float = 128.0) -> DataFrame:
+    """pair_id, change_id, cluster (its first change_id): geometry within ``reach`` of a member, and as cosmetic as it.
+
+    In order of change_id, a change joins the oldest group that has a member near it; groups
+    don't merge later. Text changes and those of the whole sheet stay alone. Neighbours come
+    from a grid join, so a task holds one connected region and not a pair. change_id is unique.
+    """
+    kind = F.lower(F.col("kind"))
+    loose = (F.col("stream") == "text") | kind.isin(*WHOLE_SHEET_KINDS)
+    sheet = F.concat_ws(":", "pair_id", "is_cosmetic")
+    near = changes.where(~F.coalesce(loose, F.lit(False))).select(sheet.alias("pair_id"), "change_id", "x", "y", "w", "h")
+    grown = near.select("pair_id", F.col("change_id").alias("l_id"), (F.col("x") - reach).alias("l_x"), (F.col("y") - reach).alias("l_y"), (F.col("w") + 2 * reach).alias("l_w"), (F.col("h") + 2 * reach).alias("l_h"))
+    pairs = materialise(grid_join(grown, boxes(near, "r", "change_id"), cell).where("l_id > r_id").select("l_id", "r_id"), "neighbours")
+    region = components(pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))).distinct()
+    earlier = pairs.groupBy("l_id").agg(F.collect_list("r_id").alias("earlier"))
+    known = changes.select("pair_id", "change_id").join(region.withColumnRenamed("id", "change_id"), "change_id").join(earlier.withColumnRenamed("l_id", "change_id"), "change_id", "left")
+    known = known.select("pair_id", "change_id", "component", F.coalesce("earlier", F.array().cast("array<long>")).alias("earlier"))
+    grouped = fold(known, ["component"], ["change_id"], _first_group, "pair_id long, change_id long, cluster long")
+    alone = changes.select("pair_id", "change_id").join(region.select(F.col("id").alias("change_id")), "change_id", "left_anti")
+    return grouped.unionByName(alone.select("pair_id", "change_id", F.col("change_id").alias("cluster")))
+
+
+def merge_clusters(changes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row a cluster: its box, number of changes, kind (modified where they differ), streams and greatest confidence."""
+    g = changes.join(clusters, ["pair_id", "change_id"]).groupBy("pair_id", "cluster").agg(
+        F.count("*").alias("n"), F.count_distinct("kind").alias("kinds"), F.min("kind").alias("kind"), F.array_sort(F.collect_set("stream")).alias("streams"),
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
+        F.max("confidence").alias("confidence"), F.bool_and("is_cosmetic").alias("is_cosmetic"),
+    )
+    return g.withColumn("kind", F.when(F.col("kinds") == 1, F.col("kind")).otherwise("modified")).drop("kinds")
 
 
 #: The streams, the most telling first.
@@ -250,5 +282,39 @@ def merge_streams(changes: DataFrame, ranking: tuple[str, ...] = STREAMS, least_
     return fold(rows, ["pair_id"], ["rank", "less", "change_id"], each, schema)
 
 
-def tokens_equal(a: Column, b: Column) -> Column:
-    return F.array_sort(a) == F.array_sort(b)
+def merge_collinear(points: DataFrame, degrees: float = 0.5) -> DataFrame:
+    """Points of paths (path_id, seq, x, y) without those at which the direction turns by under ``degrees``; ends stay.
+
+    Each inner point is judged by its two neighbours, so it is one window and no pass in order.
+    """
+    w = Window.partitionBy("path_id").orderBy("seq")
+    near = points.select("*", *(F.lag(c).over(w).alias(f"p{c}") for c in "xy"), *(F.lead(c).over(w).alias(f"n{c}") for c in "xy"))
+    a = F.atan2(F.col("y") - F.col("py"), F.col("x") - F.col("px"))
+    b = F.atan2(F.col("ny") - F.col("y"), F.col("nx") - F.col("x"))
+    turn = F.abs(F.pmod(F.degrees(b - a) + 180.0, F.lit(360.0)) - 180.0)
+    still = (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))
+    return near.where(F.col("px").isNull() | F.col("nx").isNull() | (~still & (turn > degrees))).select(points.columns)
+
+
+def canonical_path(points: DataFrame, step: float = 0.5) -> DataFrame:
+    """path_id, geometry: a hash of the quantised points (path_id, seq, x, y, closed), the same for a path drawn backwards and, if closed, begun anywhere."""
+    q = [(F.bround(F.col(c) / step) * step).alias(c) for c in "xy"]
+    lists = points.select("path_id", "seq", "closed", *q).groupBy("path_id").agg(F.bool_or("closed").alias("closed"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("p"))
+    ring = F.when(F.col("closed") & (F.size("p") > 1) & (F.get("p", F.lit(0)) == F.element_at("p", -1)), F.slice("p", 1, F.size("p") - 1)).otherwise(F.col("p"))
+    known = lists.withColumn("p", ring).withColumn("r", F.reverse("p"))
+    n = F.size("p")
+
+    def turned(c: str) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice(c, i, n - i + 1), F.slice(c, F.lit(1), i - 1))))
+
+    least = F.when(F.col("closed"), F.least(turned("p"), turned("r"))).otherwise(F.least("p", "r"))
+    text = F.array_join(F.transform(least, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), ";")
+    return known.select("path_id", F.md5(F.concat(F.col("closed").cast("string"), F.lit(":"), text)).alias("geometry"))
+
+
+def classify_path(n: Column, closed: Column, width: Column, height: Column, area: Column) -> Column:
+    """line, rectangle, circle, polygon or polyline, from a path's number of points, its box and its area."""
+    box = width * height
+    full = F.coalesce(F.try_divide(area, box), F.lit(0.0))
+    round_ = closed & (n >= 8) & (F.abs(width - height) <= 0.05 * F.greatest(width, height)) & (F.abs(full - 0.785398) <= 0.03)
+    return F.when(n <= 2, "line").when(closed & n.isin(4, 5) & (full >= 0.99), "rectangle").when(round_, "circle").when(closed, "polygon").otherwise("polyline")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillset.operators.folds import fold
+from quillset.operators.graph import components
+from quillset.storage import materialise
+
 AUTO, REVIEW, BAND = 0.90, 0.70, 0.05
 
 
@@ -28,9 +32,9 @@ def remainder(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
 def match_exact_tiers(old: DataFrame, new: DataFrame) -> DataFrame:
     """Tiers 1 (number), 2 (normalised number) and 3 (normalised name); each sees what is left.
 
-    The two sides are persisted, since every tier reads them again.
+    The two sides are written once, since every tier reads them again.
     """
-    out, old, new = None, old.persist(), new.persist()
+    out, old, new = None, materialise(old, "match-side"), materialise(new, "match-side")
     for tier, (key, confidence) in enumerate((("number", 1.0), ("number_key", 0.98), ("name_key", 0.92)), 1):
         pairs = unique_match(old, new, key, confidence, tier)
         out = pairs if out is None else out.unionByName(pairs)
@@ -57,14 +61,26 @@ def tokens(text: Column) -> Column:
 
 
 def token_similarity(left: DataFrame, right: DataFrame, block: list[str], least: float) -> DataFrame:
-    """left_id, right_id, score: Jaccard of token sets within a block, from ``least`` on.
+    """left_id, right_id, score: Jaccard of token sets (id, tokens) within a block, from ``least`` on.
 
-    Tokens are exploded and joined, so only pairs that share one are counted.
+    Two sets of that overlap share one of the rarest tokens of each: the first n - ceil(least * n) + 1 in order
+    of how many sets have them. Only those are joined, so common tokens pair nothing by
+    themselves; the candidates' whole sets are then counted.
     """
-    a = left.select(F.col("id").alias("left_id"), *block, F.explode("tokens").alias("token"), F.size("tokens").alias("na"))
-    b = right.select(F.col("id").alias("right_id"), *block, F.explode("tokens").alias("token"), F.size("tokens").alias("nb"))
-    shared = a.join(b, [*block, "token"]).groupBy("left_id", "right_id", "na", "nb").agg(F.count("*").alias("both"))
-    return shared.withColumn("score", F.bround(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 4)).where(F.col("score") >= least).select("left_id", "right_id", "score")
+    sides = left.select(F.lit("l").alias("side"), "id", *block, "tokens").unionByName(right.select(F.lit("r").alias("side"), "id", *block, "tokens"))
+    sets = materialise(sides.where(F.size("tokens") > 0).withColumn("tokens", F.array_distinct("tokens")), "token-sets")
+    each = sets.select("side", "id", *block, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy(*block, "token").agg(F.count("*").alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("side", "id", *block).orderBy("sets", "token"))
+    rare = each.join(counts, [*block, "token"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    rare = materialise(rare.select("side", "id", *block, "token", "n"), "rare-tokens")
+    l, r = (rare.where(F.col("side") == s).select(*block, "token", F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n")) for p, s in (("left", "l"), ("right", "r")))
+    fits = F.least("left_n", "right_n") >= F.lit(least) * F.greatest("left_n", "right_n") - 1e-9
+    met = l.join(r, [*block, "token"]).where(fits).select("left_id", "right_id").distinct()
+    a, b = (sets.where(F.col("side") == s).select(F.col("id").alias(f"{p}_id"), F.col("tokens").alias(f"{p}_tokens")) for p, s in (("left", "l"), ("right", "r")))
+    both = F.size(F.array_intersect("left_tokens", "right_tokens"))
+    score = F.bround(both / (F.size("left_tokens") + F.size("right_tokens") - both), 4)
+    return met.join(a, "left_id").join(b, "right_id").withColumn("score", score).where(F.col("score") >= least).select("left_id", "right_id", "score")
 
 
 def ambiguity(candidates: DataFrame) -> DataFrame:
@@ -91,6 +107,11 @@ def token_sort_ratio(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+@F.pandas_udf(DoubleType())
+def sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_sort_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
@@ -123,25 +144,35 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
-def assign_group(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The pairs of greatest total score in one group, none under ``least``; leaving out is free."""
-    lefts, rights = np.sort(pdf["left_id"].unique()), np.sort(pdf["right_id"].unique())
+def assign_group(pairs: list[tuple[int, int, float]], least: float) -> Iterator[tuple[int, int, float]]:
+    """The (left, right, score) of greatest total score in one group, none under ``least``; leaving out is free."""
+    lefts, rights = (sorted({p[i] for p in pairs}) for i in (0, 1))
+    row, column = ({v: i for i, v in enumerate(side)} for side in (lefts, rights))
     score = np.zeros((len(lefts), len(rights)))
-    score[np.searchsorted(lefts, pdf["left_id"]), np.searchsorted(rights, pdf["right_id"])] = pdf["score"]
+    for left, right, value in pairs:
+        score[row[left], column[right]] = value
     cost = np.where(score >= least, least - score, 0.0)
     cost = np.hstack([cost, np.zeros((len(lefts), len(lefts)))]) + np.arange(len(rights) + len(lefts)) * 1e-12
-    pairs = [(i, j) for i, j in assign(cost) if j < len(rights) and score[i, j] >= least]
-    return pd.DataFrame({"left_id": [lefts[i] for i, _ in pairs], "right_id": [rights[j] for _, j in pairs], "score": [score[i, j] for i, j in pairs]})
+    for i, j in assign(cost):
+        if j < len(rights) and score[i, j] >= least:
+            yield lefts[i], rights[j], float(score[i, j])
 
 
-def optimal_pairs(candidates: DataFrame, group: list[str], least: float = REVIEW) -> DataFrame:
+def optimal_pairs(candidates: DataFrame, group: str, least: float = REVIEW) -> DataFrame:
     """One-to-one pairs of greatest total score in each group (a block or component of the candidate graph)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = assign_group(pdf, least)
-        for g in group:
-            out[g] = pdf[g].iloc[0]
-        return out
+    def each(key: tuple, rows: Iterable) -> Iterator[tuple]:
+        pairs = [(r.left_id, r.right_id, r.score) for r in rows]
+        if len(pairs) == 1:
+            yield from (p for p in pairs if p[2] >= least)
+        else:
+            yield from assign_group(pairs, least)
+
+    return fold(candidates.select(group, "left_id", "right_id", "score"), [group], ["left_id", "right_id"], each, "left_id long, right_id long, score double")
+
 
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy(*group).applyInPandas(run, ", ".join(["left_id long", "right_id long", "score double", *(f"{g} {kinds[g]}" for g in group)]))
+def best_pairs(candidates: DataFrame, least: float) -> DataFrame:
+    """One-to-one (left_id, right_id, score) of greatest total score, solved for each connected component of the candidates."""
+    ends = materialise(candidates.select("left_id", "right_id", "score", (F.col("left_id") * 2).alias("src"), (F.col("right_id") * 2 + 1).alias("dst")), "candidates")
+    named = ends.join(components(ends.select("src", "dst")).distinct().withColumnRenamed("id", "src"), "src")
+    return optimal_pairs(named.select("component", "left_id", "right_id", "score"), "component", least)

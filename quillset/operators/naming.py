@@ -17,7 +17,7 @@ def parse_iso_number(number: Column) -> Column:
 
 
 def render(template: str, fields: dict[str, Column]) -> Column:
-    """A file name from ``{token}`` or ``{token:modifier}`` (upper, lower, padN); missing ones vanish with a separator."""
+    """A file name from ``{token}`` or ``{token:modifier}`` (upper, lower, padN, N: the first N characters); missing ones vanish with a separator."""
     parts = []
     for text, token, modifier in re.findall(r"([^{]*)(?:\{(\w+)(?::(\w+))?\})?", template):
         if text:
@@ -28,6 +28,8 @@ def render(template: str, fields: dict[str, Column]) -> Column:
                 value = F.upper(value)
             elif modifier == "lower":
                 value = F.lower(value)
+            elif modifier.isdigit():
+                value = F.substring(value, 1, int(modifier))
             elif modifier.startswith("pad"):
                 width = int(modifier[3:])
                 value = F.when(F.length(value) < width, F.lpad(value, width, "0")).otherwise(value)
@@ -36,14 +38,6 @@ def render(template: str, fields: dict[str, Column]) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, r'[<>:"/\\|?*]', ""), r"^[-_ ]+|[-_ .]+$", "")
 
 
-def resolve_collisions(plan: DataFrame) -> DataFrame:
-    """plan (seq, target) with final: later claims of a target, whatever its case, get _2, _3 and so on before the extension."""
-    w = Window.partitionBy(F.lower("target")).orderBy("seq")
-    n = F.row_number().over(w)
-    stem, ext = F.regexp_extract("target", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("target", r"^(.*?)(\.[^.]*)?$", 2)
-    return plan.withColumn("n", n).withColumn("final", F.when(F.col("n") == 1, F.col("target")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ext))).drop("n")
-
-
 def undo_prefix(log: DataFrame) -> DataFrame:
     """log (batch, seq, ok) with undone: in reverse order, up to the first entry that isn't ok."""
     w = Window.partitionBy("batch").orderBy(F.desc("seq"))

@@ -97,3 +97,30 @@ def dominant_scheme(sheets: DataFrame) -> DataFrame:
     known = sheets.withColumn("scheme", parse_revision(F.col("revision"))["scheme"]).where("scheme <> 'unknown'").groupBy("side", "scheme").agg(F.count("*").alias("n"))
     best = Window.partitionBy("side").orderBy(F.desc("n"), "scheme")
     return known.withColumn("r", F.row_number().over(best)).where("r = 1").select("side", "scheme", "n")
+
+
+def grid(register: DataFrame, *, status: str | None = None, attention_only: bool = False, search: str | None = None, by: str = "drawing_no") -> DataFrame:
+    """The register for review: rows of a status, those that need attention, those whose number or title contains a text (any case); attention first, then by a column."""
+    out = register if status is None else register.where(F.col("status") == status)
+    if attention_only:
+        out = out.where("needs_attention")
+    if search:
+        hit = F.lit(False)
+        for c in ("drawing_no", "title", "note"):
+            if c in out.columns:
+                hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(search.lower())), F.lit(False))
+        out = out.where(hit)
+    return out.orderBy(F.desc("needs_attention"), F.asc_nulls_last(by))
+
+
+def ordered(register: DataFrame) -> DataFrame:
+    """The register's own order: what needs attention, then by number in code-point order."""
+    return grid(register)
+
+
+def summary_sentence(counts: DataFrame) -> DataFrame:
+    """One row with a sentence of the counts (status, n), in the order in which a reader asks for them."""
+    order = ("revised", "new", "removed", "not_reissued", "unchanged", "status_change", "same_rev_different_file", "in_list_not_in_folder", "in_folder_not_in_list", "unidentified", "unreadable")
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.concat_ws(" ", F.col("n").cast("string"), F.replace(F.col("status"), F.lit("_"), F.lit(" "))).alias("t")))), lambda x: x["t"])
+    return counts.where("n > 0").agg(F.concat(F.array_join(parts, ", "), F.lit(".")).alias("sentence"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillset.functions import measures, numbers
-from quillset.operators import align, compare, hatch, ingest, layout, matching, naming, raster, register, store
+from quillset.operators import align, compare, hatch, ingest, layout, matching, naming, raster, register, renaming, store
+from quillset.plans import diffs, gates, geometry, matches
 from quillset.plans.sql import ORACLES
-from quillset.sources.bindings import bound, table
+from quillset.sources.bindings import bound, table, with_bindings
 from quillset.streaming import progress
 
 _all: dict = {}
@@ -19,12 +20,22 @@ def query(f):
     return f
 
 
+#: Queries that live in modules of their own, each with its SQL beside it.
+FURTHER = (geometry.query, diffs.query, matches.query, gates.query)
+
+
 def queries() -> dict:
-    return dict(_all)
+    out = dict(_all)
+    for registry in FURTHER:
+        out |= registry.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _all}
+    out = {k: v for k, v in ORACLES.items() if k in _all}
+    for registry in FURTHER:
+        out |= {k: with_bindings(v) for k, v in registry.sql.items()}
+    return out
 
 
 # --- register ---------------------------------------------------------------
@@ -183,19 +194,20 @@ def match_tiers(spark, d):
 @query
 def list_fill_contains(spark, d):
     docs = table(spark, d, "documents")
-    files = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("X"), F.upper("lang"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("REVB")).alias("stem"))
+    files = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("X"), F.upper("lang"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("REVB")).alias("stem"))
     keys = bound(spark, d, "drawing_list").select(numbers.normalise_number(F.col("drawing_no")).alias("key"))
     return matching.contains_match(files, keys)
 
 
 def _fingerprints(spark, d, side):
-    docs = table(spark, d, "documents").where("doc_id % 20 = 3" if side else "doc_id % 20 = 7")
+    """Documents as two issues: those of even and of odd doc_id."""
+    docs = table(spark, d, "documents").where(F.col("doc_id") % 2 == side)
     return docs.select(F.col("doc_id").alias("id"), "lang", matching.tokens(F.regexp_replace("text", "[^ -~]", " ")).alias("tokens"))
 
 
 @query
 def fingerprint_similarity(spark, d):
-    return matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.05)
+    return matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.7)
 
 
 @query
@@ -207,7 +219,7 @@ def match_ambiguity(spark, d):
 
 @query
 def match_fuzzy_assign(spark, d):
-    return matching.optimal_pairs(matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.02).withColumn("block", F.lit(1).cast("long") + F.col("left_id") % 3), ["block"], 0.02)
+    return matching.best_pairs(matching.token_similarity(_fingerprints(spark, d, 0), _fingerprints(spark, d, 1), ["lang"], 0.7), 0.7)
 
 
 @query
@@ -232,8 +244,8 @@ def render_template(spark, d):
 
 @query
 def rename_collisions(spark, d):
-    plan = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand")), F.lit(".pdf")).alias("target"))
-    return naming.resolve_collisions(plan).select("seq", "final")
+    plan = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.lit("").alias("source"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand")), F.when(F.col("p_partkey") % 5 == 0, "_2").otherwise(""), F.lit(".pdf")).alias("target"))
+    return renaming.resolve_targets(plan).select("seq", "final")
 
 
 @query
@@ -282,8 +294,9 @@ def text_repeats_paired(spark, d):
 
 @query
 def renumbering_detect(spark, d):
-    pairs = _items(spark, d).groupBy("pair_id", "item_id").agg(F.max(F.when(F.col("side") == "old", F.col("text"))).alias("old_text"), F.max(F.when(F.col("side") == "new", F.col("text"))).alias("new_text")).where("old_text <> new_text and item_id % 6 <> 2")
-    return compare.renumbering(pairs, 2)
+    pairs = _items(spark, d).groupBy("pair_id", "item_id").agg(F.max(F.when(F.col("side") == "old", F.col("text"))).alias("old_text"), F.max(F.when(F.col("side") == "new", F.col("text"))).alias("new_text")).where("old_text <> new_text")
+    tags = pairs.where(measures.classify(F.col("new_text"))["category"] == "tag")
+    return compare.renumbering(tags, 2)
 
 
 @query
@@ -365,7 +378,7 @@ def vector_removed_added(spark, d):
 def moves_mutual_nearest(spark, d):
     old, new = compare.split_sides(_segments(spark, d))
     key = ["pair_id", "path_id"]
-    return compare.nearest_moves(old.where("path_id % 7 = 0").select(*key, "x0", "y0", "x1", "y1"), new.where("path_id % 7 = 0").select(*key, "x0", "y0", "x1", "y1"), 60.0).withColumn("distance", F.round("distance", 6))
+    return compare.nearest_moves(old.select(*key, "x0", "y0", "x1", "y1"), new.select(*key, "x0", "y0", "x1", "y1"), 60.0).withColumn("distance", F.round("distance", 6))
 
 
 @query
@@ -420,7 +433,7 @@ def bbox_iou_join(spark, d):
 
 @query
 def ink_tolerant_diff(spark, d):
-    ink = table(spark, d, "lineitem").select((F.col("l_orderkey") % 10).alias("pair_id"), (F.col("l_partkey") * 7 % 97).alias("x"), (F.col("l_orderkey") * 13 % 89).alias("y"), (F.col("l_linenumber") % 2 == 0).alias("is_old")).where("x < 60").distinct()
+    ink = table(spark, d, "lineitem").select((F.col("l_orderkey") % 10).alias("pair_id"), (F.col("l_partkey") * 7 % 97).alias("x"), (F.col("l_orderkey") * 13 % 89).alias("y"), (F.col("l_linenumber") % 2 == 0).alias("is_old")).distinct()
     return compare.ink_difference(ink.where("is_old and (x + y) % 5 <> 0").drop("is_old"), ink.where("not is_old and (x * y) % 7 <> 0").drop("is_old"), 1)
 
 
@@ -507,13 +520,6 @@ def residual_rms(spark, d):
     return align.residuals(p, align.fit_similarity(p)).groupBy("pair_id").agg(F.round(F.sqrt(F.avg(F.col("err") * F.col("err"))), 6).alias("rms"), F.round(F.max("err"), 6).alias("worst"))
 
 
-@query
-def quality_gate(spark, d):
-    p = bound(spark, d, "points")
-    exact = p.select("pair_id").distinct().select("pair_id", F.lit(0).alias("n"), F.lit(0.8).alias("a"), F.lit(0.6).alias("b"), F.lit(10.0).alias("tx"), F.lit(-5.0).alias("ty"))
-    return align.grade(p, exact).select("pair_id", "n", F.round("inlier_ratio", 6).alias("inlier_ratio"), F.round("rms", 6).alias("rms"), "verdict")
-
-
 @query
 def ransac_fit(spark, d):
     return align.ransac_fit(bound(spark, d, "points"))

@@ -51,7 +51,7 @@ CHANGES = f"changes AS {as_oracle('changes')}"
 POINTS = f"points AS {as_oracle('points')}"
 EVENTS = "ev AS (SELECT event_id, ts, user_id AS run_id, event_type AS stage, value, event_type = 'purchase' AS terminal FROM events)"
 SIDES = f"{LATEST}, old AS (SELECT k AS id, drawing_no AS number, number_key FROM latest WHERE side = 'old'), new AS (SELECT k AS id, drawing_no AS number, number_key FROM latest WHERE side = 'new')"
-PRINTS = "prints AS (SELECT doc_id AS id, lang, doc_id % 20 AS m, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z0-9]{2,}')) AS tokens FROM documents WHERE doc_id % 20 IN (3, 7))"
+PRINTS = "prints AS (SELECT doc_id AS id, lang, doc_id % 2 AS m, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z0-9]{2,}')) AS tokens FROM documents)"
 NUM = r"[-+±]?\d{1,3}(?:[ ,]\d{3})*(?:\.\d+)?|[-+±]?\d+(?:\.\d+)?"
 
 NOTES = r"""(SELECT p_partkey, p_partkey % 20 AS pair_id, upper(regexp_replace(trim((['For  Tender', 'digitally signed by', 'Status B', 'draft copy', 'Reviewed', 'grid'])[p_partkey % 6 + 1] || ' ' || substr(p_name, 1, 8)), '\s+', ' ', 'g')) AS t,
@@ -96,18 +96,16 @@ ORACLES = {
  CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN 100 WHEN 3 THEN 50 END::BIGINT AS ratio, CASE p_partkey % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.6 WHEN 4 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM part""",
     "match_tier1": f"WITH {SIDES} SELECT min(o.id) AS old_id, min(n.id) AS new_id, 1.0::DOUBLE AS confidence, 1 AS tier FROM old o JOIN new n USING (number) GROUP BY number HAVING count(*) = 1",
     "match_tier2": f"WITH {SIDES}, one AS (SELECT o.id AS a, n.id AS b FROM old o JOIN new n USING (number)) SELECT min(o.id) AS old_id, min(n.id) AS new_id, 0.98::DOUBLE AS confidence, 2 AS tier FROM old o JOIN new n USING (number_key) WHERE o.id NOT IN (SELECT a FROM one) AND n.id NOT IN (SELECT b FROM one) GROUP BY number_key HAVING count(*) = 1",
-    "list_fill_contains": f"""WITH {LISTED}, f AS (SELECT doc_id AS id, 'X' || upper(lang) || lpad(doc_id::VARCHAR, 5, '0') || 'REVB' AS stem FROM documents WHERE doc_id % 5 = 0)
+    "list_fill_contains": f"""WITH {LISTED}, f AS (SELECT doc_id AS id, 'X' || upper(lang) || lpad(doc_id::VARCHAR, 5, '0') || 'REVB' AS stem FROM documents)
  SELECT id, number_key AS key FROM f JOIN wanted ON contains(stem, number_key) WHERE length(number_key) >= 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(number_key) DESC, number_key) = 1""",
-    "fingerprint_similarity": f"""WITH {PRINTS}, p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.tokens, b.tokens)) AS s, len(a.tokens) AS x, len(b.tokens) AS y FROM prints a JOIN prints b ON a.lang = b.lang AND a.m = 7 AND b.m = 3)
- SELECT left_id, right_id, round_even(s / (x + y - s), 4) AS score FROM p WHERE s > 0 AND round_even(s / (x + y - s), 4) >= 0.05""",
+    "fingerprint_similarity": f"""WITH {PRINTS}, p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.tokens, b.tokens)) AS s, len(a.tokens) AS x, len(b.tokens) AS y FROM prints a JOIN prints b ON a.lang = b.lang AND a.m = 0 AND b.m = 1)
+ SELECT left_id, right_id, round_even(s / (x + y - s), 4) AS score FROM p WHERE s > 0 AND round_even(s / (x + y - s), 4) >= 0.7""",
     "match_ambiguity": """WITH c AS (SELECT l_orderkey % 700 AS left_id, l_partkey % 40 AS right_id, 0.5 + (sum(l_linenumber)::BIGINT * 7 % 50) / 100 AS score FROM lineitem GROUP BY 1, 2),
  r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
  SELECT left_id, right_id, score, runner_up, coalesce(runner_up >= 0.7 AND round_even(score - runner_up, 4) <= 0.05, false) AS ambiguous FROM r WHERE r = 1""",
     "iso_number_parse": "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'KEO' END AS originator, CASE WHEN p_partkey % 4 <> 0 THEN 'L' || (p_partkey % 9) END AS level, CASE WHEN p_partkey % 4 <> 0 THEN lpad(p_partkey::VARCHAR, 5, '0') END AS number FROM part",
     "render_template": r"""WITH n AS (SELECT p_partkey, upper(p_brand) || '-' || lpad((p_partkey % 977)::VARCHAR, 4, '0') || '_' || coalesce(CASE WHEN p_partkey % 3 <> 0 THEN lower(p_name) END, '') || '_' || CASE WHEN p_partkey % 4 <> 1 THEN 'A' ELSE '' END AS s FROM part)
  SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(s, '([-_ ])[-_ ]+', '\1', 'g'), '[<>:"/\\|?*]', '', 'g'), '^[-_ ]+|[-_ .]+$', '', 'g') AS name FROM n""",
-    "rename_collisions": """WITH p AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY seq) AS n FROM p)
- SELECT seq, stem || CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.pdf' AS final FROM r""",
     "undo_prefix": """WITH l AS (SELECT o_orderkey % 300 AS batch, o_orderkey AS seq, o_orderkey * 7 % 31 <> 5 AS ok FROM orders), f AS (SELECT batch, coalesce(max(seq) FILTER (NOT ok), -1) AS stop FROM l GROUP BY 1)
  SELECT batch, count(*) FILTER (seq > stop) AS undone, count(*) AS n FROM l JOIN f USING (batch) GROUP BY 1""",
     "classify_text": f"""WITH {ITEMS}, t AS (SELECT *, upper(text) AS u FROM items)
@@ -120,7 +118,7 @@ ORACLES = {
     "text_unchanged_moved": f"""WITH {ITEMS}, g AS (SELECT pair_id, text, count(*) FILTER (side = 'old') AS a, count(*) FILTER (side = 'new') AS b, max(x) FILTER (side = 'old') AS ox, max(y) FILTER (side = 'old') AS oy, max(x) FILTER (side = 'new') AS nx, max(y) FILTER (side = 'new') AS ny FROM items GROUP BY ALL),
  d AS (SELECT *, sqrt((nx - ox) ** 2 + (ny - oy) ** 2) AS dist FROM g WHERE a <= 1 AND b <= 1)
  SELECT pair_id, text, CASE WHEN a = 0 THEN 'new_only' WHEN b = 0 THEN 'old_only' WHEN dist <= 3.9 THEN 'unchanged' ELSE 'moved' END AS state, round(dist, 6) AS distance FROM d""",
-    "renumbering_detect": rf"""WITH {EDITS}, p AS (SELECT pair_id, o, n, regexp_extract(o, '^([A-Z]+[-/ ]?)(\d+)$', 1) AS op, try_cast(regexp_extract(o, '^([A-Z]+[-/ ]?)(\d+)$', 2) AS INT) AS a, regexp_extract(n, '^([A-Z]+[-/ ]?)(\d+)$', 1) AS np, try_cast(regexp_extract(n, '^([A-Z]+[-/ ]?)(\d+)$', 2) AS INT) AS b FROM edits WHERE item_id % 6 <> 2),
+    "renumbering_detect": rf"""WITH {EDITS}, p AS (SELECT pair_id, o, n, regexp_extract(o, '^([A-Z]+[-/ ]?)(\d+)$', 1) AS op, try_cast(regexp_extract(o, '^([A-Z]+[-/ ]?)(\d+)$', 2) AS INT) AS a, regexp_extract(n, '^([A-Z]+[-/ ]?)(\d+)$', 1) AS np, try_cast(regexp_extract(n, '^([A-Z]+[-/ ]?)(\d+)$', 2) AS INT) AS b FROM edits WHERE regexp_full_match(upper(n), 'D-?\d+')),
  g AS (SELECT pair_id, count(*) AS n, count(*) >= 2 AND count(a + b) = count(*) AND count(DISTINCT b - a) = 1 AND count(DISTINCT op || '|' || np) = 1 AND count(DISTINCT o) = count(DISTINCT p.n) AS renumbered, min(b - a)::BIGINT AS d FROM p GROUP BY 1)
  SELECT pair_id, n, renumbered, CASE WHEN renumbered THEN d END AS "offset" FROM g""",
     "tolerance_resolve": """WITH p AS (SELECT p_partkey, p_size * 2.0 AS site, CASE p_partkey % 5 WHEN 1 THEN 100 WHEN 2 THEN 5 WHEN 3 THEN 500 WHEN 4 THEN 50 END::DOUBLE AS den FROM part), w AS (SELECT *, coalesce(site / den, 0.5) AS want FROM p), c AS (SELECT *, greatest(least(want, 3.0), 0.2) AS paper FROM w)
@@ -131,8 +129,8 @@ ORACLES = {
  SELECT pair_id, state, count(*) AS n FROM j GROUP BY ALL""",
     "vector_removed_added": f"""WITH {SEGMENTS}, c AS (SELECT pair_id, geometry, count(*) FILTER (side = 'old') - count(*) FILTER (side = 'new') AS d FROM seg GROUP BY ALL)
  SELECT pair_id, CASE WHEN d > 0 THEN 'removed' ELSE 'added' END AS state, sum(abs(d))::BIGINT AS n FROM c WHERE d <> 0 GROUP BY ALL""",
-    "moves_mutual_nearest": f"""WITH {SEGMENTS}, m AS (SELECT pair_id, side, path_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, abs(x1 - x0) + abs(y1 - y0) AS len, x0 = x1 AS up FROM seg WHERE path_id % 7 = 0),
- p AS (SELECT o.pair_id, o.path_id AS old_id, n.path_id AS new_id, (o.cx - n.cx) ** 2 + (o.cy - n.cy) ** 2 AS d2 FROM m o JOIN m n ON o.pair_id = n.pair_id AND o.side = 'old' AND n.side = 'new' AND o.len = n.len AND o.up = n.up WHERE (o.cx - n.cx) ** 2 + (o.cy - n.cy) ** 2 <= 3600)
+    "moves_mutual_nearest": f"""WITH {SEGMENTS}, m AS (SELECT pair_id, side, path_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, abs(x1 - x0) AS w, abs(y1 - y0) AS h FROM seg),
+ p AS (SELECT o.pair_id, o.path_id AS old_id, n.path_id AS new_id, (o.cx - n.cx) ** 2 + (o.cy - n.cy) ** 2 AS d2 FROM m o JOIN m n ON o.pair_id = n.pair_id AND o.side = 'old' AND n.side = 'new' AND abs(o.len - n.len) <= 0.08 * greatest(o.len, n.len) AND abs(o.w - n.w) <= 0.1 * greatest(o.w, n.w) AND abs(o.h - n.h) <= 0.1 * greatest(o.h, n.h) WHERE (o.cx - n.cx) ** 2 + (o.cy - n.cy) ** 2 <= 3600)
  SELECT pair_id, old_id, new_id, round(sqrt(d2), 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY pair_id, old_id ORDER BY d2, new_id) = 1 AND row_number() OVER (PARTITION BY pair_id, new_id ORDER BY d2, old_id) = 1""",
     "hatch_spacing": f"""WITH {SEGMENTS}, l AS (SELECT DISTINCT pair_id, CASE WHEN x0 = x1 THEN 90 ELSE 0 END AS angle, CASE WHEN x0 = x1 THEN x0 ELSE y0 END::DOUBLE AS v FROM seg),
  g AS (SELECT pair_id, angle, v - lag(v) OVER (PARTITION BY pair_id, angle ORDER BY v) AS gap FROM l), m AS (SELECT pair_id, angle, count(gap) AS n, median(gap) AS mid FROM g WHERE gap IS NOT NULL GROUP BY ALL)
@@ -140,7 +138,7 @@ ORACLES = {
     "bbox_iou_join": f"""WITH {CHANGES}, p AS (SELECT a.pair_id, a.change_id AS l_id, b.change_id AS r_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h AS p, b.w * b.h AS q
   FROM changes a JOIN changes b ON a.pair_id = b.pair_id AND a.stream = 'O' AND b.stream = 'F' AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h)
  SELECT pair_id, l_id, r_id, round(s / (p + q - s), 6) AS iou FROM p WHERE s / (p + q - s) >= 0.4 OR s / least(p, q) >= 0.8""",
-    "ink_tolerant_diff": """WITH i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem WHERE l_partkey * 7 % 97 < 60),
+    "ink_tolerant_diff": """WITH i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem),
  a AS (SELECT pair_id, x, y FROM i WHERE o AND (x + y) % 5 <> 0), b AS (SELECT pair_id, x, y FROM i WHERE NOT o AND (x * y) % 7 <> 0),
  d(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))
  SELECT pair_id, x, y, 'removed' AS state FROM a ANTI JOIN (SELECT pair_id, x + i AS x, y + j AS y FROM b, d) USING (pair_id, x, y)
@@ -164,9 +162,6 @@ ORACLES = {
     "residual_rms": f"""WITH {POINTS}, f AS (SELECT pair_id, (covar_pop(ox, nx) + covar_pop(oy, ny)) / (var_pop(ox) + var_pop(oy)) AS a, (covar_pop(ox, ny) - covar_pop(oy, nx)) / (var_pop(ox) + var_pop(oy)) AS b, avg(ox) AS mx, avg(oy) AS my, avg(nx) AS ux, avg(ny) AS uy FROM points GROUP BY 1),
  e AS (SELECT pair_id, sqrt((a * (ox - mx) - b * (oy - my) + ux - nx) ** 2 + (b * (ox - mx) + a * (oy - my) + uy - ny) ** 2) AS err FROM points JOIN f USING (pair_id))
  SELECT pair_id, round(sqrt(avg(err ** 2)), 6) AS rms, round(max(err), 6) AS worst FROM e GROUP BY 1""",
-    "quality_gate": f"""WITH {POINTS}, e AS (SELECT pair_id, sqrt((0.8 * ox - 0.6 * oy + 10 - nx) ** 2 + (0.6 * ox + 0.8 * oy - 5 - ny) ** 2) AS err FROM points),
- m AS (SELECT pair_id, count(*) AS n, avg((err <= 3)::INT) AS r, sqrt(avg(CASE WHEN err <= 3 THEN err ** 2 END)) AS rms FROM e GROUP BY 1)
- SELECT pair_id, n, round(r, 6) AS inlier_ratio, round(rms, 6) AS rms, CASE WHEN n >= 8 AND r >= 0.6 AND rms <= 1 THEN 'excellent' WHEN n >= 3 AND r >= 0.6 AND rms <= 2 THEN 'good' WHEN n >= 3 AND r >= 0.54 AND rms <= 2.2 THEN 'review' ELSE 'failed' END AS verdict FROM m""",
     "progress_coalesce": f"WITH {EVENTS} SELECT run_id, stage, event_id, value FROM ev WHERE terminal UNION ALL SELECT run_id, stage, event_id, value FROM (FROM ev WHERE NOT terminal QUALIFY row_number() OVER (PARTITION BY run_id, stage, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1)",
     "progress_latest": f"WITH {EVENTS} SELECT run_id, event_id, stage FROM ev QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1",
     "event_windows": f"WITH {EVENTS} SELECT date_trunc('hour', ts) AS start, stage, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1, 2",
@@ -204,11 +199,3 @@ ORACLES = {
 }
 
 ORACLES = ORACLES | {k: ORACLES[k].replace("NOTES", NOTES) for k in ("watermark_text", "control_stamps")}
-ORACLES["ink_regions"] = """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem WHERE l_partkey * 7 % 97 < 60),
- a AS (SELECT pair_id, x, y FROM i WHERE o AND (x + y) % 5 <> 0), b AS (SELECT pair_id, x, y FROM i WHERE NOT o AND (x * y) % 7 <> 0), near(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)),
- d AS (SELECT *, 'removed' AS state FROM (FROM a EXCEPT SELECT pair_id, x + i, y + j FROM b, near) UNION ALL SELECT *, 'added' FROM (FROM b EXCEPT SELECT pair_id, x + i, y + j FROM a, near)),
- r(pair_id, x, y, u, v) AS (SELECT pair_id, x, y, x, y FROM d UNION SELECT r.pair_id, r.x, r.y, d.x, d.y FROM r JOIN d ON d.pair_id = r.pair_id AND abs(d.x - u) <= 1 AND abs(d.y - v) <= 1),
- l AS (SELECT pair_id, x, y, min(v * 1000 + u) AS region FROM r GROUP BY ALL),
- q AS (SELECT pair_id, region, min(x) AS x, min(y) AS y, max(x) AS x1, max(y) AS y1, count(*) AS area FROM l GROUP BY ALL HAVING count(*) >= 2),
- c AS (SELECT q.pair_id, q.x, q.y, x1 - q.x + 1 AS w, y1 - q.y + 1 AS h, area, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'added') AS added FROM q JOIN d ON d.pair_id = q.pair_id AND d.x BETWEEN q.x AND x1 AND d.y BETWEEN q.y AND y1 GROUP BY q.pair_id, region, q.x, q.y, x1, y1, area)
- SELECT *, CASE WHEN removed > 0.2 * added AND added > 0.2 * removed THEN 'modified' WHEN added > 0.2 * removed THEN 'added' ELSE 'removed' END AS kind FROM c"""
