@@ -19,13 +19,14 @@ TITLE_LABELS = ("drawing title", "sheet title", "title", "description")
 BELOW, RIGHT, COLUMN, OFF_AXIS = 0.06, 0.18, 0.08, 4.0
 WRAP_COLUMN, WRAP_GAP, WRAP_HEIGHT = 0.006, 1.8, 0.3
 REVISION_PATTERNS = (r"\b(?:REV(?:ISION)?\.?\s*[:\-]?\s*)([A-Z]{1,2}\d{0,2})\b", r"\b([PCTS]\d{2})\b", r"\b(?:REV(?:ISION)?\.?\s*[:\-]?\s*)(\d{1,2})\b")
+REVISION_SHAPE = r"^([A-Z]{1,2}\d{0,2}|\d{1,2})$"
 REVISION_STOPWORDS = ("URGENT", "ISSUE", "DATE", "BY", "OF", "NO", "TO", "AS", "IN", "ON", "NTS")
 CONFIDENCE = {"user": 1.0, "titleblock": 0.95, "zone": 0.75, "drawing_list": 0.7, "sheet_text": 0.6, "filename": 0.55}
 
 
 def is_plausible_revision(text: Column) -> Column:
     t = F.btrim(F.upper(F.trim(text)), F.lit(".:-"))
-    return (F.length(t) <= 4) & ~t.isin(*REVISION_STOPWORDS) & t.rlike(r"^([A-Z]{1,2}\d{0,2}|\d{1,2})$")
+    return (F.length(t) <= 4) & ~t.isin(*REVISION_STOPWORDS) & t.rlike(REVISION_SHAPE)
 
 
 def find_revision(text: Column) -> Column:

@@ -93,13 +93,13 @@ def quality_gate(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT p_partkey, 0.1 + p_partkey % 60 / 10.0 AS s, p_partkey % 91 AS deg, p_partkey % 8 = 0 AS mirrored, CASE WHEN p_partkey % 6 = 0 THEN 0.02 ELSE 0 END AS sh FROM part),
+    """WITH f AS (SELECT p_partkey, 0.13 + p_partkey % 60 / 10.0 AS s, p_partkey % 91 AS deg, p_partkey % 8 = 0 AS mirrored, CASE WHEN p_partkey % 6 = 0 THEN 0.02 ELSE 0 END AS sh FROM part),
  t AS (SELECT *, abs((deg + 45.0) % 90 - 45) AS off FROM f)
  SELECT p_partkey AS pair_id, round(s, 6) AS scale, len(list_filter([NOT s BETWEEN 0.2 AND 5, mirrored, off > 2, abs(s * sh) > 0.001], lambda x: x)) AS problems FROM t"""
 )
 def transform_sanity(spark, d):
     k = F.col("p_partkey")
-    s, deg = F.lit(0.1) + k % 60 / 10, F.radians((k % 91).cast("double"))
+    s, deg = F.lit(0.13) + k % 60 / 10, F.radians((k % 91).cast("double"))
     flip, shear = F.when(k % 8 == 0, -1.0).otherwise(1.0), F.when(k % 6 == 0, 0.02).otherwise(0.0)
     c, n = F.cos(deg), F.sin(deg)
     # a turn after a scale (sx, shear; 0, sy)
