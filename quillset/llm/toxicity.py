@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.llm.groups import bounds
-from quillset.llm.storage import materialise
+from quillset.storage import materialise
 from quillset.llm.textkernel import ALNUM, LOWER, U64, Poly, distinct, flat, mix, slices, words
 
 BITS = 20
@@ -98,17 +99,17 @@ def telling(doc: np.ndarray, term: np.ndarray, label: np.ndarray, *, least_docs:
     def odds(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
         return np.log((one + 0.5) / (all_ - one + 0.5))
 
-    single = odds(ones[common], seen[common])
-    expected = sigmoid(single[:, None] + single - odds(label.sum(), len(label)))
-    error = np.sqrt(both * expected * (1 - expected) + 0.5)
-    pairs = (np.abs(both_ones - both * expected) >= least_pair_z * error) & (both >= 4 * least_docs)
-    np.fill_diagonal(pairs, False)
-    alone[common[pairs.any(axis=1)]] = True
+    single = odds(ones[common], seen[common]).astype(np.float32)
+    for i in range(0, len(common), 100):
+        n, expected = both[i : i + 100], sigmoid(single[i : i + 100, None] + single - np.float32(odds(label.sum(), len(label))))
+        told = (np.abs(both_ones[i : i + 100] - n * expected) >= least_pair_z * np.sqrt(n * expected * (1 - expected) + 0.5)) & (n >= 4 * least_docs)
+        told[np.arange(len(told)), np.arange(i, i + len(told))] = False
+        alone[common[i : i + 100][told.any(axis=1)]] = True
     return np.flatnonzero(alone)
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, factor_decay: float = 1e-3, dropout: float = 0.3, least_docs: int = 4, least_z: float = 4.0, pair_terms: int = 2_000, least_pair_z: float = 6.0, seed: int = 5) -> Machine:
-    """Fit on term lists and 0/1 labels; ``prior`` is the share of ones where the rows were sampled from.
+def fit(first: np.ndarray, term: np.ndarray, label: np.ndarray, *, prior: float, factors: int = 4, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, factor_decay: float = 1e-3, dropout: float = 0.3, least_docs: int = 4, least_z: float = 4.0, pair_terms: int = 1_000, least_pair_z: float = 6.0, seed: int = 5) -> Machine:
+    """Fit on texts' term lists (term[first[i] : first[i + 1]]) and 0/1 labels; ``prior`` is the share of ones where the rows were sampled from.
 
     Each step hears a term with probability 1 - ``dropout``, so that one strong term is
     enough where most texts hold several, and factors decay faster than weights, so that
@@ -118,17 +119,17 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     none = Machine(np.zeros(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, factors)))
-    if not len(rows) or label.min() == label.max():
+    if not len(label) or label.min() == label.max():
         return none
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    term = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
     buckets = telling(doc, term, label, least_docs=least_docs, least_z=least_z, pair_terms=pair_terms, least_pair_z=least_pair_z)
     if not len(buckets):
         return none
     place = np.full(1 << BITS, -1)
     place[buckets] = np.arange(len(buckets))
-    doc, term = doc[place[term] >= 0], place[term[place[term] >= 0]]
-    first = np.searchsorted(doc, np.arange(len(rows) + 1))
+    used = place[term] >= 0
+    doc, term = doc[used], place[term[used]]
+    first = np.searchsorted(doc, np.arange(len(label) + 1))
     rng = np.random.default_rng(seed)
     machine = Machine(buckets, 0.0, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), factors)))
     parameters = np.zeros((len(buckets), factors + 1))
@@ -136,8 +137,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, prior: float, factors: int
     moment, square, bias, bias_m, bias_s, step = np.zeros_like(parameters), np.zeros_like(parameters), 0.0, 0.0, 0.0, 0
     for epoch in range(epochs):
         slower = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(rows))
-        for chunk in np.array_split(order, max(1, len(rows) // 256)):
+        order = rng.permutation(len(label))
+        for chunk in np.array_split(order, max(1, len(label) // 256)):
             chunk = np.sort(chunk)
             lengths = first[chunk + 1] - first[chunk]
             t = term[np.repeat(first[chunk] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
@@ -193,14 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", per_clas
     so_far = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     held = listed.withColumn("before", F.coalesce(F.sum(F.size("terms")).over(so_far), F.lit(0))).where(F.col("before") < terms_per_class)
     got = held.select("doc_id", "label", "terms").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    rows = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    if isinstance(rows, pa.ChunkedArray):
-        rows = rows.chunk(0) if rows.num_chunks else pa.array([], pa.list_(pa.int32()))
-    ends, flat_terms = np.asarray(rows.offsets), rows.values.to_numpy().astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    lists = [flat_terms[ends[i] : ends[i + 1]] for i in range(len(rows))]
-    label = got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
+    label = got["label"].to_numpy().astype(float)
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(got["terms"]).to_numpy())]).astype(np.int64)
+    term = pc.list_flatten(got["terms"]).to_numpy()
+    del got
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(lists, label, prior=share, **options)
+    return fit(first, term, label, prior=share, **options)
 
 
 def scorer(machine: Machine):

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillset.llm import decontaminate, embed_dedup, line_dedup, minhash_forest, mixing, storage, suffix_dedup, token_count, warc_revisit
+from quillset import storage
+from quillset.llm import decontaminate, embed_dedup, line_dedup, minhash_forest, mixing, suffix_dedup, token_count, warc_revisit
 
 SCHEMA = "doc_id long, text string"
 
