@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillset.llm import decontaminate, embed_dedup, line_dedup, minhash_forest, mixing, suffix_dedup, token_count, toxicity, url_filter, warc_revisit
+from quillset.llm import decontaminate, embed_dedup, hard_negatives, line_dedup, minhash_forest, mixing, period_runs, sharding, suffix_dedup, token_count, toxicity, url_filter, warc_revisit
 
 #: (action, host, path)
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -90,6 +90,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where h = crc32(doc_id) is divisible by 10, the words from a on repeat the p words there."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    n = F.size("words")
+    g = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10).cast("long")
+    a = F.when(n > 0, g % n).cast("int")
+    p = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - F.col("a")) / F.col("p")).cast("int"))), 1, n - F.col("a"))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    known = docs.select("doc_id", "text", F.when(chosen, words).alias("words")).withColumn("g", g).withColumn("a", a).withColumn("p", p)
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    return known.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")), min_length=12)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    # the longest run, then the first one, then that of the shortest period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_url_filter, op2_mix_sources, op3_embedding_dedup, op4_decontaminate, op5_suffix_dedup, op6_warc_revisits, op7_minhash_dedup, op8_token_count, op9_line_dedup, op10_toxicity, pipeline)
+    named = (op1_url_filter, op2_mix_sources, op3_embedding_dedup, op4_decontaminate, op5_suffix_dedup, op6_warc_revisits, op7_minhash_dedup, op8_token_count, op9_line_dedup, op10_toxicity, op11_sharding, op12_hard_negatives, op13_period_runs, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -167,6 +203,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_warc_revisits": OP6, "op9_line_dedup": OP9}
+    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_warc_revisits": OP6, "op9_line_dedup": OP9, "op12_hard_negatives": OP12}
