@@ -90,7 +90,7 @@ def dimension_lines(spark, d):
  UNION ALL SELECT pair_id, min(change_id), 'style_only', min(x), min(y), max(x + w) - min(x), max(y + h) - min(y) FROM s WHERE n >= 2 GROUP BY pair_id"""
 )
 def line_weight_collapse(spark, d):
-    return noise.style_collapse(_rows(spark, d), "line weight").kept.select("pair_id", "change_id", "kind", "x", "y", "w", "h")
+    return noise.style_collapse("line weight")(_rows(spark, d)).kept.select("pair_id", "change_id", "kind", "x", "y", "w", "h")
 
 
 def _layers(spark, d):
@@ -112,7 +112,7 @@ LAYERS = """ly AS (SELECT o_orderkey % 50 AS pair_id, o_orderkey % 2 = 0 AS is_o
  SELECT pair_id, kind, count(*) AS n FROM (SELECT pair_id, kind FROM r ANTI JOIN g USING (change_id) UNION ALL SELECT pair_id, 'layer_visibility_changed' FROM tg) GROUP BY ALL"""
 )
 def layer_absorb(spark, d):
-    return noise.layer_toggle(_rows(spark, d), _layers(spark, d), _content(spark, d)).kept.groupBy("pair_id", "kind").agg(F.count("*").alias("n"))
+    return noise.layer_toggle(_layers(spark, d), _content(spark, d))(_rows(spark, d)).kept.groupBy("pair_id", "kind").agg(F.count("*").alias("n"))
 
 
 def _plain_texts(spark, d):
@@ -124,7 +124,7 @@ def _plain_texts(spark, d):
  SELECT DISTINCT r.pair_id, change_id FROM r JOIN t USING (pair_id) WHERE stream = 'raster' AND greatest(0, least(x + w, tx + tw) - greatest(x, tx)) * greatest(0, least(y + h, ty + th) - greatest(y, ty)) > 0.8 * w * h"""
 )
 def font_substitution(spark, d):
-    return noise.font_substitution(_rows(spark, d), _plain_texts(spark, d)).suppressed.select("pair_id", "change_id")
+    return noise.font_substitution(_plain_texts(spark, d))(_rows(spark, d)).suppressed.select("pair_id", "change_id")
 
 
 @query(
@@ -133,7 +133,7 @@ def font_substitution(spark, d):
  SELECT pair_id, change_id FROM m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pair_id = m.pair_id AND i.change_id <> m.change_id AND i.px >= 30 AND i.x <= m.x + m.w + 20 AND m.x - 20 <= i.x + i.w AND i.y <= m.y + m.h + 20 AND m.y - 20 <= i.y + i.h)"""
 )
 def speckle(spark, d):
-    return noise.speckle(_rows(spark, d), 60.0, 20.0).suppressed.select("pair_id", "change_id")
+    return noise.speckle(60.0, 20.0)(_rows(spark, d)).suppressed.select("pair_id", "change_id")
 
 
 @query(
@@ -141,7 +141,7 @@ def speckle(spark, d):
  SELECT pair_id, kind, count(*) AS n, sum(w * h) AS area FROM (SELECT pair_id, kind, w, h FROM r ANTI JOIN l USING (change_id) UNION ALL SELECT pair_id, 'background_updated', max(x + w) - min(x), max(y + h) - min(y) FROM l GROUP BY 1) GROUP BY ALL"""
 )
 def background_update(spark, d):
-    kept = noise.background_update(_rows(spark, d), 20_000.0).kept
+    kept = noise.background_update(20_000.0)(_rows(spark, d)).kept
     return kept.groupBy("pair_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("h")).alias("area")).withColumn("area", F.round("area", 6))
 
 
@@ -183,7 +183,38 @@ def residual_shares(spark, d):
     return shares.select("pair_id", *(F.round(c, 6).alias(c) for c in ("thin_share", "tracing_share")))
 
 
-@query()
+PLOTS = """u AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+ pc AS (SELECT *, [p % 256, p * 3 % 256, p * 7 % 256] AS o, CASE WHEN k % 50 < 25 THEN [p % 256, p * 3 % 256, p * 7 % 256] ELSE [p % 256] END AS w, (k * 7 + n) % 3 = 0 AS oi FROM u),
+ ps AS (SELECT k % 50 AS pair_id, CASE WHEN list_max(o) = 0 THEN 0 ELSE (list_max(o) - list_min(o)) * 255.0 / list_max(o) END AS a, CASE WHEN list_max(w) = 0 THEN 0 ELSE (list_max(w) - list_min(w)) * 255.0 / list_max(w) END AS b, oi, oi AND (k % 50 % 4 <> 0 OR k % 11 <> 0) AS ni FROM pc),
+ pp AS (SELECT pair_id FROM ps GROUP BY 1 HAVING abs(avg(a) - avg(b)) > 4 AND coalesce(count(*) FILTER (oi AND ni) / nullif(count(*) FILTER (oi OR ni), 0), 1) > 0.95)"""
+
+
+def _inside(box: str, share: str) -> str:
+    """SQL: the share of (x, y, w, h) that lies in a box with columns of a prefix."""
+    b = {c: f"{box}{c}" for c in "xywh"}
+    return f"greatest(0, least(x + w, {b['x']} + {b['w']}) - greatest(x, {b['x']})) * greatest(0, least(y + h, {b['y']} + {b['h']}) - greatest(y, {b['y']})) {share} * w * h"
+
+
+@query(
+    f"""WITH {ROWS}, {LAYERS}, {PLOTS},
+ a0 AS (SELECT *, pair_id % 17 = 3 AS aside, CASE WHEN pair_id % 17 = 3 AND stream <> 'text' THEN 'detect_alignment_residual' END AS t0 FROM r),
+ a1 AS (SELECT *, CASE WHEN t0 IS NULL AND stream <> 'text' AND w * h > 0 AND pair_id IN (SELECT pair_id FROM tg) AND EXISTS (SELECT 1 FROM rg WHERE rg.pair_id = a0.pair_id AND {_inside("r", ">= 0.8")}) THEN 'filter_layer_toggle' END AS t1 FROM a0),
+ b AS (SELECT pair_id, stream, kind, wording, x, y, w, h, change_id FROM a1 WHERE coalesce(t0, t1) IS NULL AND NOT aside
+  UNION ALL SELECT pair_id, 'vector', 'layer_visibility_changed', name, rx + 12, ry + 12, 900, 700, NULL FROM tg LEFT JOIN rg USING (pair_id) WHERE pair_id % 17 <> 3),
+ s AS (SELECT *, CASE WHEN kind = 'style_only' AND contains(wording, 'line weight') THEN 'line weight' WHEN kind = 'style_only' AND contains(wording, 'line type') THEN 'line type' END AS style FROM b),
+ s2 AS (SELECT *, style IS NOT NULL AND count(style) OVER (PARTITION BY pair_id, style) >= 2 AS t2 FROM s),
+ c AS (SELECT *, CASE WHEN stream = 'raster' AND pair_id IN (SELECT pair_id FROM pp) THEN 'filter_colour_plot'
+   WHEN stream = 'raster' AND w * h > 0 AND EXISTS (SELECT 1 FROM (SELECT pair_id, x - 7.8 AS tx, y - 7.8 AS ty, 55.6 AS tw, 45.6 AS th FROM r WHERE stream = 'text') f WHERE f.pair_id = s2.pair_id AND {_inside("t", "> 0.8")}) THEN 'filter_font_substitution' END AS t3
+  FROM s2 WHERE NOT t2),
+ i AS (SELECT pair_id, change_id, x, y, w, h, w * h AS px FROM c WHERE stream = 'raster' AND t3 IS NULL),
+ m AS (SELECT change_id FROM i AS m WHERE px < 8 OR px < 16 AND NOT EXISTS (SELECT 1 FROM i WHERE i.pair_id = m.pair_id AND i.change_id <> m.change_id AND i.px >= 8
+   AND i.x <= m.x + m.w + 1000 / 25.4 AND m.x - 1000 / 25.4 <= i.x + i.w AND i.y <= m.y + m.h + 1000 / 25.4 AND m.y - 1000 / 25.4 <= i.y + i.h)),
+ e AS (SELECT *, CASE WHEN t3 IS NOT NULL THEN t3 WHEN stream = 'raster' AND change_id IN (SELECT change_id FROM m) THEN 'filter_speckle' WHEN stream = 'raster' AND w * h >= 6000 THEN 'filter_background_update' END AS t4 FROM c),
+ gone AS (SELECT coalesce(t0, t1) AS name FROM a1 WHERE coalesce(t0, t1) IS NOT NULL UNION ALL SELECT 'filter_' || replace(style, ' ', '_') FROM s2 WHERE t2 UNION ALL SELECT t4 FROM e WHERE t4 IS NOT NULL),
+ kept AS (SELECT kind FROM e WHERE t4 IS NULL UNION ALL SELECT kind FROM a1 WHERE aside AND coalesce(t0, t1) IS NULL UNION ALL SELECT 'layer_visibility_changed' FROM tg LEFT JOIN rg USING (pair_id) WHERE pair_id % 17 = 3
+  UNION ALL SELECT 'style_only' FROM s2 WHERE t2 GROUP BY pair_id, style UNION ALL SELECT 'background_updated' FROM e WHERE t4 = 'filter_background_update' GROUP BY pair_id)
+ SELECT 'kept' AS what, kind AS name, count(*) AS n FROM kept GROUP BY ALL UNION ALL SELECT 'suppressed', name, count(*) FROM gone GROUP BY ALL"""
+)
 def run_filters(spark, d):
     """How many changes all filters keep and suppress, by filter."""
     out = noise.run_filters(_rows(spark, d), residual=spark.range(50).where("id % 17 = 3").select(F.col("id").alias("pair_id")), layers=_layers(spark, d), regions=_content(spark, d), settings=noise.plot_settings(_pixels(spark, d)), unchanged=_plain_texts(spark, d), sheet_area=40_000.0)

@@ -191,7 +191,7 @@ def test_filters_and_comparison(spark):
     assert rows == {("text", "modified", "consistent", 200.0), ("vector", "moved", None, None), ("vector", "removed", None, None), ("text", "modified", "geometry_moved_dimension_stale", None), ("vector", "style_only", None, None)}
     assert [(r.filter_name, r.n) for r in out.suppressed.groupBy("filter_name").agg(F.count("*").alias("n")).collect()] == [("filter_line_weight", 3)]
     ink = spark.createDataFrame([(1, 1, "raster", 0.0, 0.0, 2.0, 2.0), (1, 2, "raster", 50.0, 50.0, 3.0, 4.0), (1, 3, "raster", 60.0, 50.0, 9.0, 9.0), (1, 4, "raster", 500.0, 500.0, 3.0, 4.0), (1, 5, "text", 0.0, 0.0, 1.0, 1.0)], "pair_id long, change_id long, stream string, x double, y double, w double, h double").withColumn("area", F.lit(None).cast("double"))
-    assert sorted(r.change_id for r in noise.speckle(ink).kept.collect()) == [2, 3, 5]
+    assert sorted(r.change_id for r in noise.speckle()(ink).kept.collect()) == [2, 3, 5]
 
 
 def test_lists(spark):
