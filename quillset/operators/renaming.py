@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillset.operators.cascade import EXTENSIONS
+from quillset.functions.names import EXTENSIONS
 from quillset.operators.folds import fold
 from quillset.storage import materialise
 

@@ -152,7 +152,7 @@ def page_facts(spark, d):
 @query
 def find_numbers(spark, d):
     k = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("see "), F.upper("lang"), F.lit("-"), F.lpad(k, 4, "0"), F.lit(" and A"), F.lpad(k, 3, "0"), F.lit(" at 1:50, UVU-KEO-ARC-L03-DR-A-0"), k, F.lit(" REV"))
+    text = F.concat(F.lit("see "), F.upper("lang"), F.lit("-"), F.lpad(k, 4, "0"), F.lit(" and A"), F.lpad(k, 3, "0"), F.lit(" at 1:50, KLM-NOR-STR-B02-DR-S-0"), k, F.lit(" REV"))
     return table(spark, d, "documents").select("doc_id", F.array_join(numbers.find_numbers(text), "|").alias("found"))
 
 
@@ -231,7 +231,7 @@ def name_ratio(spark, d):
 @query
 def iso_number_parse(spark, d):
     k = F.col("p_partkey")
-    n = F.concat(F.lit("UVU-KEO-"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-L"), (k % 9).cast("string"), F.lit("-DR-A-"), F.when(k % 4 == 0, F.lit("x")).otherwise(F.lpad(k.cast("string"), 5, "0")))
+    n = F.concat(F.lit("KLM-NOR-"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-L"), (k % 9).cast("string"), F.lit("-DR-A-"), F.when(k % 4 == 0, F.lit("x")).otherwise(F.lpad(k.cast("string"), 5, "0")))
     return table(spark, d, "part").select("p_partkey", naming.parse_iso_number(n).alias("f")).select("p_partkey", F.col("f.originator").alias("originator"), F.col("f.level").alias("level"), F.col("f.number").alias("number"))
 
 

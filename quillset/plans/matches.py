@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillset.functions import numbers
+from quillset.functions import names, numbers
 from quillset.operators import blocks, cascade, ingest, listing, masks, matching, renaming
 from quillset.plans.registry import Registry
 from quillset.sources.bindings import bound, table
@@ -43,15 +43,51 @@ def match_representatives(spark, d):
     return cascade.representatives(_named_sheets(spark, d)).select("side", "number_key", "abs_path", "n_superseded")
 
 
-@query(
-    """SELECT p_partkey, 'uvu-arc-' || lpad((p_partkey % 900)::VARCHAR, 3, '0') || CASE WHEN p_partkey % 4 = 3 THEN '-' || lower(p_brand[7:8]) ELSE '' END AS medium, 'uvuarc' || lpad((p_partkey % 900)::VARCHAR, 3, '0') || CASE WHEN p_partkey % 4 = 3 THEN lower(p_brand[7:8]) ELSE '' END AS aggressive FROM part WHERE length(p_brand) >= 8"""
-)
+def _strings(of: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in of) + "]"
+
+
+NAME_ENDINGS = ("_RevD.pdf", "_12-Apr-2026_P02.PDF", " 2026.04.12 (C).dwg", "_A1.pdf", " revision 03 - Copy.png", "-20260412_FOR APPROVAL.pdf", " (2).tif", "_D.dwg", "(C02)_Rev E.pdf", " Apr 2026.pdf", ".final.v2", "_P01_superseded.pdf",
+    " rev.b", "_A1_IFC.pdf", "'s plan, 12/04/26.pdf", "", "—draft_Rev (3)_04.05.2026.dxf", " checked_B_a4.jpeg", "_old-signed off_2026_1_2.bmp")
+NAME_STARTS = ("", "07 - ", "Copy of ", "NEW ", " 112_", "issued-for-tender ")
+
+
+def _replaced(of: str, pattern: str, by: str = "", all_: bool = False) -> str:
+    """SQL: a pattern of ``of`` replaced, quotes doubled."""
+    return f"regexp_replace({of}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}'" + (", 'g')" if all_ else ")")
+
+
+def _cut(of: str) -> str:
+    """SQL: up to five endings cut off one by one, in RE2, which has no look-around."""
+    code = r"(?:[b-z]\d{0,2}|a(?:[5-9]|\d\d)?|[a-z]{2}\d{0,2})"
+    for _ in range(5):
+        of = _replaced(of, rf"(?:[-_ .]+|([(])|^)(?:{names.REVISION}|{names.DATE})$|[-_ .]*_{code}$|[-_ .]*\({names.CODE}\)$", r"\1")
+    return of
+
+
+def _dash(of: str) -> str:
+    return f"trim({_replaced(of, names.SEPARATORS, '-', True)}, '-')"
+
+
+def _core(of: str) -> str:
+    junk = "|".join((*names.JUNK_WORDS, names.SHEET_SIZE))
+    return _replaced(of, f"^(?:(?:{junk})-)*(.+?)(?:-(?:{junk}))*$", r"\1")
+
+
+NAME_SQL = f"""WITH n AS (SELECT p_partkey, {_strings(NAME_STARTS)}[p_partkey % {len(NAME_STARTS)} + 1] || 'KLM–STR_' || lpad((p_partkey % 900)::VARCHAR, 3, '0') || {_strings(NAME_ENDINGS)}[p_partkey // 7 % {len(NAME_ENDINGS)} + 1] AS name FROM part),
+ t AS (SELECT p_partkey, lower(trim(translate(name, '–—', '--'))) AS t FROM n),
+ s AS (SELECT *, {_cut(_replaced(_replaced("t", "[.](?:" + "|".join(names.EXTENSIONS) + ")$"), "^" + names.SEQUENCE))} AS stem FROM t),
+ c AS (SELECT *, {_dash(_replaced(_replaced("stem", "^" + names.COPY_OF), names.COPY_MARK + "$"))} AS bare FROM s),
+ w AS (SELECT *, {_cut(_core("bare"))} AS one FROM c), v AS (SELECT *, {_cut(_core("one"))} AS two FROM w)
+ SELECT p_partkey, {_dash("t")} AS light, {_dash("stem")} AS medium, {_replaced("two", "[^a-z0-9]", "", True)} AS aggressive FROM v"""
+
+
+@query(NAME_SQL)
 def name_normalise(spark, d):
     k = F.col("p_partkey")
-    base = F.concat(F.lit("UVU–ARC_"), F.lpad((k % 900).cast("string"), 3, "0"))
-    ending = F.when(k % 4 == 0, F.lit("_RevD.pdf")).when(k % 4 == 1, F.lit("_12-Apr-2026_P02.PDF")).when(k % 4 == 2, F.lit(" 2026.04.12 (C).dwg")).otherwise(F.concat(F.lit(" "), F.substring("p_brand", 7, 2), F.lit(".pdf")))
-    name = F.concat(F.when(k % 5 == 0, F.lit("07 - ")).otherwise(F.lit("")), base, ending)
-    return table(spark, d, "part").where("length(p_brand) >= 8").select("p_partkey", *(cascade.name_key(name, level).alias(level) for level in ("medium", "aggressive")))
+    start, ending = (F.element_at(F.array(*map(F.lit, of)), i.cast("int") + 1) for of, i in ((NAME_STARTS, k % len(NAME_STARTS)), (NAME_ENDINGS, F.floor(k / 7) % len(NAME_ENDINGS))))
+    name = F.concat(start, F.lit("KLM–STR_"), F.lpad((k % 900).cast("string"), 3, "0"), ending)
+    return table(spark, d, "part").select("p_partkey", *(names.normalise_name(name, level).alias(level) for level in names.LEVELS))
 
 
 @query(

@@ -88,7 +88,7 @@ ORACLES = {
  SELECT p.abs_path, page_index, drawing_no, CASE WHEN one THEN n ELSE 1 END AS sheets_in_drawing FROM p JOIN f USING (abs_path) WHERE NOT one OR page_index = p0""",
     "page_facts": """WITH p AS (SELECT 'f' || (doc_id // 4) AS abs_path, CASE WHEN doc_id % 5 = 0 THEN doc_id % 30 ELSE n_chars END AS c, doc_id % 3 AS i FROM documents)
  SELECT abs_path, bool_or(c >= 20) AS any_text, bool_and(c < 20 AND i > 0) AS all_scanned, count(*) AS pages FROM p GROUP BY 1""",
-    "find_numbers": r"""WITH t AS (SELECT doc_id, 'SEE ' || upper(lang) || '-' || lpad(doc_id::VARCHAR, 4, '0') || ' AND A' || lpad(doc_id::VARCHAR, 3, '0') || ' AT 1:50, UVU-KEO-ARC-L03-DR-A-0' || doc_id || ' REV' AS s FROM documents),
+    "find_numbers": r"""WITH t AS (SELECT doc_id, 'SEE ' || upper(lang) || '-' || lpad(doc_id::VARCHAR, 4, '0') || ' AND A' || lpad(doc_id::VARCHAR, 3, '0') || ' AT 1:50, KLM-NOR-STR-B02-DR-S-0' || doc_id || ' REV' AS s FROM documents),
  a AS (SELECT doc_id, regexp_extract_all(s, '\b[A-Z]{2,5}(?:-[A-Z0-9]{1,6}){3,7}\b') || regexp_extract_all(s, '\b[A-Z]{1,3}-\d{2,5}[A-Z]?\b') || regexp_extract_all(s, '\b[A-Z]{1,3}\d{3,5}[A-Z]?\b') || regexp_extract_all(s, '\b\d{3,6}-[A-Z]{1,3}-\d{2,4}\b') AS l FROM t),
  u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM a), d AS (SELECT doc_id, v, min(i) AS i FROM u WHERE length(v) BETWEEN 3 AND 60 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') GROUP BY ALL)
  SELECT documents.doc_id, coalesce(string_agg(v, '|' ORDER BY i), '') AS found FROM documents LEFT JOIN d USING (doc_id) GROUP BY 1""",
@@ -103,7 +103,7 @@ ORACLES = {
     "match_ambiguity": """WITH c AS (SELECT l_orderkey % 700 AS left_id, l_partkey % 40 AS right_id, 0.5 + (sum(l_linenumber)::BIGINT * 7 % 50) / 100 AS score FROM lineitem GROUP BY 1, 2),
  r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
  SELECT left_id, right_id, score, runner_up, coalesce(runner_up >= 0.7 AND round_even(score - runner_up, 4) <= 0.05, false) AS ambiguous FROM r WHERE r = 1""",
-    "iso_number_parse": "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'KEO' END AS originator, CASE WHEN p_partkey % 4 <> 0 THEN 'L' || (p_partkey % 9) END AS level, CASE WHEN p_partkey % 4 <> 0 THEN lpad(p_partkey::VARCHAR, 5, '0') END AS number FROM part",
+    "iso_number_parse": "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'NOR' END AS originator, CASE WHEN p_partkey % 4 <> 0 THEN 'L' || (p_partkey % 9) END AS level, CASE WHEN p_partkey % 4 <> 0 THEN lpad(p_partkey::VARCHAR, 5, '0') END AS number FROM part",
     "render_template": r"""WITH n AS (SELECT p_partkey, upper(p_brand) || '-' || lpad((p_partkey % 977)::VARCHAR, 4, '0') || '_' || coalesce(CASE WHEN p_partkey % 3 <> 0 THEN lower(p_name) END, '') || '_' || CASE WHEN p_partkey % 4 <> 1 THEN 'A' ELSE '' END AS s FROM part)
  SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(s, '([-_ ])[-_ ]+', '\1', 'g'), '[<>:"/\\|?*]', '', 'g'), '^[-_ ]+|[-_ .]+$', '', 'g') AS name FROM n""",
     "undo_prefix": """WITH l AS (SELECT o_orderkey % 300 AS batch, o_orderkey AS seq, o_orderkey * 7 % 31 <> 5 AS ok FROM orders), f AS (SELECT batch, coalesce(max(seq) FILTER (NOT ok), -1) AS stop FROM l GROUP BY 1)

@@ -57,7 +57,7 @@ def test_tolerance(spark):
 
 
 def test_filename_number(spark):
-    assert one(spark, numbers.number_from_filename(F.lit("UVU-KEO-ARC-L03-DR-A-001234-Rev-D.pdf"))) == "UVU-KEO-ARC-L03-DR-A-001234"
+    assert one(spark, numbers.number_from_filename(F.lit("KLM-NOR-STR-B02-DR-S-001234-Rev-D.pdf"))) == "KLM-NOR-STR-B02-DR-S-001234"
     assert one(spark, numbers.number_from_filename(F.lit("notes.pdf"))) is None
 
 
