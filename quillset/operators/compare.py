@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -193,33 +193,63 @@ def ink_difference(old: DataFrame, new: DataFrame, radius: int) -> DataFrame:
 WHOLE_SHEET_KINDS = ("layer_visibility_changed", "background_updated", "tags_renumbered")
 
 
-def _first_group(key: tuple, changes: Iterable) -> Iterator[tuple]:
-    """Changes in order, each with its earlier neighbours: it joins the oldest of their groups or opens one."""
-    opened: dict[int, int] = {}
-    for c in changes:
-        opened[c.change_id] = min((opened[e] for e in c.earlier), default=c.change_id)
-        yield c.pair_id, c.change_id, opened[c.change_id]
+#: Links between grid cells that one task may unite (16 bytes each).
+CELL_LINKS = 500_000
+
+
+def regions(rows: DataFrame, by: list[str], cell: float, grow: float = 0.0) -> DataFrame:
+    """``rows`` (with x, y, w, h) with a region, the same for all whose boxes, grown on all sides, share a chain of grid cells.
+
+    Cells are linked by the boxes that cover several of them, so a crowded place costs cells and
+    no pairs of boxes. Boxes that touch are always in one region; one with a null has no region.
+    """
+    lo = [F.floor((F.col(a) - grow) / cell) for a in "xy"]
+    hi = [F.floor((F.col(a) + F.col(s) + grow) / cell) for a, s in ("xw", "yh")]
+    covered = F.flatten(F.transform(F.sequence(lo[0], hi[0]), lambda cx: F.transform(F.sequence(lo[1], hi[1]), lambda cy: F.xxhash64(*by, cx, cy))))
+    placed = materialise(rows.withColumn("_cells", covered), "cells")
+    first = F.get("_cells", F.lit(0))
+    links = placed.select(first.alias("src"), F.explode(F.slice("_cells", F.lit(2), F.size("_cells"))).alias("dst")).distinct()
+    joined = components(links, small=CELL_LINKS).distinct().select(F.col("id").alias("_first"), F.col("component").alias("region"))
+    return placed.withColumn("_first", first).join(joined, "_first", "left").withColumn("region", F.coalesce("region", "_first")).drop("_cells", "_first")
+
+
+def first_groups(cell: float, reach: float) -> Callable[[tuple, Iterable], Iterator[tuple]]:
+    """A fold of changes in order: each joins the oldest group with a member within ``reach`` or opens one; members are held by grid cell and group."""
+
+    def each(key: tuple, changes: Iterable) -> Iterator[tuple]:
+        held: dict[tuple[int, int], dict[int, list[tuple]]] = {}
+        for c in changes:
+            box = (c.x, c.y, c.x + c.w, c.y + c.h)
+            x0, y0, x1, y1 = box[0] - reach, box[1] - reach, box[2] + reach, box[3] + reach
+            group = c.change_id
+            for cx in range(int(x0 // cell), int(x1 // cell) + 1):
+                for cy in range(int(y0 // cell), int(y1 // cell) + 1):
+                    for g, members in held.get((cx, cy), {}).items():
+                        if g < group and any(a <= x1 and x0 <= p and b <= y1 and y0 <= q for a, b, p, q in members):
+                            group = g
+            for cx in range(int(box[0] // cell), int(box[2] // cell) + 1):
+                for cy in range(int(box[1] // cell), int(box[3] // cell) + 1):
+                    held.setdefault((cx, cy), {}).setdefault(group, []).append(box)
+            yield c.pair_id, c.change_id, group
+
+    return each
 
 
 def cluster_regions(changes: DataFrame, reach: float, cell: float = 128.0) -> DataFrame:
     """pair_id, change_id, cluster (its first change_id): geometry within ``reach`` of a member, and as cosmetic as it.
 
     In order of change_id, a change joins the oldest group that has a member near it; groups
-    don't merge later. Text changes and those of the whole sheet stay alone. Neighbours come
-    from a grid join, so a task holds one connected region and not a pair. change_id is unique.
+    don't merge later. Text changes and those of the whole sheet stay alone, like those without a
+    box. Changes are dealt by regions of connected grid cells, and a task holds the boxes of
+    one region, by cell. change_id is unique.
     """
     kind = F.lower(F.col("kind"))
     loose = (F.col("stream") == "text") | kind.isin(*WHOLE_SHEET_KINDS)
-    sheet = F.concat_ws(":", "pair_id", "is_cosmetic")
-    near = changes.where(~F.coalesce(loose, F.lit(False))).select(sheet.alias("pair_id"), "change_id", "x", "y", "w", "h")
-    grown = near.select("pair_id", F.col("change_id").alias("l_id"), (F.col("x") - reach).alias("l_x"), (F.col("y") - reach).alias("l_y"), (F.col("w") + 2 * reach).alias("l_w"), (F.col("h") + 2 * reach).alias("l_h"))
-    pairs = materialise(grid_join(grown, boxes(near, "r", "change_id"), cell).where("l_id > r_id").select("l_id", "r_id"), "neighbours")
-    region = components(pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))).distinct()
-    earlier = pairs.groupBy("l_id").agg(F.collect_list("r_id").alias("earlier"))
-    known = changes.select("pair_id", "change_id").join(region.withColumnRenamed("id", "change_id"), "change_id").join(earlier.withColumnRenamed("l_id", "change_id"), "change_id", "left")
-    known = known.select("pair_id", "change_id", "component", F.coalesce("earlier", F.array().cast("array<long>")).alias("earlier"))
-    grouped = fold(known, ["component"], ["change_id"], _first_group, "pair_id long, change_id long, cluster long")
-    alone = changes.select("pair_id", "change_id").join(region.select(F.col("id").alias("change_id")), "change_id", "left_anti")
+    placed = ~F.coalesce(loose, F.lit(False)) & (F.col("x") + F.col("y") + F.col("w") + F.col("h")).isNotNull() & F.col("pair_id").isNotNull()
+    near = changes.where(placed).select("pair_id", "change_id", F.coalesce("is_cosmetic", F.lit(False)).alias("is_cosmetic"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    known = regions(near, ["pair_id", "is_cosmetic"], cell, reach / 2)
+    grouped = fold(known, ["is_cosmetic", "region"], ["change_id"], first_groups(cell, reach), "pair_id long, change_id long, cluster long")
+    alone = changes.where(~F.coalesce(placed, F.lit(False)))
     return grouped.unionByName(alone.select("pair_id", "change_id", F.col("change_id").alias("cluster")))
 
 
@@ -233,17 +263,24 @@ def merge_clusters(changes: DataFrame, clusters: DataFrame) -> DataFrame:
     return g.withColumn("kind", F.when(F.col("kinds") == 1, F.col("kind")).otherwise("modified")).drop("kinds")
 
 
+def hull() -> tuple[Column, ...]:
+    """x, y, w, h around the boxes of a group, as aggregates."""
+    return F.min("x"), F.min("y"), F.max(F.col("x") + F.col("w")) - F.min("x"), F.max(F.col("y") + F.col("h")) - F.min("y")
+
+
 #: The streams, the most telling first.
 STREAMS = ("text", "hatch", "vector", "raster")
 
 
-def merge_streams(changes: DataFrame, ranking: tuple[str, ...] = STREAMS, least_iou: float = 0.4, least_inside: float = 0.8) -> DataFrame:
+def merge_streams(changes: DataFrame, ranking: tuple[str, ...] = STREAMS, least_iou: float = 0.4, least_inside: float = 0.8, cell: float = 64.0) -> DataFrame:
     """One row for what several streams found: pair_id, change_id, streams, n, x, y, w, h, confidence, is_cosmetic.
 
     In order of stream, size and change_id, a change joins the first kept one of another
     stream that it overlaps enough (IoU, or share of the smaller); the kept box grows around both and
     its confidence by 0.1, to 0.99. Rows with ``alone`` (changes of the whole sheet) neither
-    join nor are joined. Null numbers overlap nothing. Only what is kept of a pair is held.
+    join nor are joined. Null numbers overlap nothing. Changes are dealt by regions: boxes that
+    share grid cells, and then regions whose hulls do, until none grows. A kept box never leaves
+    its region's hull, so regions don't meet, and a task holds what is kept of one region.
     """
     rank = F.coalesce(F.array_position(F.lit(list(ranking)), F.col("stream")), F.lit(0)).cast("int")
     rank = F.when(rank == 0, len(ranking) + 1).otherwise(rank)
@@ -253,33 +290,53 @@ def merge_streams(changes: DataFrame, ranking: tuple[str, ...] = STREAMS, least_
 
     def each(key: tuple, group: Iterable) -> Iterator[tuple]:
         kept: list[list] = []
-        box, stream = np.empty((16, 4)), np.empty(16, object)
+        held: dict[tuple[int, int], list[int]] = {}
+
+        def cells(x0: float, y0: float, x1: float, y1: float) -> set[tuple[int, int]]:
+            return {(cx, cy) for cx in range(int(x0 // cell), int(x1 // cell) + 1) for cy in range(int(y0 // cell), int(y1 // cell) + 1)}
+
         for r in group:
-            m, twin = len(kept), None
-            if m and not r.alone:
-                x0, y0, x1, y1 = box[:m].T
-                shared = np.maximum(np.minimum(x1, r.x + r.w) - np.maximum(x0, r.x), 0) * np.maximum(np.minimum(y1, r.y + r.h) - np.maximum(y0, r.y), 0)
+            box, twin = (r.x, r.y, r.x + r.w, r.y + r.h), None
+            met = cells(*box) if not r.alone and abs(sum(box)) < float("inf") else set()
+            for i in sorted({i for c in met for i in held.get(c, ())}):
+                stream, (x0, y0, x1, y1) = kept[i][0].stream, kept[i][5]
+                shared = max(min(x1, box[2]) - max(x0, box[0]), 0) * max(min(y1, box[3]) - max(y0, box[1]), 0)
                 area, mine = (x1 - x0) * (y1 - y0), r.w * r.h
-                near = (shared > 0) & ((shared >= least_iou * (area + mine - shared)) | (shared >= least_inside * np.minimum(area, mine)))
-                hit = np.flatnonzero(near & (stream[:m] != r.stream))
-                twin = int(hit[0]) if len(hit) else None
+                if stream != r.stream and shared > 0 and (shared >= least_iou * (area + mine - shared) or shared >= least_inside * min(area, mine)):
+                    twin = i
+                    break
             if twin is None:
-                if m == len(box):
-                    box, stream = np.concatenate([box, np.empty_like(box)]), np.concatenate([stream, np.empty_like(stream)])
-                # a box that nothing can touch keeps whole-sheet changes apart
-                box[m] = np.full(4, np.nan) if r.alone else (r.x, r.y, r.x + r.w, r.y + r.h)
-                stream[m] = r.stream
-                kept.append([r, {r.stream}, 1, r.confidence, r.is_cosmetic])
-                continue
-            box[twin] = (*np.minimum(box[twin, :2], (r.x, r.y)), *np.maximum(box[twin, 2:], (r.x + r.w, r.y + r.h)))
-            best = kept[twin]
-            best[1:] = [best[1] | {r.stream}, best[2] + 1, min(0.99, best[3] + 0.1), best[4] and r.is_cosmetic]
-        for (r, streams, n, sure, cosmetic), (x0, y0, x1, y1) in zip(kept, box, strict=False):
-            place = (r.x, r.y, r.w, r.h) if r.alone else (x0, y0, x1 - x0, y1 - y0)
+                twin = len(kept)
+                kept.append([r, {r.stream}, 1, r.confidence, r.is_cosmetic, box])
+                new = met
+            else:
+                best = kept[twin]
+                was = best[5]
+                wide = (min(was[0], box[0]), min(was[1], box[1]), max(was[2], box[2]), max(was[3], box[3]))
+                new = cells(*wide) - cells(*was)
+                best[1:] = [best[1] | {r.stream}, best[2] + 1, min(0.99, best[3] + 0.1), best[4] and r.is_cosmetic, wide]
+            for c in new:
+                held.setdefault(c, []).append(twin)
+        for r, streams, n, sure, cosmetic, (x0, y0, x1, y1) in kept:
+            place = (r.x, r.y, r.w, r.h) if n == 1 else (x0, y0, x1 - x0, y1 - y0)
             yield *key, r.change_id, "+".join(sorted(streams)), n, *place, sure, cosmetic
 
     schema = "pair_id long, change_id long, streams string, n long, x double, y double, w double, h double, confidence double, is_cosmetic boolean"
-    return fold(rows, ["pair_id"], ["rank", "less", "change_id"], each, schema)
+    at = F.col("x") + F.col("y") + F.col("w") + F.col("h")
+    boxed = ~F.col("alone") & (F.abs(at) < float("inf")) & F.col("pair_id").isNotNull()
+    whole = rows.where(boxed)
+    known = materialise(regions(whole, ["pair_id"], cell), "merge-regions")
+    # cells grow while regions do, so that a crowded sheet is one region after few rounds
+    n, wide = -1, 2 * cell
+    while True:
+        hulls = known.groupBy("pair_id", "region").agg(*(c.alias(a) for a, c in zip("xywh", hull(), strict=True)))
+        wider = materialise(regions(hulls.withColumnRenamed("region", "was"), ["pair_id"], wide := 2 * wide), "merge-hulls")
+        before, n = n, wider.select("pair_id", "region").distinct().count()
+        if n in (before, wider.count()):
+            break
+        known = materialise(known.join(wider.select("pair_id", F.col("was").alias("region"), F.col("region").alias("next")), ["pair_id", "region"]).drop("region").withColumnRenamed("next", "region"), "merge-regions")
+    lone = rows.where(~F.coalesce(boxed, F.lit(False)) & F.col("pair_id").isNotNull()).withColumn("region", F.xxhash64("change_id", "stream"))
+    return fold(known.unionByName(lone), ["pair_id", "region"], ["rank", "less", "change_id"], lambda key, group: each(key[:1], group), schema)
 
 
 def merge_collinear(points: DataFrame, degrees: float = 0.5) -> DataFrame:

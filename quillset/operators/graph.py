@@ -57,18 +57,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, small: int | None = None) -> DataFrame:
     """(id, component) for every node of ``edges`` (src, dst): component is the smallest id it reaches.
 
     Null ends and self links are ignored; repeated links count once. An empty input
-    gives an empty result.
+    gives an empty result. ``small`` links, SMALL if not given, are left to one task.
     """
+    small = SMALL if small is None else small
     ends = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst")
     spark = edges.sparkSession
     now, path = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(max_rounds):
-        if state[0] <= SMALL:
+        if state[0] <= small:
             every = written(now.select("u", "v").coalesce(1).mapInArrow(_united, "u long, v long"), "links")[0] if state[0] else now
             return every.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before, old = state, path

@@ -135,6 +135,20 @@ ORACLES = {
     "hatch_spacing": f"""WITH {SEGMENTS}, l AS (SELECT DISTINCT pair_id, CASE WHEN x0 = x1 THEN 90 ELSE 0 END AS angle, CASE WHEN x0 = x1 THEN x0 ELSE y0 END::DOUBLE AS v FROM seg),
  g AS (SELECT pair_id, angle, v - lag(v) OVER (PARTITION BY pair_id, angle ORDER BY v) AS gap FROM l), m AS (SELECT pair_id, angle, count(gap) AS n, median(gap) AS mid FROM g WHERE gap IS NOT NULL GROUP BY ALL)
  SELECT pair_id, angle, n, any_value(mid) AS gap, median(abs(g.gap - mid)) <= 0.45 * any_value(mid) AS regular FROM g JOIN m USING (pair_id, angle) WHERE g.gap IS NOT NULL GROUP BY pair_id, angle, n""",
+    "merge_streams": f"""WITH RECURSIVE {CHANGES},
+ c AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY CASE stream WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, -w * h, change_id) AS n,
+  {{'id': change_id, 's': stream, 'x0': x, 'y0': y, 'x1': x + w, 'y1': y + h, 'c': confidence::DOUBLE, 'cos': is_cosmetic, 'alone': category = 'large', 'many': 1::BIGINT, 'o': stream = 'O', 'f': stream = 'F'}} AS c FROM changes),
+ s(pair_id, n, kept) AS (
+  SELECT pair_id, 1::BIGINT, [c] FROM c WHERE n = 1
+  UNION ALL
+  SELECT pair_id, n, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, c) ELSE list_transform(kept, lambda k, i: CASE WHEN i <> hit THEN k ELSE
+    {{'id': k.id, 's': k.s, 'x0': least(k.x0, c.x0), 'y0': least(k.y0, c.y0), 'x1': greatest(k.x1, c.x1), 'y1': greatest(k.y1, c.y1), 'c': least(0.99, k.c + 0.1), 'cos': k.cos AND c.cos, 'alone': k.alone, 'many': k.many + 1, 'o': k.o OR c.o, 'f': k.f OR c.f}} END) END
+  FROM (SELECT s.pair_id, c.n, c.c, kept, list_position([NOT c.c.alone AND NOT k.alone AND k.s <> c.c.s AND (least(k.x1, c.c.x1) > greatest(k.x0, c.c.x0)) AND (least(k.y1, c.c.y1) > greatest(k.y0, c.c.y0)) AND (
+     (least(k.x1, c.c.x1) - greatest(k.x0, c.c.x0)) * (least(k.y1, c.c.y1) - greatest(k.y0, c.c.y0)) >= 0.8 * least((k.x1 - k.x0) * (k.y1 - k.y0), (c.c.x1 - c.c.x0) * (c.c.y1 - c.c.y0))
+     OR 1.4 * (least(k.x1, c.c.x1) - greatest(k.x0, c.c.x0)) * (least(k.y1, c.c.y1) - greatest(k.y0, c.c.y0)) >= 0.4 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (c.c.x1 - c.c.x0) * (c.c.y1 - c.c.y0))) FOR k IN kept], true) AS hit
+   FROM s JOIN c ON c.pair_id = s.pair_id AND c.n = s.n + 1)),
+ f AS (SELECT pair_id, unnest(kept) AS k FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY n DESC) = 1)
+ SELECT pair_id, k.id AS change_id, CASE WHEN k.o AND k.f THEN 'F+O' ELSE k.s END AS streams, k.many AS n, k.x0 AS x, k.y0 AS y, k.x1 - k.x0 AS w, k.y1 - k.y0 AS h, round(k.c, 6) AS confidence, k.cos AS is_cosmetic FROM f""",
     "bbox_iou_join": f"""WITH {CHANGES}, p AS (SELECT a.pair_id, a.change_id AS l_id, b.change_id AS r_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h AS p, b.w * b.h AS q
   FROM changes a JOIN changes b ON a.pair_id = b.pair_id AND a.stream = 'O' AND b.stream = 'F' AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h)
  SELECT pair_id, l_id, r_id, round(s / (p + q - s), 6) AS iou FROM p WHERE s / (p + q - s) >= 0.4 OR s / least(p, q) >= 0.8""",
