@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillset.functions import measures, numbers
 from quillset.operators import align, compare, hatch, ingest, layout, matching, naming, raster, register, renaming, store
-from quillset.plans import diffs, gates, geometry, matches
+from quillset.plans import diffs, gates, geometry, matches, sheets
 from quillset.plans.sql import ORACLES
 from quillset.sources.bindings import bound, table, with_bindings
 from quillset.streaming import progress
@@ -21,7 +21,7 @@ def query(f):
 
 
 #: Queries that live in modules of their own, each with its SQL beside it.
-FURTHER = (geometry.query, diffs.query, matches.query, gates.query)
+FURTHER = (geometry.query, diffs.query, matches.query, gates.query, sheets.query)
 
 
 def queries() -> dict:

@@ -76,7 +76,34 @@ SELECT l_orderkey % 50 AS pair_id, l_orderkey * 10 + l_linenumber AS change_id,
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
 
-SQL = {"sheets": SHEETS, "drawing_list": LIST, "text_items": ITEMS, "segments": SEGMENTS, "points": POINTS, "changes": CHANGES}
+PAGE_ITEMS = """
+SELECT d.doc_id AS sheet_id, d.doc_id * 40 + v.n AS item_id,
+ CASE WHEN v.t = '#' THEN upper(d.lang) || '-' || cast(d.doc_id AS STRING) WHEN v.t = '%' THEN 'P0' || cast(1 + d.doc_id % 4 AS STRING) ELSE v.t END AS text,
+ v.x + (d.doc_id % 11) / 1000.0E0 AS x, v.y + (d.doc_id % 7) / 1000.0E0 AS y, v.w + 0.0E0 AS w, CASE WHEN v.t = 'N' THEN 0.01E0 + (d.doc_id % 4) / 100.0E0 ELSE v.h + 0.0E0 END AS h
+FROM {documents} d JOIN (
+ SELECT * FROM (VALUES
+ (0, 0, 'Drawing No.', 0.80, 0.93, 0.07, 0.010), (0, 1, '#', 0.80, 0.95, 0.06, 0.010), (0, 2, 'SCALE  1:50', 0.90, 0.93, 0.05, 0.010), (0, 3, 'Drawn', 0.80, 0.90, 0.03, 0.010),
+ (0, 4, 'Checked by', 0.86, 0.90, 0.05, 0.010), (0, 5, 'Date', 0.92, 0.90, 0.03, 0.010), (0, 6, 'Rev.', 0.95, 0.93, 0.02, 0.010), (0, 7, 'Description', 0.84, 0.70, 0.06, 0.010),
+ (0, 8, 'Rev', 0.78, 0.70, 0.02, 0.010), (0, 9, 'Date', 0.93, 0.70, 0.03, 0.010), (0, 10, '%', 0.78, 0.72, 0.02, 0.010), (0, 11, 'Stair moved', 0.84, 0.72, 0.08, 0.010),
+ (0, 12, '12.04.26', 0.93, 0.721, 0.04, 0.010), (0, 13, 'A', 0.78, 0.74, 0.02, 0.010), (0, 14, 'First issue', 0.84, 0.74, 0.08, 0.010), (0, 15, '3 Mar 2026', 0.93, 0.74, 0.04, 0.010),
+ (0, 16, 'GENERAL NOTES', 0.70, 0.10, 0.10, 0.012), (0, 17, '1. Do not scale.', 0.70, 0.13, 0.12, 0.010), (0, 18, '2. All sizes in mm.', 0.70, 0.15, 0.12, 0.010), (0, 19, 'far below', 0.70, 0.30, 0.12, 0.010),
+ (0, 20, 'N', 0.05, 0.10, 0.02, 0.010), (0, 21, 'Scale bar', 0.60, 0.88, 0.06, 0.010), (0, 22, 'Key plan', 0.55, 0.60, 0.06, 0.010),
+ (1, 0, 'CLIENT', 0.10, 0.88, 0.05, 0.010), (1, 1, 'PROJECT', 0.30, 0.88, 0.05, 0.010), (1, 2, 'TITLE', 0.50, 0.88, 0.05, 0.010), (1, 3, 'SHEET NO', 0.71, 0.88, 0.05, 0.010), (1, 4, 'Date', 0.20, 0.20, 0.05, 0.010),
+ (1, 5, 'Scale', 0.30, 0.20, 0.05, 0.010), (1, 6, 'Amendments', 0.30, 0.80, 0.05, 0.010), (1, 7, '02', 0.22, 0.82, 0.02, 0.010), (1, 8, 'Door D-7 widened', 0.30, 0.82, 0.10, 0.010), (1, 9, '2026-01-09', 0.45, 0.82, 0.05, 0.010),
+ (1, 10, 'B', 0.43, 0.82, 0.01, 0.010), (1, 11, 'NOTES:', 0.05, 0.50, 0.05, 0.010), (1, 12, 'True north', 0.90, 0.50, 0.05, 0.010), (1, 13, 'TRUE NORTH', 0.20, 0.40, 0.05, 0.010),
+ (2, 0, 'Scale', 0.40, 0.40, 0.05, 0.010), (2, 1, 'Door schedule', 0.40, 0.45, 0.10, 0.010), (2, 2, 'Notes to the door schedule that go on and on', 0.40, 0.50, 0.30, 0.010), (2, 3, 'Issue', 0.80, 0.50, 0.04, 0.010),
+ (2, 4, 'C01', 0.80, 0.52, 0.02, 0.010), (2, 5, 'metres', 0.50, 0.90, 0.04, 0.010)
+ ) AS a(g, n, t, x, y, w, h)) v ON v.g = d.doc_id % 3
+"""
+
+PAGE_LINES = """
+SELECT d.doc_id AS sheet_id, v.x0 + (d.doc_id % 5) / 2000.0E0 AS x0, v.y0 + 0.0E0 AS y0, v.x1 + (d.doc_id % 5) / 2000.0E0 AS x1, v.y1 + 0.0E0 AS y1
+FROM {documents} d JOIN (
+ SELECT * FROM (VALUES (0, 0.02, 0.02, 0.98, 0.02), (0, 0.02, 0.98, 0.98, 0.98), (0, 0.02, 0.02, 0.02, 0.98), (0, 0.97, 0.02, 0.97, 0.98), (0, 0.973, 0.02, 0.973, 0.98), (0, 0.77, 0.50, 0.77, 0.98), (0, 0.70, 0.87, 0.98, 0.87), (0, 0.60, 0.86, 0.98, 0.861),
+  (1, 0.02, 0.86, 0.99, 0.86), (1, 0.02, 0.10, 0.30, 0.40), (3, 0.05, 0.05, 0.95, 0.05)) AS a(g, x0, y0, x1, y1)) v ON v.g = d.doc_id % 4
+"""
+
+SQL = {"page_items": PAGE_ITEMS, "page_lines": PAGE_LINES, "sheets": SHEETS, "drawing_list": LIST, "text_items": ITEMS, "segments": SEGMENTS, "points": POINTS, "changes": CHANGES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +133,7 @@ def as_oracle(name: str) -> str:
 
 
 #: How SQL twins name the bindings.
-NAMES = {"SHEETS": "sheets", "DRAWING_LIST": "drawing_list", "ITEMS": "text_items", "SEGMENTS": "segments", "POINTS": "points", "CHANGES": "changes"}
+NAMES = {"PAGE_ITEMS": "page_items", "PAGE_LINES": "page_lines", "SHEETS": "sheets", "DRAWING_LIST": "drawing_list", "ITEMS": "text_items", "SEGMENTS": "segments", "POINTS": "points", "CHANGES": "changes"}
 
 
 def with_bindings(sql: str) -> str:
