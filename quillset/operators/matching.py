@@ -63,24 +63,30 @@ def tokens(text: Column) -> Column:
 def token_similarity(left: DataFrame, right: DataFrame, block: list[str], least: float) -> DataFrame:
     """left_id, right_id, score: Jaccard of token sets (id, tokens) within a block, from ``least`` on.
 
-    Two sets of that overlap share one of the rarest tokens of each: the first n - ceil(least * n) + 1 in order
-    of how many sets have them. Only those are joined, so common tokens pair nothing by
-    themselves; the candidates' whole sets are then counted.
+    Tokens are ordered by how many sets have them. Two sets of n and m tokens of that Jaccard share
+    a = least / (1 + least) * (n + m) tokens at least, one of them among the first n - ceil(least * n) + 1 of each,
+    so only these are joined. A shared token at places i and j leaves room for least(i, j) shared ones up to it and
+    for least(n - i, m - j) behind it; with c shared ones up to the last of them the first number is c. Pairs
+    with room for fewer than a go before whole sets are met, which are then compared.
     """
     sides = left.select(F.lit("l").alias("side"), "id", *block, "tokens").unionByName(right.select(F.lit("r").alias("side"), "id", *block, "tokens"))
     sets = materialise(sides.where(F.size("tokens") > 0).withColumn("tokens", F.array_distinct("tokens")), "token-sets")
     each = sets.select("side", "id", *block, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy(*block, "token").agg(F.count("*").alias("sets"))
+    counts = each.groupBy(*block, "token").agg(F.count("*").alias("sets"), F.count_if(F.col("side") == "l").alias("ls"))
     rank = F.row_number().over(Window.partitionBy("side", "id", *block).orderBy("sets", "token"))
     rare = each.join(counts, [*block, "token"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    rare = materialise(rare.select("side", "id", *block, "token", "n"), "rare-tokens")
-    l, r = (rare.where(F.col("side") == s).select(*block, "token", F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n")) for p, s in (("left", "l"), ("right", "r")))
+    # a token that only one side has still takes its place, but meets nothing
+    rare = materialise(rare.where("ls > 0 and ls < sets").select("side", "id", *block, "token", "n", "rank"), "rare-tokens")
+    l, r = (rare.where(F.col("side") == s).select(*block, "token", F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("rank").alias(f"{p}_at")) for p, s in (("left", "l"), ("right", "r")))
+    need = F.lit(least / (1 + least)) * (F.col("left_n") + F.col("right_n")) - 1e-9
+    behind = F.least(F.col("left_n") - F.col("left_at"), F.col("right_n") - F.col("right_at"))
     fits = F.least("left_n", "right_n") >= F.lit(least) * F.greatest("left_n", "right_n") - 1e-9
-    met = l.join(r, [*block, "token"]).where(fits).select("left_id", "right_id").distinct()
+    shared = l.join(r, [*block, "token"]).where(fits & (F.least("left_at", "right_at") + behind >= need))
+    met = shared.groupBy("left_id", "right_id").agg(F.count("*").alias("c"), *(F.max(c).alias(c) for c in ("left_at", "right_at", "left_n", "right_n"))).where(F.col("c") + behind >= need)
     a, b = (sets.where(F.col("side") == s).select(F.col("id").alias(f"{p}_id"), F.col("tokens").alias(f"{p}_tokens")) for p, s in (("left", "l"), ("right", "r")))
     both = F.size(F.array_intersect("left_tokens", "right_tokens"))
     score = F.bround(both / (F.size("left_tokens") + F.size("right_tokens") - both), 4)
-    return met.join(a, "left_id").join(b, "right_id").withColumn("score", score).where(F.col("score") >= least).select("left_id", "right_id", "score")
+    return met.select("left_id", "right_id").join(a, "left_id").join(b, "right_id").withColumn("score", score).where(F.col("score") >= least).select("left_id", "right_id", "score")
 
 
 def ambiguity(candidates: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Zones of a sheet: title block and its fields, revision table with its rows, frame, and what is protected from masks.
 
-items: sheet_id, item_id (unique, in reading order), text, x, y, w, h; segments: sheet_id, x0, y0,
+items: sheet_id, item_id (unique, in reading order), text, t (its normal form), x, y, w, h; segments: sheet_id, x0, y0,
 x1, y1. All lengths are fractions of the page, y grows downwards. Everything is keyed by sheet_id:
 labels are matched by expressions, clustered by a grid join and components, lines and rows of text are
 cut at gaps by windows.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillset.functions.geometry import Box
 from quillset.functions.measures import normalise_text
-from quillset.operators.compare import grid_join
+from quillset.operators.compare import CELL_LINKS, grid_join
 from quillset.operators.graph import components
 from quillset.storage import materialise
 
@@ -59,7 +59,7 @@ def first_label(text: Column, labels: tuple[str, ...]) -> Column:
 
 def label_hits(items: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """Items with the label (keyword) that they start with."""
-    return items.withColumn("keyword", first_label(normalise_text(F.col("text")), labels)).where("keyword is not null")
+    return items.withColumn("keyword", first_label(F.col("t"), labels)).where("keyword is not null")
 
 
 def edge_score(box: Box) -> Column:
@@ -94,7 +94,7 @@ def label_clusters(hits: DataFrame, reach: float = CLUSTER_REACH) -> DataFrame:
         return at.select("sheet_id", F.col("id").alias(f"{p}_id"), (F.col("cx") - half).alias(f"{p}_x"), (F.col("cy") - half).alias(f"{p}_y"), F.lit(2 * half).alias(f"{p}_w"), F.lit(2 * half).alias(f"{p}_h"))
 
     met = grid_join(box("l", reach), box("r", 0.0), 2 * reach, by="sheet_id").where("l_id < r_id").select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
-    known = components(met).distinct().withColumnRenamed("id", "item_id")
+    known = components(met, small=CELL_LINKS).distinct().withColumnRenamed("id", "item_id")
     return hits.join(known, "item_id", "left").withColumn("cluster", F.coalesce("component", "item_id")).drop("component")
 
 
@@ -109,7 +109,8 @@ def title_blocks(items: DataFrame, lines: DataFrame) -> DataFrame:
     It is grown a little and to the ruled lines that enclose it, as far as these are near by: its far
     sides end at the page's edge otherwise. Of equal clusters the one of the smallest item_id counts.
     """
-    grouped = label_clusters(label_hits(items, TITLE_BLOCK_LABELS)).groupBy("sheet_id", "cluster").agg(F.count_distinct("keyword").alias("n"), *around()).where("n >= 2")
+    hits = materialise(label_hits(items, TITLE_BLOCK_LABELS), "labels")
+    grouped = label_clusters(hits).groupBy("sheet_id", "cluster").agg(F.count_distinct("keyword").alias("n"), *around()).where("n >= 2")
     score = F.col("n") + (F.col("x0") + F.col("x1") + F.col("y0") + F.col("y1")) / 2
     best = Window.partitionBy("sheet_id").orderBy(F.desc(score), "cluster")
     chosen = grouped.withColumn("r", F.row_number().over(best)).where("r = 1")
@@ -154,7 +155,7 @@ def frames(lines: DataFrame) -> DataFrame:
 
 def title_fields(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """The fields of a title block: the first label of each within it, with room below and to the right."""
-    text = normalise_text(F.col("text"))
+    text = F.col("t")
     each = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), first_label(text, labels).alias("keyword")) for f, labels in FIELD_LABELS.items())), lambda s: s["keyword"].isNotNull())
     hits = items.withColumn("f", F.explode(each)).join(blocks.select("sheet_id", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1"))), "sheet_id")
     x, y = Box.of().centre
@@ -175,7 +176,7 @@ def table_items(items: DataFrame, blocks: DataFrame) -> DataFrame:
     corner = [F.least(F.col("x") - 0.10, F.lit(1.0)), F.col("y") - 1.5 * line, F.least(F.col("x") + F.col("w") + 0.22, F.lit(1.0)), F.col("y") + F.col("h") + 10 * line]
     band = heads.withColumn("r", F.row_number().over(best)).where("r = 1").select("sheet_id", *(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias(f"b{n}") for c, n in zip(corner, ("x0", "y0", "x1", "y1"), strict=True)))
     inside = items.join(band, "sheet_id").where(x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")))
-    return inside.withColumn("n", F.count("*").over(Window.partitionBy("sheet_id"))).where("n >= 2").select("sheet_id", "item_id", "text", "x", "y", "w", "h")
+    return inside.withColumn("n", F.count("*").over(Window.partitionBy("sheet_id"))).where("n >= 2").select("sheet_id", "item_id", "text", "t", "x", "y", "w", "h")
 
 
 def revision_rows(inside: DataFrame) -> DataFrame:
@@ -186,8 +187,7 @@ def revision_rows(inside: DataFrame) -> DataFrame:
     """
     tolerance = F.greatest(F.lit(0.006), 0.8 * F.median("h").over(Window.partitionBy("sheet_id")))
     rows = islands(inside.withColumns({"mid": F.col("y") + F.col("h") / 2, "gap": tolerance}), ["sheet_id"], "mid", F.col("gap"))
-    said = normalise_text(F.col("text"))
-    told = rows.withColumns({"t": F.trim("text"), "header": F.when(said.isin(*TABLE_HEADERS), said), "rev": said.rlike(ROW_REVISION), "dated": F.col("text").rlike(ROW_DATE)})
+    told = rows.withColumns({"header": F.when(F.col("t").isin(*TABLE_HEADERS), F.col("t")), "rev": F.col("t").rlike(ROW_REVISION), "dated": F.col("text").rlike(ROW_DATE)}).withColumn("t", F.trim("text"))
     order = Window.partitionBy("sheet_id", "island").orderBy("x", "item_id").rowsBetween(Window.unboundedPreceding, 0)
     first_rev = F.col("rev") & (F.sum(F.col("rev").cast("int")).over(order) == 1)
     marked = told.withColumn("is_rev", first_rev).withColumn("other", F.col("dated") & ~F.col("is_rev"))
@@ -219,7 +219,7 @@ def protected_regions(items: DataFrame, blocks: DataFrame) -> DataFrame:
 
     A lone N of 1.6 times the median height is a north arrow, too.
     """
-    text = normalise_text(F.col("text"))
+    text = F.col("t")
     each = F.filter(F.array(*(F.struct(F.lit(k).alias("what"), first_label(text, labels).alias("keyword")) for k, labels in PROTECTED_LABELS.items())), lambda s: s["keyword"].isNotNull())
     hits = items.withColumn("f", F.explode(each)).select("sheet_id", "item_id", "f.what", *"xywh")
     reach = F.create_map(*(F.lit(v) for kv in REACH.items() for v in kv))[F.col("what")]
@@ -249,7 +249,7 @@ def detect_zones(items: DataFrame, segments: DataFrame | None = None) -> tuple[D
     null among their numbers or texts tell nothing. An empty table gives empty tables.
     """
     rows = items.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ("sheet_id", "item_id", "text", *"xywh"))))
-    known = materialise(rows.select("sheet_id", "item_id", "text", *(F.col(c).cast("double").alias(c) for c in "xywh")), "zone-items")
+    known = materialise(rows.select("sheet_id", "item_id", "text", normalise_text(F.col("text")).alias("t"), *(F.col(c).cast("double").alias(c) for c in "xywh")), "zone-items")
     spark = items.sparkSession
     lines = materialise(long_lines(segments), "lines") if segments is not None else spark.createDataFrame([], "sheet_id long, horizontal boolean, at double")
     blocks = materialise(title_blocks(known, lines), "title-blocks")
