@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillset.storage import materialise
+
+
 def singletons(items: DataFrame) -> DataFrame:
     """pair_id, label, ox, oy, nx, ny for texts that stand exactly once on each side."""
     def one(side: str, p: str) -> DataFrame:
@@ -44,27 +45,41 @@ def trimmed_fit(points: DataFrame, limit: float, rounds: int = 3) -> DataFrame:
     return fit_similarity(used)
 
 
+#: Odd numbers near 2**32, whose multiples deal out the two points of a hypothesis.
+STRIDES = (2654435761, 2246822519)
+
+
 def ransac_fit(points: DataFrame, limit: float = 3.0, rounds: int = 200) -> DataFrame:
-    """pair_id, inliers, a, b, tx, ty: the similarity through two points that most others agree with, refitted on them; seeded by pair."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ox", "oy"])
-        p, q = (pdf[f"{s}x"].to_numpy() + 1j * pdf[f"{s}y"].to_numpy() for s in "on")
-        pair = int(pdf["pair_id"].iloc[0])
-        none = pd.DataFrame({"pair_id": [pair], "inliers": [0], "a": [np.nan], "b": [np.nan], "tx": [np.nan], "ty": [np.nan]})
-        if len(p) < 2:
-            return none
-        i = np.random.default_rng(abs(pair)).integers(0, len(p), (rounds, 2))
-        i = i[p[i[:, 0]] != p[i[:, 1]]]
-        if not len(i):
-            return none
-        m = (q[i[:, 1]] - q[i[:, 0]]) / (p[i[:, 1]] - p[i[:, 0]])
-        t = q[i[:, 0]] - m * p[i[:, 0]]
-        inside = np.abs(m[:, None] * p + t[:, None] - q) <= limit
-        best = inside[inside.sum(1).argmax()]
-        dp, dq = p[best] - p[best].mean(), q[best] - q[best].mean()
-        m = (dp.conj() * dq).sum() / max((dp.conj() * dp).real.sum(), 1e-12)
-        t = q[best].mean() - m * p[best].mean()
-        return pd.DataFrame({"pair_id": [pair], "inliers": [int(best.sum())], "a": [m.real], "b": [m.imag], "tx": [t.real], "ty": [t.imag]})
-
-    return points.groupBy("pair_id").applyInPandas(run, "pair_id long, inliers long, a double, b double, tx double, ty double")
+    """pair_id, inliers, a, b, tx, ty: of the similarities through two points the one that most others agree with, refitted on these.
+
+    points: pair_id, ox, oy, nx, ny. Hypotheses are rows: number j takes the points whose places, in the order of
+    all four numbers, are the shares (j * STRIDES mod 2**32) / 2**32 of the pair's count. A pair's hypotheses,
+    ``rounds`` at most, meet each of its points, and agreements are summed before they are shuffled. Of
+    equally good ones the first counts. Pairs of fewer than two places have no inliers and no fit; points with a null count for nothing.
+    """
+    corner = ["ox", "oy", "nx", "ny"]
+    known = points.where(" and ".join(f"{c} is not null" for c in ("pair_id", *corner))).select(F.col("pair_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in corner))
+    placed = known.withColumn("at", F.row_number().over(Window.partitionBy("pair_id").orderBy(*corner)))
+    counts = known.groupBy("pair_id").agg(F.count("*").alias("n"))
+    drawn = counts.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    for k, stride in zip("pq", STRIDES, strict=True):
+        place = F.expr(f"shiftright((j * {stride}L % {1 << 32}L) * n, 32) + 1").cast("int")
+        at = placed.select("pair_id", F.col("at").alias(f"{k}_at"), *(F.col(c).alias(f"{k}_{c}") for c in corner))
+        drawn = drawn.withColumn(f"{k}_at", place).join(at, ["pair_id", f"{k}_at"])
+    dx, dy, ux, uy = (F.col(f"q_{c}") - F.col(f"p_{c}") for c in corner)
+    length = dx * dx + dy * dy
+    turned = drawn.where(length > 0).withColumns({"a": (dx * ux + dy * uy) / length, "b": (dx * uy - dy * ux) / length})
+    maps = turned.select("pair_id", "j", "a", "b", (F.col("p_nx") - F.col("a") * F.col("p_ox") + F.col("b") * F.col("p_oy")).alias("tx"), (F.col("p_ny") - F.col("b") * F.col("p_ox") - F.col("a") * F.col("p_oy")).alias("ty"))
+    maps = materialise(maps, "hypotheses")
+
+    def agrees(h: Column) -> Column:
+        x = h["a"] * F.col("ox") - h["b"] * F.col("oy") + h["tx"] - F.col("nx")
+        y = h["b"] * F.col("ox") + h["a"] * F.col("oy") + h["ty"] - F.col("ny")
+        return x * x + y * y <= limit * limit
+
+    every = maps.groupBy("pair_id").agg(F.collect_list(F.struct("j", "a", "b", "tx", "ty")).alias("maps"))
+    votes = known.join(every, "pair_id").select("pair_id", F.explode(F.transform(F.filter("maps", agrees), lambda h: h["j"])).alias("j")).groupBy("pair_id", "j").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("pair_id").agg(F.max_by("j", F.struct("votes", -F.col("j"))).alias("j"))
+    chosen = best.join(maps, ["pair_id", "j"]).select("pair_id", F.struct("a", "b", "tx", "ty").alias("h"))
+    fit = fit_similarity(known.join(chosen, "pair_id").where(agrees(F.col("h"))).select("pair_id", *corner))
+    return points.select(F.col("pair_id").cast("long")).distinct().join(fit, "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0)).alias("inliers"), "a", "b", "tx", "ty")

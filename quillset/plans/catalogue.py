@@ -522,7 +522,7 @@ def residual_rms(spark, d):
 
 @query
 def ransac_fit(spark, d):
-    return align.ransac_fit(bound(spark, d, "points"))
+    return align.ransac_fit(bound(spark, d, "points")).select("pair_id", "inliers", *(F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")))
 
 
 @query

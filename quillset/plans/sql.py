@@ -57,6 +57,11 @@ NUM = r"[-+±]?\d{1,3}(?:[ ,]\d{3})*(?:\.\d+)?|[-+±]?\d+(?:\.\d+)?"
 NOTES = r"""(SELECT p_partkey, p_partkey % 20 AS pair_id, upper(regexp_replace(trim((['For  Tender', 'digitally signed by', 'Status B', 'draft copy', 'Reviewed', 'grid'])[p_partkey % 6 + 1] || ' ' || substr(p_name, 1, 8)), '\s+', ' ', 'g')) AS t,
   (p_partkey * 37) % 800 AS x, (p_partkey * 53) % 560 AS y, CASE WHEN p_partkey % 7 = 3 THEN 40.0 ELSE 3.0 END AS h, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 9 END * CASE WHEN p_partkey % 7 = 3 THEN 40.0 ELSE 3.0 END AS w, p_partkey % 11 = 2 AS pale FROM part)"""
 
+INK_DIFF = """WITH i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem),
+ a AS (SELECT pair_id, x, y FROM i WHERE o AND (x + y) % 5 <> 0), b AS (SELECT pair_id, x, y FROM i WHERE NOT o AND (x * y) % 7 <> 0),
+ d(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))
+ SELECT pair_id, x, y, 'removed' AS state FROM a ANTI JOIN (SELECT pair_id, x + i AS x, y + j AS y FROM b, d) USING (pair_id, x, y)
+ UNION ALL SELECT pair_id, x, y, 'added' FROM b ANTI JOIN (SELECT pair_id, x + i AS x, y + j AS y FROM a, d) USING (pair_id, x, y)"""
 ORACLES = {
     "register_reconcile": f"WITH {register('removed')} SELECT number_key, drawing_no, status, old_revision, new_revision, old_path, new_path, is_older, needs_attention FROM reg",
     "register_partial": f"""WITH {register('not_reissued')}, {LISTED},
@@ -149,14 +154,26 @@ ORACLES = {
    FROM s JOIN c ON c.pair_id = s.pair_id AND c.n = s.n + 1)),
  f AS (SELECT pair_id, unnest(kept) AS k FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY n DESC) = 1)
  SELECT pair_id, k.id AS change_id, CASE WHEN k.o AND k.f THEN 'F+O' ELSE k.s END AS streams, k.many AS n, k.x0 AS x, k.y0 AS y, k.x1 - k.x0 AS w, k.y1 - k.y0 AS h, round(k.c, 6) AS confidence, k.cos AS is_cosmetic FROM f""",
+    "ransac_fit": f"""WITH {POINTS}, p AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ox, oy, nx, ny) AS at1 FROM points), n AS (SELECT pair_id, count(*) AS n FROM points GROUP BY 1),
+ d AS (SELECT pair_id, j, (((j * 2654435761 % 4294967296) * n) >> 32) + 1 AS pa, (((j * 2246822519 % 4294967296) * n) >> 32) + 1 AS qa FROM n, (SELECT range AS j FROM range(1, 201))),
+ h AS (SELECT d.pair_id, j, p.ox, p.oy, p.nx, p.ny, q.ox - p.ox AS dx, q.oy - p.oy AS dy, q.nx - p.nx AS ux, q.ny - p.ny AS uy FROM d JOIN p ON p.pair_id = d.pair_id AND p.at1 = pa JOIN p q ON q.pair_id = d.pair_id AND q.at1 = qa),
+ m AS (SELECT pair_id, j, ox, oy, nx, ny, (dx * ux + dy * uy) / (dx * dx + dy * dy) AS a, (dx * uy - dy * ux) / (dx * dx + dy * dy) AS b FROM h WHERE dx * dx + dy * dy > 0),
+ t AS (SELECT pair_id, j, a, b, nx - a * ox + b * oy AS tx, ny - b * ox - a * oy AS ty FROM m),
+ v AS (SELECT t.pair_id, j, count(*) AS votes FROM t JOIN points p ON p.pair_id = t.pair_id AND (a * ox - b * oy + tx - nx) ** 2 + (b * ox + a * oy + ty - ny) ** 2 <= 9 GROUP BY 1, 2),
+ c AS (SELECT t.* FROM t JOIN v USING (pair_id, j) QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY votes DESC, j) = 1),
+ i AS (SELECT p.* FROM points p JOIN c ON p.pair_id = c.pair_id AND (a * ox - b * oy + tx - nx) ** 2 + (b * ox + a * oy + ty - ny) ** 2 <= 9),
+ f AS (SELECT pair_id, count(*) AS n, (covar_pop(ox, nx) + covar_pop(oy, ny)) / (var_pop(ox) + var_pop(oy)) AS a, (covar_pop(ox, ny) - covar_pop(oy, nx)) / (var_pop(ox) + var_pop(oy)) AS b, avg(ox) AS mx, avg(oy) AS my, avg(nx) AS ux, avg(ny) AS uy FROM i GROUP BY 1)
+ SELECT pair_id, coalesce(n, 0) AS inliers, round(a, 6) AS a, round(b, 6) AS b, round(ux - a * mx + b * my, 6) AS tx, round(uy - b * mx - a * my, 6) AS ty FROM (SELECT DISTINCT pair_id FROM points) LEFT JOIN f USING (pair_id)""",
+    "ink_regions": f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY pair_id, y, x) AS id FROM ({INK_DIFF})),
+ e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.pair_id = b.pair_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+ r(id, root) USING KEY (id) AS (SELECT id, id FROM c UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.id JOIN recurring.r k ON k.id = e.b WHERE r.root < k.root GROUP BY e.b),
+ g AS (SELECT pair_id, root, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM c JOIN r USING (id) GROUP BY 1, 2 HAVING count(*) >= 2),
+ s AS (SELECT g.pair_id, root, area, x0, y0, x1, y1, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'added') AS added FROM g JOIN c ON c.pair_id = g.pair_id AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 GROUP BY ALL)
+ SELECT pair_id, x0 AS x, y0 AS y, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, area, removed, added, CASE WHEN removed > 0.2 * added AND added > 0.2 * removed THEN 'modified' WHEN added > 0.2 * removed THEN 'added' ELSE 'removed' END AS kind FROM s""",
     "bbox_iou_join": f"""WITH {CHANGES}, p AS (SELECT a.pair_id, a.change_id AS l_id, b.change_id AS r_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h AS p, b.w * b.h AS q
   FROM changes a JOIN changes b ON a.pair_id = b.pair_id AND a.stream = 'O' AND b.stream = 'F' AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h)
  SELECT pair_id, l_id, r_id, round(s / (p + q - s), 6) AS iou FROM p WHERE s / (p + q - s) >= 0.4 OR s / least(p, q) >= 0.8""",
-    "ink_tolerant_diff": """WITH i AS (SELECT DISTINCT l_orderkey % 10 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, l_linenumber % 2 = 0 AS o FROM lineitem),
- a AS (SELECT pair_id, x, y FROM i WHERE o AND (x + y) % 5 <> 0), b AS (SELECT pair_id, x, y FROM i WHERE NOT o AND (x * y) % 7 <> 0),
- d(i, j) AS (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))
- SELECT pair_id, x, y, 'removed' AS state FROM a ANTI JOIN (SELECT pair_id, x + i AS x, y + j AS y FROM b, d) USING (pair_id, x, y)
- UNION ALL SELECT pair_id, x, y, 'added' FROM b ANTI JOIN (SELECT pair_id, x + i AS x, y + j AS y FROM a, d) USING (pair_id, x, y)""",
+    "ink_tolerant_diff": INK_DIFF,
     "style_collapse": f"""WITH {CHANGES}, n AS (SELECT *, count(*) FILTER (is_cosmetic) OVER (PARTITION BY pair_id, kind) AS c FROM changes)
  SELECT pair_id, kind, change_id, x, y, w, h, 1::BIGINT AS merged FROM n WHERE NOT is_cosmetic OR c < 2
  UNION ALL SELECT pair_id, kind, min(change_id), min(x), min(y), max(x + w) - min(x), max(y + h) - min(y), count(*) FROM n WHERE is_cosmetic AND c >= 2 GROUP BY pair_id, kind""",
