@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.functions.geometry import decomposed
+from quillset.storage import materialise
 
 # Thresholds of the metrics, and by how much a metric that passes barely is marginal.
 RMS_PX, INLIERS, LEAST_ANCHORS, GOOD_ANCHORS, SPREAD, INK, HOLDOUT_PX, MARGIN = 2.0, 0.6, 3, 8, 0.25, 0.6, 3.0, 0.1
@@ -72,7 +73,7 @@ def holdout(points: DataFrame, model: str = "similarity", folds: int = 5) -> Dat
     Points are dealt to folds by the hash of their label. The fit without a fold is the sums of all less
     those of the fold, so all folds come out of one aggregation.
     """
-    dealt = weighed(points).withColumn("fold", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.xxhash64("label"), "label", "ox", "oy")) % folds)
+    dealt = weighed(points).withColumn("fold", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.md5(F.col("label").cast("string").cast("binary")), "label", "ox", "oy")) % folds)
     part = dealt.groupBy("pair_id", "fold").agg(*(F.sum(n).alias(n) for n in SUMS), F.count("*").alias("n"))
     every = Window.partitionBy("pair_id")
     rest = part.select("pair_id", "fold", F.sum("n").over(every).alias("all"), *((F.sum(n).over(every) - F.col(n)).alias(n) for n in SUMS))
@@ -170,6 +171,7 @@ def assess(metrics: DataFrame) -> DataFrame:
 
 def measure(points: DataFrame, fits: DataFrame, page_area: float, ink: DataFrame, model: str = "similarity") -> DataFrame:
     """The seven metrics of each pair, for assess(); ink: pair_id, ink_overlap."""
+    points, fits = materialise(points, "fitted-points"), materialise(fits, "fits")
     e = errors(points, fits, ["pair_id"]).groupBy("pair_id").agg(F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rms"), F.avg((F.col("err") <= INLIER_PX).cast("double")).alias("inlier_ratio"), F.count("*").alias("anchors"))
     sane = sanity(fits).select("pair_id", "scale", "rotation_deg", (F.size("problems") == 0).alias("sanity"))
     out = e.join(sane, "pair_id").join(hull_area(points).select("pair_id", (F.col("area") / page_area).alias("spread")), "pair_id", "left").join(holdout(points, model), "pair_id", "left").join(ink, "pair_id", "left")

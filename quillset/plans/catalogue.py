@@ -525,11 +525,6 @@ def ransac_fit(spark, d):
     return align.ransac_fit(bound(spark, d, "points")).select("pair_id", "inliers", *(F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")))
 
 
-@query
-def trimmed_fit(spark, d):
-    return align.trimmed_fit(bound(spark, d, "points"), 3.0)
-
-
 # --- progress ---------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from quillset.functions import numbers
 from quillset.operators import align, compare, gate, ingest, raster, register
 from quillset.plans.registry import Registry
 from quillset.sources.bindings import bound, table
+from quillset.storage import materialise
 from quillset.streaming import progress
 
 query = Registry()
@@ -37,12 +38,58 @@ def weighted_similarity(spark, d):
     return gate.fit(_points(spark, d)).select("pair_id", *(F.round(c, 6).alias(c) for c in ("m00", "m10")))
 
 
-@query()
+def _fit(name: str, of: str, by: str = "pair_id") -> str:
+    """SQL: the similarity fit of the points of a relation, as a named one."""
+    return f"""{name} AS (SELECT {by}, (covar_pop(ox, nx) + covar_pop(oy, ny)) / nullif(var_pop(ox) + var_pop(oy), 0) AS a, (covar_pop(ox, ny) - covar_pop(oy, nx)) / nullif(var_pop(ox) + var_pop(oy), 0) AS b, avg(ox) AS mx, avg(oy) AS my, avg(nx) AS ux, avg(ny) AS uy, count(*) AS fitted FROM {of} GROUP BY {by})"""
+
+
+ERR = "sqrt((a * (ox - mx) - b * (oy - my) + ux - nx) ** 2 + (b * (ox - mx) + a * (oy - my) + uy - ny) ** 2)"
+
+
+def _trimmed(rounds: int = 3) -> str:
+    """SQL: trimmed_fit() with a limit of 3 as relation ft, and the points within 3 of it as used."""
+    out = [_fit("f0", "POINTS")]
+    for i in range(rounds):
+        out.append(f"e{i} AS (SELECT p.*, {ERR} AS err FROM POINTS p JOIN f{i} USING (pair_id)), c{i} AS (SELECT pair_id, greatest(3, 2.5 * median(err)) AS cut FROM e{i} GROUP BY 1), u{i} AS (SELECT e{i}.* FROM e{i} JOIN c{i} USING (pair_id) WHERE err <= cut)")
+        out.append(_fit("ft" if i == rounds - 1 else f"f{i + 1}", f"u{i}"))
+    return ", ".join([*out, f"used AS (SELECT p.* FROM POINTS p JOIN ft USING (pair_id) WHERE {ERR} <= 3)"])
+
+
+@query(f"WITH {_trimmed()} SELECT pair_id, fitted AS n, round(a, 6) AS a, round(b, 6) AS b, round(ux - a * mx + b * my, 6) AS tx, round(uy - b * mx - a * my, 6) AS ty FROM ft")
+def trimmed_fit(spark, d):
+    return align.trimmed_fit(bound(spark, d, "points"), 3.0).select("pair_id", "n", *(F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")))
+
+
+def _holdout(of: str) -> str:
+    """SQL: the hold-out error of a relation as relation ho."""
+    return f"""dealt AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY md5(label), label, ox, oy) % 5 AS fold, count(*) OVER (PARTITION BY pair_id) AS every FROM {of}),
+ others AS (SELECT f.fold AS left_out, d.* FROM dealt d JOIN (SELECT range AS fold FROM range(5)) f ON f.fold <> d.fold), {_fit("fo", "others", "pair_id, left_out")},
+ eo AS (SELECT dealt.pair_id, fold, sqrt(avg({ERR} ** 2)) AS rms FROM dealt JOIN fo ON fo.pair_id = dealt.pair_id AND left_out = fold WHERE every >= 5 GROUP BY 1, 2), ho AS (SELECT pair_id, avg(rms) AS holdout FROM eo GROUP BY 1)"""
+
+
+def _hull(of: str) -> str:
+    """SQL: the area of the convex hull of old points as relation hl: sides are the pairs that all others lie to the left of."""
+    return f"""at0 AS (SELECT DISTINCT pair_id, round(ox, 4) AS x, round(oy, 4) AS y FROM {of}), at1 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY x, y) AS i FROM at0),
+ sides AS (SELECT p.pair_id, p.x * q.y - q.x * p.y AS twice FROM at1 p JOIN at1 q ON p.pair_id = q.pair_id AND p.i <> q.i JOIN at1 r ON r.pair_id = p.pair_id GROUP BY p.pair_id, p.i, q.i, p.x, p.y, q.x, q.y
+  HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 OR (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) <= 0)),
+ hl AS (SELECT at1.pair_id, coalesce((SELECT sum(twice) / 2 FROM sides WHERE sides.pair_id = at1.pair_id), 0) AS area FROM at1 GROUP BY 1)"""
+
+
+def _overlap(fits: str) -> str:
+    """SQL: the share of ink that both sides of _ink() have, each grown by a pixel, as relation ov."""
+    return f"""ink AS (SELECT DISTINCT l_orderkey % 25 AS pair_id, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y FROM lineitem), plus(i, j) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
+ mapped AS (SELECT pair_id, round_even(a * (x - mx) - b * (y - my) + ux, 0)::BIGINT AS x, round_even(b * (x - mx) + a * (y - my) + uy, 0)::BIGINT AS y FROM ink JOIN {fits} USING (pair_id)),
+ issued AS (SELECT pair_id, round_even(0.8 * x - 0.6 * y + 10, 0)::BIGINT AS x, round_even(0.6 * x + 0.8 * y - 5, 0)::BIGINT AS y FROM ink),
+ grown AS (SELECT DISTINCT pair_id, x + i AS x, y + j AS y, 0 AS side FROM mapped, plus UNION ALL SELECT DISTINCT pair_id, x + i, y + j, 1 FROM issued, plus),
+ seen AS (SELECT pair_id, x, y, count(*) AS n FROM grown GROUP BY 1, 2, 3), ov AS (SELECT pair_id, avg((n = 2)::INT) AS ink_overlap FROM seen GROUP BY 1)"""
+
+
+@query(f"WITH {_holdout('POINTS')} SELECT pair_id, round(holdout, 6) AS holdout FROM ho")
 def holdout_error(spark, d):
     return gate.holdout(bound(spark, d, "points")).withColumn("holdout", F.round("holdout", 6))
 
 
-@query()
+@query(f"WITH {_hull('POINTS')} SELECT pair_id, round(area, 4) AS area FROM hl")
 def anchor_spread(spark, d):
     return gate.hull_area(bound(spark, d, "points")).withColumn("area", F.round("area", 4))
 
@@ -79,12 +126,21 @@ def _ink(spark, d):
     return ink, turned
 
 
-@query()
+@query(
+    f"""WITH {_trimmed()}, {_fit("g", "used")}, {_holdout("used")}, {_hull("used")}, {_overlap("g")},
+ er AS (SELECT pair_id, sqrt(avg({ERR} ** 2)) AS rms, avg(({ERR} <= 3)::INT) AS inlier_ratio, count(*) AS anchors, any_value(sqrt(a * a + b * b)) AS scale FROM used JOIN g USING (pair_id) GROUP BY 1),
+ m AS (SELECT er.*, area / 540000 AS spread, holdout, ink_overlap FROM er LEFT JOIN hl USING (pair_id) LEFT JOIN ho USING (pair_id) LEFT JOIN ov USING (pair_id)),
+ fl AS (SELECT *, list_filter([CASE WHEN NOT rms < 2 THEN 'rms' END, CASE WHEN NOT inlier_ratio >= 0.6 THEN 'inlier_ratio' END, CASE WHEN NOT anchors >= 3 THEN 'anchors' END, CASE WHEN NOT spread >= 0.25 THEN 'spread' END, CASE WHEN NOT scale BETWEEN 0.2 AND 5 THEN 'sanity' END, CASE WHEN NOT coalesce(ink_overlap >= 0.6, false) THEN 'ink' END, CASE WHEN NOT coalesce(holdout < 3, false) THEN 'holdout' END], lambda x: x IS NOT NULL) AS failed,
+  (rms < 2 AND rms >= 1.8)::INT + (inlier_ratio BETWEEN 0.6 AND 0.66)::INT + (anchors BETWEEN 3 AND 3.3)::INT + (spread BETWEEN 0.25 AND 0.275)::INT + coalesce(ink_overlap BETWEEN 0.6 AND 0.66, false)::INT + coalesce(holdout < 3 AND holdout >= 2.7, false)::INT AS marginal FROM m),
+ v AS (SELECT *, failed = ['spread'] AND abs(ln(scale)) > 0.05 AS waived FROM fl)
+ SELECT pair_id, anchors, round(rms, 4) AS rms, round(inlier_ratio, 4) AS inlier_ratio, round(spread, 4) AS spread, round(ink_overlap, 4) AS ink_overlap, round(holdout, 4) AS holdout,
+  CASE WHEN len(failed) > 0 AND NOT waived THEN 'failed' WHEN marginal >= 2 THEN 'poor' WHEN anchors >= 8 AND rms < 1 AND marginal = 0 AND ink_overlap >= 0.75 AND NOT waived THEN 'excellent' ELSE 'good' END AS verdict FROM v"""
+)
 def quality_gate(spark, d):
     """Every pair's points fitted without its outliers and assessed by all seven metrics; scanned sheets may be turned."""
     p = bound(spark, d, "points")
-    used = align.residuals(p, align.trimmed_fit(p, 3.0)).where("err <= 3").select(p.columns)
-    fits = gate.fit(used)
+    used = materialise(align.residuals(p, align.trimmed_fit(p, 3.0)).where("err <= 3").select(p.columns), "used-points")
+    fits = materialise(gate.fit(used), "fits")
     old, new = _ink(spark, d)
     metrics = gate.measure(used, fits, 900.0 * 600.0, gate.ink_overlap(old, new, fits))
     sane = gate.sanity(fits, scanned=True).select("pair_id", (F.size("problems") == 0).alias("sane"))

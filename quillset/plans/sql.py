@@ -170,6 +170,10 @@ ORACLES = {
  g AS (SELECT pair_id, root, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM c JOIN r USING (id) GROUP BY 1, 2 HAVING count(*) >= 2),
  s AS (SELECT g.pair_id, root, area, x0, y0, x1, y1, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'added') AS added FROM g JOIN c ON c.pair_id = g.pair_id AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 GROUP BY ALL)
  SELECT pair_id, x0 AS x, y0 AS y, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, area, removed, added, CASE WHEN removed > 0.2 * added AND added > 0.2 * removed THEN 'modified' WHEN added > 0.2 * removed THEN 'added' ELSE 'removed' END AS kind FROM s""",
+    "rename_collisions": """WITH RECURSIVE c AS (SELECT p_partkey AS seq, lower(p_brand) AS g, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END || CASE WHEN p_partkey % 5 = 0 THEN '_2' ELSE '' END || '.pdf' AS target, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part),
+ s(g, n, seq, final, taken) AS (SELECT g, n, seq, target, [lower(target)] FROM c WHERE n = 1
+  UNION ALL SELECT g, n, seq, f, list_append(taken, lower(f)) FROM (SELECT c.g, c.n, c.seq, s.taken, [t FOR t IN list_prepend(c.target, [replace(c.target, '.pdf', '_' || i || '.pdf') FOR i IN range(2, len(s.taken) + 3)]) IF NOT list_contains(s.taken, lower(t))][1] AS f FROM s JOIN c ON c.g = s.g AND c.n = s.n + 1))
+ SELECT seq, final FROM s""",
     "bbox_iou_join": f"""WITH {CHANGES}, p AS (SELECT a.pair_id, a.change_id AS l_id, b.change_id AS r_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h AS p, b.w * b.h AS q
   FROM changes a JOIN changes b ON a.pair_id = b.pair_id AND a.stream = 'O' AND b.stream = 'F' AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h)
  SELECT pair_id, l_id, r_id, round(s / (p + q - s), 6) AS iou FROM p WHERE s / (p + q - s) >= 0.4 OR s / least(p, q) >= 0.8""",
