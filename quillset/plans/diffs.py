@@ -44,14 +44,19 @@ def _dimension_edits(spark, d):
 
 
 def _moved_lines(spark, d):
-    s = bound(spark, d, "segments").where("side = 'new' and path_id % 7 = 0")
-    return s.select("pair_id", F.lit("line").alias("geometry_type"), (F.least("x0", "x1") / 10).alias("x"), (F.least("y0", "y1") / 10).alias("y"), (F.abs(F.col("x1") - F.col("x0")) / 10).alias("w"), (F.abs(F.col("y1") - F.col("y0")) / 10).alias("h"))
+    """New segments that stand elsewhere than the old one of their path."""
+    place = [F.least("x0", "x1"), F.least("y0", "y1")]
+    s = bound(spark, d, "segments")
+    old = s.where("side = 'old'").select("pair_id", "path_id", *(c.alias(n) for c, n in zip(place, ("was_x", "was_y"), strict=True)))
+    moved = s.where("side = 'new'").join(old, ["pair_id", "path_id"]).where((place[0] != F.col("was_x")) | (place[1] != F.col("was_y")))
+    return moved.select("pair_id", F.lit("line").alias("geometry_type"), (F.least("x0", "x1") / 10).alias("x"), (F.least("y0", "y1") / 10).alias("y"), (F.abs(F.col("x1") - F.col("x0")) / 10).alias("w"), (F.abs(F.col("y1") - F.col("y0")) / 10).alias("h"))
 
 
 EDITS = """e AS (SELECT n.pair_id, n.item_id AS id, upper(n.text) AS u, o.text AS o, n.text AS n, n.x, n.y, n.w, n.h FROM ITEMS n JOIN ITEMS o ON o.pair_id = n.pair_id AND o.item_id = n.item_id AND o.side = 'old' AND n.side = 'new' AND o.text <> n.text),
  c AS (SELECT *, CASE WHEN starts_with(u, 'FFL') THEN 'level' WHEN regexp_full_match(u, 'D-?\\d+') THEN 'tag' ELSE 'dimension' END AS category,
   CASE WHEN starts_with(u, 'FFL') THEN (regexp_extract(n, '([0-9.]+)$', 1)::DOUBLE - regexp_extract(o, '([0-9.]+)$', 1)::DOUBLE) * 1000 WHEN regexp_full_match(u, '\\d+') THEN n::DOUBLE - o::DOUBLE END AS delta FROM e),
- l AS (SELECT pair_id, least(x0, x1) / 10 AS gx, least(y0, y1) / 10 AS gy, abs(x1 - x0) / 10 AS gw, abs(y1 - y0) / 10 AS gh FROM SEGMENTS WHERE side = 'new' AND path_id % 7 = 0)"""
+ sg AS (SELECT * FROM SEGMENTS),
+ l AS (SELECT n.pair_id, least(n.x0, n.x1) / 10 AS gx, least(n.y0, n.y1) / 10 AS gy, abs(n.x1 - n.x0) / 10 AS gw, abs(n.y1 - n.y0) / 10 AS gh FROM sg n JOIN sg o ON n.pair_id = o.pair_id AND n.path_id = o.path_id AND n.side = 'new' AND o.side = 'old' WHERE (least(n.x0, n.x1), least(n.y0, n.y1)) <> (least(o.x0, o.x1), least(o.y0, o.y1)))"""
 
 
 @query(
@@ -64,24 +69,25 @@ def dimension_crosscheck(spark, d):
 
 
 @query(
-    f"""WITH {EDITS}, s AS (SELECT n.pair_id, n.item_id AS id, n.x, n.y, n.w, n.h FROM ITEMS n JOIN ITEMS o ON o.pair_id = n.pair_id AND o.item_id = n.item_id AND o.side = 'old' AND n.side = 'new' AND o.text = n.text AND o.x = n.x WHERE n.item_id % 6 = 0)
+    f"""WITH {EDITS}, s AS (SELECT n.pair_id, n.item_id AS id, n.x, n.y, n.w, n.h FROM ITEMS n JOIN ITEMS o ON o.pair_id = n.pair_id AND o.item_id = n.item_id AND o.side = 'old' AND n.side = 'new' AND o.text = n.text AND o.x = n.x WHERE regexp_full_match(n.text, '\\d+'))
  SELECT s.pair_id, id, count(*) AS n_near FROM s JOIN l ON s.pair_id = l.pair_id AND x - 12 <= gx + gw AND gx <= x + w + 12 AND y - 12 <= gy + gh AND gy <= y + h + 12 GROUP BY 1, 2"""
 )
 def stale_dimensions(spark, d):
     items = bound(spark, d, "text_items")
     old = items.where("side = 'old'").select("pair_id", "item_id", F.col("text").alias("old_text"), F.col("x").alias("old_x"))
-    same = items.where("side = 'new'").join(old, ["pair_id", "item_id"]).where("text = old_text and x = old_x and item_id % 6 = 0")
-    return textdiff.stale_dimensions(same.select("pair_id", F.col("item_id").alias("id"), "x", "y", "w", "h"), _moved_lines(spark, d), 12.0)
+    same = items.where("side = 'new'").join(old, ["pair_id", "item_id"]).where("text = old_text and x = old_x")
+    dimensions = same.where(measures.classify(F.col("text"))["category"] == "dimension").where(F.col("text").rlike(r"^\d+$"))
+    return textdiff.stale_dimensions(dimensions.select("pair_id", F.col("item_id").alias("id"), "x", "y", "w", "h"), _moved_lines(spark, d), 12.0)
 
 
 @query(
     """WITH s AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM SEGMENTS), t AS (SELECT * FROM s WHERE len <= 30),
  e AS (SELECT s.pair_id, s.side, s.path_id, n, CASE WHEN n = 0 THEN s.x0 ELSE s.x1 END AS px, CASE WHEN n = 0 THEN s.y0 ELSE s.y1 END AS py FROM s, (VALUES (0), (1)) AS v(n) WHERE s.len >= 60),
- h AS (SELECT DISTINCT e.pair_id, e.side, e.path_id, n FROM e JOIN t ON e.pair_id = t.pair_id AND e.side = t.side AND px BETWEEN least(t.x0, t.x1) - 40 AND greatest(t.x0, t.x1) + 40 AND py BETWEEN least(t.y0, t.y1) - 40 AND greatest(t.y0, t.y1) + 40)
+ h AS (SELECT DISTINCT e.pair_id, e.side, e.path_id, n FROM e JOIN t ON e.pair_id = t.pair_id AND e.side = t.side AND px BETWEEN least(t.x0, t.x1) - 250 AND greatest(t.x0, t.x1) + 250 AND py BETWEEN least(t.y0, t.y1) - 250 AND greatest(t.y0, t.y1) + 250)
  SELECT pair_id, side, path_id FROM h GROUP BY ALL HAVING count(*) = 2"""
 )
 def dimension_lines(spark, d):
-    return textdiff.dimension_lines(bound(spark, d, "segments"), tick=30.0, reach=40.0, least=60.0)
+    return textdiff.dimension_lines(bound(spark, d, "segments"), tick=30.0, reach=250.0, least=60.0)
 
 
 @query(
@@ -224,13 +230,13 @@ def run_filters(spark, d):
 
 def _hatched(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderkey % 97 = 5").select((k % 20).alias("pair_id"), ((k * 31) % 8000).cast("double").alias("x"), ((k * 57) % 5600).cast("double").alias("y"), F.lit(300.0).alias("w"), F.lit(200.0).alias("h"))
+    return table(spark, d, "orders").select((k % 20).alias("pair_id"), ((k * 37) % 8000).cast("double").alias("x"), ((k * 53) % 5600).cast("double").alias("y"), F.lit(30.0).alias("w"), F.lit(20.0).alias("h"))
 
 
 @query(
     """WITH s AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM SEGMENTS WHERE path_id % 29 <> 2),
- g AS (SELECT o_orderkey % 20 AS pair_id, o_orderkey * 31 % 8000 - 30 AS gx, o_orderkey * 57 % 5600 - 30 AS gy FROM orders WHERE o_orderkey % 97 = 5)
- SELECT pair_id, side, count(*) AS n FROM s WHERE NOT (len <= 60 AND EXISTS (SELECT 1 FROM g WHERE g.pair_id = s.pair_id AND mx BETWEEN gx AND gx + 360 AND my BETWEEN gy AND gy + 260)) GROUP BY ALL"""
+ g AS (SELECT o_orderkey % 20 AS pair_id, o_orderkey * 37 % 8000 - 30 AS gx, o_orderkey * 53 % 5600 - 30 AS gy FROM orders)
+ SELECT pair_id, side, count(*) AS n FROM s WHERE NOT (len <= 60 AND EXISTS (SELECT 1 FROM g WHERE g.pair_id = s.pair_id AND mx BETWEEN gx AND gx + 90 AND my BETWEEN gy AND gy + 80)) GROUP BY ALL"""
 )
 def exclude_hatch(spark, d):
     s = bound(spark, d, "segments")
@@ -246,7 +252,7 @@ def match_hatch_regions(spark, d):
 
 def hatched_blocks(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderkey < 4000").select((k % 20).alias("pair_id"), k.alias("region_id"), (F.floor(k / 20) % 40 * 110).cast("double").alias("x"), (F.floor(k / 800) * 90).cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(80.0).alias("h"), (k % 3 * 45).cast("double").alias("angle"), F.lit(6.0).alias("spacing"))
+    return table(spark, d, "orders").select((k % 20).alias("pair_id"), k.alias("region_id"), (F.floor(k / 20) % 40 * 110).cast("double").alias("x"), (F.floor(k / 800) * 90).cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(80.0).alias("h"), (k % 3 * 45).cast("double").alias("angle"), F.lit(6.0).alias("spacing"))
 
 
 @query()
@@ -257,10 +263,11 @@ def compare_pairs(spark, d):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, 500 + o_orderkey % 400 AS b FROM orders WHERE o_orderkey % 41 = 3),
- u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, component) AS (SELECT a, a FROM u UNION SELECT u.b, r.component FROM r JOIN u ON u.a = r.id)
- SELECT id, min(component) AS component FROM r GROUP BY id"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 10000000 + o_custkey % 97 * 1000 + o_orderkey % 7 AS b FROM orders),
+ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, min(r.component) FROM r JOIN u ON u.a = r.id JOIN recurring.r k ON k.id = u.b WHERE r.component < k.component GROUP BY u.b)
+ SELECT id, component FROM r"""
 )
 def linked_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 41 = 3")
-    return graph.components(o.select((F.col("o_custkey") % 500).alias("src"), (500 + F.col("o_orderkey") % 400).alias("dst"))).distinct()
+    c = F.col("o_custkey")
+    return graph.components(table(spark, d, "orders").select(c.alias("src"), (10_000_000 + c % 97 * 1000 + F.col("o_orderkey") % 7).alias("dst"))).distinct()

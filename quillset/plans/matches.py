@@ -192,7 +192,7 @@ def pdf_table_cells(spark, d):
 @query()
 def fill_by_title(spark, d):
     part = table(spark, d, "part")
-    files = part.select(F.col("p_partkey").alias("sheet_id"), F.concat_ws("_", F.reverse(F.split("p_name", " "))).alias("stem")).where("sheet_id % 3 = 0")
+    files = part.select(F.col("p_partkey").alias("sheet_id"), F.concat_ws("_", F.reverse(F.split("p_name", " "))).alias("stem"))
     return listing.fill_by_title(files, part.select(F.concat(F.lit("A-"), F.col("p_partkey").cast("string")).alias("drawing_no"), F.col("p_name").alias("title")))
 
 
@@ -317,14 +317,14 @@ def rename_summary(spark, d):
 
 
 @query(
-    """WITH RECURSIVE m AS (SELECT p_partkey AS seq, 'f' || p_partkey AS s, 'f' || CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 2 WHEN p_partkey % 10 = 6 THEN 100000 + p_partkey ELSE p_partkey + 1 END AS f FROM part WHERE p_partkey % 10 >= 2),
+    """WITH RECURSIVE m AS (SELECT p_partkey AS seq, 'f' || p_partkey AS s, 'f' || CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 2 WHEN p_partkey % 10 = 6 THEN 100000 + p_partkey ELSE p_partkey + 1 END AS f FROM part),
  w AS (SELECT a.seq, b.seq AS waits FROM m a LEFT JOIN m b ON a.f = b.s), c(seq, step) AS (SELECT seq, 0 FROM w WHERE waits IS NULL UNION ALL SELECT w.seq, step + 1 FROM c JOIN w ON w.waits = c.seq)
  SELECT m.seq, step, step IS NULL AS cyclic FROM m LEFT JOIN c USING (seq)"""
 )
 def rename_order(spark, d):
     k = F.col("p_partkey")
     target = F.when(k % 10 == 9, k - 2).when(k % 10 == 6, 100000 + k).otherwise(k + 1)
-    plan = table(spark, d, "part").where("p_partkey % 10 >= 2").select(k.alias("seq"), F.concat(F.lit("f"), k.cast("string")).alias("source"), F.concat(F.lit("f"), target.cast("string")).alias("final"))
+    plan = table(spark, d, "part").select(k.alias("seq"), F.concat(F.lit("f"), k.cast("string")).alias("source"), F.concat(F.lit("f"), target.cast("string")).alias("final"))
     return renaming.move_order(plan).select("seq", "step", "cyclic")
 
 
