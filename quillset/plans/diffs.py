@@ -258,7 +258,7 @@ def hatched_blocks(spark, d):
 @query()
 def compare_pairs(spark, d):
     """The whole comparison of all pairs: reportable changes counted by stream and kind."""
-    found = comparison.compare_issues(bound(spark, d, "text_items"), bound(spark, d, "segments"), sheet_area=8000.0 * 5600.0)
+    found = comparison.compare_issues(bound(spark, d, "text_items"), bound(spark, d, "segments"), sheet_area=8000.0 * 5600.0, hatched=True)
     return found.changes.groupBy("stream", "kind", "is_cosmetic").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("pairs"))
 
 
