@@ -19,6 +19,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_block_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with a block list drawn from the pages: the host and the start of the path of one URL in eight, by hash."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.url_parts(F.col("url"))
+    listed = pages.where(F.md5(F.col("url").cast("binary")) < "2").select(host.alias("host"), F.substring(path, 1, 5).alias("path"))
+    return url_filter.filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=0.7, epochs=1.0)
     return mixed.select("doc_id", "text", "lang", "source", "n_chars", "copy", F.round("rate", 9).alias("rate"), "mix_key")
@@ -133,7 +141,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_url_filter, op2_mix_sources, op3_embedding_dedup, op4_decontaminate, op5_suffix_dedup, op6_warc_revisits, op7_minhash_dedup, op8_token_count, op9_line_dedup, op10_toxicity, op11_sharding, op12_hard_negatives, op13_period_runs, pipeline)
+    named = (op1_url_filter, url_block_list, op2_mix_sources, op3_embedding_dedup, op4_decontaminate, op5_suffix_dedup, op6_warc_revisits, op7_minhash_dedup, op8_token_count, op9_line_dedup, op10_toxicity, op11_sharding, op12_hard_negatives, op13_period_runs, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -151,6 +159,9 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
 """
 
+URL_BLOCK_LIST = OP1.replace("""m AS (""", """b AS (SELECT DISTINCT host AS bhost, substr(path, 1, 5) AS bpath FROM p JOIN pages USING (page_id) WHERE md5(url) < '2'),
+m AS (""").replace("""SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict""", """SELECT page_id, host, path, rule, coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM b WHERE (host = bhost OR ends_with(host, '.' || bhost)) AND starts_with(path, bpath)) THEN 'block' ELSE 'allow' END) AS verdict""")
+
 OP2 = r"""
 WITH RECURSIVE mass AS (SELECT source, sum(greatest(strlen(text), 1))::DOUBLE AS mass FROM documents GROUP BY source),
 weighed AS (SELECT source, mass, pow(mass, 0.7) AS weight FROM mass),
@@ -220,4 +231,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_warc_revisits": OP6, "op9_line_dedup": OP9, "op12_hard_negatives": OP12}
+    return {"op1_url_filter": OP1, "url_block_list": URL_BLOCK_LIST, "op2_mix_sources": OP2, "op6_warc_revisits": OP6, "op9_line_dedup": OP9, "op12_hard_negatives": OP12}

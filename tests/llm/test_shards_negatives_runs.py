@@ -228,3 +228,7 @@ def test_shards_keep_equal_texts_together(spark):
     for r in got:
         shards.setdefault(r.doc_id // 3, set()).add(r.shard)
     assert all(len(s) == 1 for s in shards.values())
+
+
+def test_block_list_equals_sql(spark):
+    assert compare(queries.queries()["url_block_list"](spark, SF), queries.oracle_sql()["url_block_list"], connect(SF)) == ""
