@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillset.operators.compare import boxes, overlapping
+
 
 def style_collapse(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed): two or more cosmetic changes of a pair and kind become one that spans them."""
@@ -67,3 +69,29 @@ def precision_recall(cases: DataFrame) -> DataFrame:
     hit = F.count_if(F.col("truth") & F.col("reported"))
     n = cases.agg(F.count_if("truth").alias("expected"), F.count_if("reported").alias("reported"), hit.alias("hits"))
     return n.withColumns({"precision": F.coalesce(F.try_divide("hits", "reported"), F.lit(1.0)), "recall": F.coalesce(F.try_divide("hits", "expected"), F.lit(1.0))})
+
+
+def score_cases(reported: DataFrame, truth: DataFrame, least_iou: float = 0.3, least_inside: float = 0.6, cell: float = 256.0) -> DataFrame:
+    """pair_id, expected, reported, matched, covered, false_positives, missed of each case.
+
+    reported: pair_id, change_id (unique, in the order of the report), truth: pair_id, truth_id (unique), both with x, y, w, h.
+    A report takes all planted changes that it meets (IoU, or share of the smaller box) and that none before it has
+    taken; so a planted change belongs to the first report that meets it, which is a minimum over the met
+    pairs. A report that gets none is a false positive. Cases may have rows on one side only.
+    """
+    met = overlapping(boxes(truth, "l", "truth_id"), boxes(reported, "r", "change_id"), cell, least_iou, least_inside)
+    first = met.groupBy("pair_id", "l_id").agg(F.min("r_id").alias("taker"))
+    hits = first.groupBy("pair_id").agg(F.count_distinct("taker").alias("matched"), F.count("*").alias("covered"))
+    sizes = truth.groupBy("pair_id").agg(F.count("*").alias("expected")).join(reported.groupBy("pair_id").agg(F.count("*").alias("reported")), "pair_id", "full_outer")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("expected", "reported", "matched", "covered")}
+    rows = sizes.join(hits, "pair_id", "left").select("pair_id", *(v.alias(c) for c, v in n.items()))
+    return rows.withColumns({"false_positives": F.col("reported") - F.col("matched"), "missed": F.col("expected") - F.col("covered")})
+
+
+def score_matrix(cases: DataFrame) -> DataFrame:
+    """One row over all score_cases(): sums, precision and recall of the sums (1 where nothing was asked), and the share of cases without any fault."""
+    counts = ("expected", "reported", "matched", "covered", "false_positives", "missed")
+    clean = (F.col("false_positives") == 0) & (F.col("missed") == 0)
+    total = cases.agg(F.count("*").alias("cases"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts), F.coalesce(F.avg(clean.cast("double")), F.lit(1.0)).alias("clean_share"))
+    one = F.lit(1.0)
+    return total.withColumns({"precision": F.coalesce(F.try_divide("matched", "reported"), one), "recall": F.coalesce(F.try_divide("covered", "expected"), one)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillset.functions import measures
-from quillset.operators import compare, comparison, graph, hatch, noise, raster, textdiff
+from quillset.operators import compare, comparison, graph, hatch, noise, store, textdiff
 from quillset.plans.registry import Registry
 from quillset.sources.bindings import bound, table
 
@@ -271,3 +271,32 @@ def compare_pairs(spark, d):
 def linked_components(spark, d):
     c = F.col("o_custkey")
     return graph.components(table(spark, d, "orders").select(c.alias("src"), (10_000_000 + c % 97 * 1000 + F.col("o_orderkey") % 7).alias("dst"))).distinct()
+
+
+def _scored(spark, d):
+    """A quarter of the changes by number, shifted, as what was planted, and the reportable changes as the report."""
+    c = bound(spark, d, "changes")
+    planted = c.where("change_id % 40 < 10").select("pair_id", F.col("change_id").alias("truth_id"), (F.col("x") + F.col("change_id") % 9).alias("x"), "y", "w", "h")
+    return c.where("not is_cosmetic").select("pair_id", "change_id", "x", "y", "w", "h"), planted
+
+
+SCORED = """c AS (SELECT * FROM CHANGES), t AS (SELECT pair_id, change_id AS truth_id, x + change_id % 9 AS x, y, w, h FROM c WHERE change_id % 40 < 10), r AS (SELECT * FROM c WHERE NOT is_cosmetic),
+ o AS (SELECT t.pair_id, truth_id, change_id, greatest(0, least(t.x + t.w, r.x + r.w) - greatest(t.x, r.x)) * greatest(0, least(t.y + t.h, r.y + r.h) - greatest(t.y, r.y)) AS s, t.w * t.h AS p, r.w * r.h AS q
+  FROM t JOIN r ON t.pair_id = r.pair_id AND t.x <= r.x + r.w AND r.x <= t.x + t.w AND t.y <= r.y + r.h AND r.y <= t.y + t.h),
+ f AS (SELECT pair_id, truth_id, min(change_id) AS taker FROM o WHERE s >= 0.3 * (p + q - s) OR s >= 0.6 * least(p, q) GROUP BY 1, 2),
+ e AS (SELECT pair_id, (SELECT count(*) FROM t WHERE t.pair_id = g.pair_id) AS expected, (SELECT count(*) FROM r WHERE r.pair_id = g.pair_id) AS reported, (SELECT count(DISTINCT taker) FROM f WHERE f.pair_id = g.pair_id) AS matched, (SELECT count(*) FROM f WHERE f.pair_id = g.pair_id) AS covered
+  FROM (SELECT DISTINCT pair_id FROM c) g)"""
+
+
+@query(f"WITH {SCORED} SELECT *, reported - matched AS false_positives, expected - covered AS missed FROM e WHERE expected + reported > 0")
+def truth_scores(spark, d):
+    return store.score_cases(*_scored(spark, d))
+
+
+@query(
+    f"""WITH {SCORED}, k AS (SELECT *, reported - matched AS fp, expected - covered AS ms FROM e WHERE expected + reported > 0)
+ SELECT count(*) AS cases, sum(expected)::BIGINT AS expected, sum(reported)::BIGINT AS reported, sum(matched)::BIGINT AS matched, sum(covered)::BIGINT AS covered, sum(fp)::BIGINT AS false_positives, sum(ms)::BIGINT AS missed, round(avg((fp = 0 AND ms = 0)::INT), 6) AS clean_share,
+  round(sum(matched) / sum(reported), 6) AS precision, round(sum(covered) / sum(expected), 6) AS recall FROM k"""
+)
+def truth_matrix(spark, d):
+    return store.score_matrix(store.score_cases(*_scored(spark, d))).withColumns({c: F.round(c, 6) for c in ("clean_share", "precision", "recall")})
