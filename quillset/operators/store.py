@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillset.operators.compare import boxes, overlapping
+from quillset.storage import exists, materialise, remove
 
 
 def style_collapse(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,9 +60,39 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def save_changes(changes: DataFrame, path: str) -> None:
-    """Replace the pairs at hand and leave the others: dynamic partition overwrite by pair_id."""
-    changes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair_id").parquet(path)
+def save_changes(changes: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replace the pairs at hand and leave the others.
+
+    Rows are dealt to ``buckets`` folders by their pair; those that hold a pair at hand are read, put together anew in the
+    shared folder and then overwritten. A pair is cleared by clear_changes(); rows without pair_id are one more pair.
+    """
+    rows = changes.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)).cast("int"))
+    replace_pairs(rows, rows.select("pair_id", "bucket").distinct(), path)
+
+
+def clear_changes(pairs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Remove the changes of ``pairs`` (pair_id) from a folder of save_changes()."""
+    gone = pairs.select("pair_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)).cast("int"))
+    replace_pairs(None, gone, path)
+
+
+def replace_pairs(rows: DataFrame | None, pairs: DataFrame, path: str) -> None:
+    """Write the buckets of ``pairs`` (pair_id, bucket) with ``rows`` in place of what these pairs had."""
+    spark = pairs.sparkSession
+    pairs = materialise(pairs, "pairs")
+    if exists(spark, path):
+        stored = spark.read.option("basePath", path).parquet(path)
+        same = stored.alias("s").join(pairs.alias("p"), F.col("s.pair_id").eqNullSafe(F.col("p.pair_id")), "left_anti")
+        left = same.join(pairs.select("bucket").distinct(), "bucket", "left_semi")
+        rows = left if rows is None else rows.unionByName(left, allowMissingColumns=True)
+    if rows is None:
+        return
+    # dynamic overwriting doesn't reach a bucket without rows; there are ``buckets`` at most
+    rows = materialise(rows, "saved-changes")
+    emptied = pairs.select("bucket").distinct().join(rows, "bucket", "left_anti")
+    for bucket in [r.bucket for r in emptied.collect()]:
+        remove(spark, f"{path}/bucket={bucket}")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def precision_recall(cases: DataFrame) -> DataFrame:

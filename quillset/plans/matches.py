@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillset.functions import names, numbers
-from quillset.operators import blocks, cascade, ingest, listing, masks, matching, renaming
+from quillset.operators import blocks, cascade, ingest, listing, masks, matching, renaming, store
 from quillset.plans.registry import Registry
 from quillset.sources.bindings import bound, table
 
@@ -196,6 +197,25 @@ def fill_by_title(spark, d):
     return listing.fill_by_title(files, part.select(F.concat(F.lit("A-"), F.col("p_partkey").cast("string")).alias("drawing_no"), F.col("p_name").alias("title")))
 
 
+@query("SELECT o_custkey AS pair_id, o_orderkey AS run_id, o_orderstatus AS state FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_runs(spark, d):
+    """Orders as runs of the comparison of a pair, the customer: the last one of each."""
+    runs = table(spark, d, "orders").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("started"))
+    return store.latest_runs(runs).select("pair_id", "run_id", "state")
+
+
+@query(
+    """WITH z AS (SELECT p_partkey % 50 AS pair_id, CASE WHEN p_partkey % 5 = 0 THEN 'keep' ELSE 'user' END AS kind, p_size % 10 / 10.0 AS x0, p_size % 7 / 10.0 AS y0, p_partkey % 5 = 0 AS protected FROM part)
+ SELECT DISTINCT pair_id, kind, round(x0, 6) AS x0, round(y0, 6) AS y0, protected FROM z"""
+)
+def merged_masks(spark, d):
+    """The zones that the templates and the users of all pairs drew, each once."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    zones = table(spark, d, "part").select(k, (k % 50).alias("pair_id"), F.when(k % 5 == 0, "keep").otherwise("user").alias("kind"), (size % 10 / 10).alias("x0"), (size % 7 / 10).alias("y0"), (size % 10 / 10 + 0.1).alias("x1"), (size % 7 / 10 + 0.1).alias("y1"), (k % 5 == 0).alias("protected"))
+    parts = [zones.where(F.col("p_partkey") % 3 == n).drop("p_partkey") for n in range(3)]
+    return masks.merge_masks(*parts).select("pair_id", "kind", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"), "protected")
+
+
 # --- title blocks -----------------------------------------------------------------------
 
 
@@ -302,7 +322,16 @@ def _plan(spark, d):
     return table(spark, d, "part").select(k.alias("seq"), F.concat(F.lit("/in/"), k.cast("string"), F.lit(".pdf")).alias("source"), F.concat(F.lit("/out/"), (k % 4).cast("string")).alias("folder"), stem.alias("stem"), F.when(k % 17 == 0, "txt").otherwise("PDF").alias("extension"))
 
 
-@query()
+PLAN = """q AS (SELECT p_partkey AS seq, '/out/' || p_partkey % 4 AS folder, CASE WHEN p_partkey % 31 = 0 THEN 'con' WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN 'a*b' || p_partkey WHEN p_partkey % 19 = 0 THEN repeat('x', 300) WHEN p_partkey % 7 = 0 THEN 'plan' WHEN p_partkey % 7 = 1 THEN 'Plan_2' ELSE 'sheet ' || p_partkey % 50 END AS stem,
+  CASE WHEN p_partkey % 17 = 0 THEN 'skipped' WHEN p_partkey % 31 = 0 THEN 'reserved_name' WHEN p_partkey % 29 = 0 THEN 'missing_tokens' WHEN p_partkey % 23 = 0 THEN 'invalid_name' WHEN p_partkey % 19 = 0 THEN 'path_too_long' ELSE 'ok' END AS status FROM part)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PLAN}, c AS (SELECT seq, folder || '/' || stem || '.pdf' AS target, folder || '/' || regexp_replace(lower(stem), '_2$', '') AS g, row_number() OVER (PARTITION BY folder || '/' || regexp_replace(lower(stem), '_2$', '') ORDER BY seq) AS n FROM q WHERE status = 'ok'),
+ s(g, n, seq, final, taken) AS (SELECT DISTINCT g, 0, NULL::BIGINT, NULL::VARCHAR, CASE g WHEN '/out/1/plan' THEN ['/out/1/plan_3.pdf'] WHEN '/out/2/plan' THEN ['/out/2/plan.pdf'] ELSE []::VARCHAR[] END FROM c
+  UNION ALL SELECT g, n, seq, f, list_append(taken, lower(f)) FROM (SELECT c.g, c.n, c.seq, s.taken, [t FOR t IN list_prepend(c.target, [replace(c.target, '.pdf', '_' || i || '.pdf') FOR i IN range(2, len(s.taken) + 3)]) IF NOT list_contains(s.taken, lower(t))][1] AS f FROM s JOIN c ON c.g = s.g AND c.n = s.n + 1))
+ SELECT q.seq, s.final, status, coalesce(s.final <> folder || '/' || stem || '.pdf', false) AS collided FROM q LEFT JOIN s ON s.seq = q.seq"""
+)
 def rename_plan(spark, d):
     occupied = spark.createDataFrame([("/out/1/plan_3.pdf",), ("/out/2/PLAN.pdf",)], "path string")
     return renaming.build_plan(_plan(spark, d), occupied).select("seq", "final", "status", "collided")
@@ -316,6 +345,13 @@ def rename_summary(spark, d):
     return renaming.plan_summary(renaming.build_plan(_plan(spark, d)))
 
 
+@query(f"WITH {PLAN} SELECT seq, status, row_number() OVER (PARTITION BY status ORDER BY seq) AS place FROM q WHERE status <> 'ok'")
+def rename_grid(spark, d):
+    """The rows that need a hand, numbered within their status."""
+    shown = renaming.grid(renaming.build_plan(_plan(spark, d)), "problems")
+    return shown.select("seq", "status", F.row_number().over(Window.partitionBy("status").orderBy("seq")).alias("place"))
+
+
 @query(
     """WITH RECURSIVE m AS (SELECT p_partkey AS seq, 'f' || p_partkey AS s, 'f' || CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 2 WHEN p_partkey % 10 = 6 THEN 100000 + p_partkey ELSE p_partkey + 1 END AS f FROM part),
  w AS (SELECT a.seq, b.seq AS waits FROM m a LEFT JOIN m b ON a.f = b.s), c(seq, step) AS (SELECT seq, 0 FROM w WHERE waits IS NULL UNION ALL SELECT w.seq, step + 1 FROM c JOIN w ON w.waits = c.seq)

@@ -37,6 +37,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return written(df, name)[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of written() that no plan reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -105,3 +105,31 @@ def test_filters_stay_linear(spark):
     assert out.kept.count() + out.suppressed.count() == 60
     leaves = out.kept._jdf.queryExecution().optimizedPlan().collectLeaves().size()
     assert leaves <= 4
+
+
+def test_saved_changes_are_replaced_by_pair(spark, tmp_path):
+    from quillset.operators import store
+
+    path = f"file://{tmp_path}/changes"
+    rows = lambda *of: spark.createDataFrame(list(of), "pair_id long, change_id long, kind string")
+    held = lambda: sorted((r.pair_id is None, r.pair_id or 0, r.change_id) for r in spark.read.parquet(path).collect())
+    store.save_changes(rows((1, 10, "a"), (1, 11, "a"), (2, 20, "b"), (None, 5, "c"), *((p, p * 10, "d") for p in range(3, 40))), path, buckets=4)
+    assert len(held()) == 41 and len(list((tmp_path / "changes").glob("bucket=*"))) == 4
+    store.save_changes(rows((1, 12, "a")), path, buckets=4)
+    assert (False, 1, 12) in held() and len(held()) == 40 and (False, 2, 20) in held()
+    store.clear_changes(rows((2, 0, ""), (None, 0, "")), path, buckets=4)
+    assert len(held()) == 38 and (False, 2, 20) not in held() and not any(r[0] for r in held())
+
+
+def test_scores_of_cases(spark):
+    from quillset.operators import store
+
+    box = "pair_id long, {} long, x double, y double, w double, h double"
+    truth = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 12.0, 0.0, 10.0, 10.0), (1, 3, 500.0, 0.0, 10.0, 10.0), (2, 4, 0.0, 0.0, 5.0, 5.0)], box.format("truth_id"))
+    reported = spark.createDataFrame([(1, 1, 0.0, 0.0, 22.0, 10.0), (1, 2, 1.0, 0.0, 10.0, 10.0), (3, 3, 0.0, 0.0, 5.0, 5.0)], box.format("change_id"))
+    got = {r.pair_id: tuple(r)[1:] for r in store.score_cases(reported, truth).collect()}
+    # the first report covers two planted changes, so the second one gets none
+    assert got == {1: (3, 2, 1, 2, 1, 1), 2: (1, 0, 0, 0, 0, 1), 3: (0, 1, 0, 0, 1, 0)}
+    row = store.score_matrix(store.score_cases(reported, truth)).first()
+    assert (row.cases, row.precision, row.recall, row.clean_share) == (3, 1 / 3, 0.5, 0.0)
+    assert store.score_matrix(store.score_cases(reported.limit(0), truth.limit(0))).first().precision == 1.0
