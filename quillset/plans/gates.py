@@ -235,6 +235,38 @@ def otsu_threshold(spark, d):
     return raster.otsu(_grey(spark, d))
 
 
+def _lit(spark, d):
+    """Pixels of ten sheets; the odd ones are lit unevenly from left to right."""
+    k = F.col("l_orderkey")
+    grey = F.when((F.col("l_linenumber") % 3 == 0) & (F.col("l_partkey") % 4 == 0), F.col("l_partkey") % 90).otherwise(150 + F.col("l_suppkey") * 7 % 12)
+    x = F.col("l_partkey") * 7 % 97
+    lit = grey + F.when(k % 2 == 1, F.floor(x / 2)).otherwise(0)
+    return table(spark, d, "lineitem").groupBy((k % 10).alias("sheet"), x.alias("x"), (k * 13 % 89).alias("y")).agg(F.min(lit).cast("long").alias("value"))
+
+
+LIT = """px AS (SELECT l_orderkey % 10 AS sheet, l_partkey * 7 % 97 AS x, l_orderkey * 13 % 89 AS y, min(CASE WHEN l_linenumber % 3 = 0 AND l_partkey % 4 = 0 THEN l_partkey % 90 ELSE 150 + l_suppkey * 7 % 12 END + CASE WHEN l_orderkey % 2 = 1 THEN l_partkey * 7 % 97 // 2 ELSE 0 END) AS value FROM lineitem GROUP BY 1, 2, 3),
+ lr AS (SELECT *, sum(value) OVER w AS s, count(value) OVER w AS n FROM px WINDOW w AS (PARTITION BY sheet, y ORDER BY x RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING)),
+ lt AS (SELECT sheet, x, y, value, sum(s) OVER w / sum(n) OVER w - 10 AS threshold FROM lr WINDOW w AS (PARTITION BY sheet, x ORDER BY y RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING))"""
+
+
+@query(f"WITH {LIT} SELECT sheet, x, y, round(threshold, 6) AS threshold, value <= threshold AS ink FROM lt")
+def adaptive_threshold(spark, d):
+    local = raster.local_threshold(_lit(spark, d), side=15)
+    return local.select("sheet", "x", "y", F.round("threshold", 6).alias("threshold"), (F.col("value") <= F.col("threshold")).alias("ink"))
+
+
+@query(
+    f"""WITH {LIT}, bk AS (SELECT sheet, median(value) AS m FROM (SELECT *, x * 12 // (max(x) OVER (PARTITION BY sheet) + 1) AS bx, y * 12 // (max(y) OVER (PARTITION BY sheet) + 1) AS bb FROM px) GROUP BY sheet, bx, bb),
+ vr AS (SELECT sheet, stddev_pop(m) > 8 AS scanned FROM bk GROUP BY 1), h AS (SELECT sheet, value, count(*)::DOUBLE AS n FROM px GROUP BY ALL),
+ su AS (SELECT sheet, value, sum(n) OVER u AS n0, sum(n * value) OVER u AS s0, sum(n) OVER e AS n, sum(n * value) OVER e AS s FROM h WINDOW u AS (PARTITION BY sheet ORDER BY value), e AS (PARTITION BY sheet)),
+ b AS (SELECT sheet, value, coalesce(round(n0 * (n - n0) / (n * n) * (s0 / n0 - (s - s0) / nullif(n - n0, 0)) ** 2, 6), 0) AS between_ FROM su),
+ o AS (SELECT sheet, value AS cut FROM b QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY between_ DESC, value) = 1)
+ SELECT sheet, CASE WHEN scanned THEN 'adaptive' ELSE 'otsu' END AS method, count(*) AS n, count(*) FILTER (CASE WHEN scanned THEN value <= threshold ELSE value <= cut END) AS ink FROM lt JOIN vr USING (sheet) JOIN o USING (sheet) GROUP BY 1, 2"""
+)
+def binarised_sheets(spark, d):
+    return raster.binarise_sheets(_lit(spark, d), side=15).groupBy("sheet", "method").agg(F.count("*").alias("n"), F.count_if("ink").alias("ink"))
+
+
 @query(
     """WITH g AS (SELECT l_orderkey % 40 AS sheet, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 90 ELSE 160 + l_suppkey * 7 % 96 END AS value FROM lineitem)
  SELECT sheet, round(avg((value < 200)::INT), 6) AS coverage, round(coalesce(count(*) FILTER (value < 200 AND value > 110) / nullif(count(*) FILTER (value < 200), 0), 0), 6) AS pale_share FROM g GROUP BY 1"""
