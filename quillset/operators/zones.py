@@ -175,8 +175,8 @@ def table_items(items: DataFrame, blocks: DataFrame) -> DataFrame:
     line = F.greatest("h", F.lit(0.008))
     corner = [F.least(F.col("x") - 0.10, F.lit(1.0)), F.col("y") - 1.5 * line, F.least(F.col("x") + F.col("w") + 0.22, F.lit(1.0)), F.col("y") + F.col("h") + 10 * line]
     band = heads.withColumn("r", F.row_number().over(best)).where("r = 1").select("sheet_id", *(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias(f"b{n}") for c, n in zip(corner, ("x0", "y0", "x1", "y1"), strict=True)))
-    inside = items.join(band, "sheet_id").where(x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")))
-    return inside.withColumn("n", F.count("*").over(Window.partitionBy("sheet_id"))).where("n >= 2").select("sheet_id", "item_id", "text", "t", "x", "y", "w", "h")
+    inside = items.drop("t").join(band, "sheet_id").where(x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")))
+    return inside.withColumn("n", F.count("*").over(Window.partitionBy("sheet_id"))).where("n >= 2").select("sheet_id", "item_id", "text", normalise_text(F.col("text")).alias("t"), "x", "y", "w", "h")
 
 
 def revision_rows(inside: DataFrame) -> DataFrame:
@@ -230,8 +230,8 @@ def protected_regions(items: DataFrame, blocks: DataFrame) -> DataFrame:
     columns = ["sheet_id", "item_id", "what", "x0", "y0", "x1", "y1", "confidence"]
     plain = grown(hits.where("what <> 'general_notes'"), reach).withColumn("confidence", F.lit(0.8)).select(columns)
     notes = notes_columns(items, hits.where("what = 'general_notes'")).withColumns({"what": F.lit("general_notes"), "confidence": F.lit(0.8)}).select(columns)
-    tall = F.col("h") >= 1.6 * F.median(F.when(F.col("h") > 0, F.col("h"))).over(Window.partitionBy("sheet_id"))
-    lone = items.withColumn("tall", tall).where(F.col("tall") & (text == "N")).withColumn("r", F.row_number().over(Window.partitionBy("sheet_id").orderBy("item_id"))).where("r = 1")
+    middle = items.where("h > 0").groupBy("sheet_id").agg(F.median("h").alias("middle"))
+    lone = items.where(text == "N").join(middle, "sheet_id").where("h >= 1.6 * middle").withColumn("r", F.row_number().over(Window.partitionBy("sheet_id").orderBy("item_id"))).where("r = 1")
     arrow = grown(lone, F.lit(0.05)).withColumns({"what": F.lit("lone_north"), "confidence": F.lit(0.7)}).select(columns)
     all_ = plain.unionByName(notes).unionByName(arrow).join(blocks.select("sheet_id", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1"))), "sheet_id", "left")
     meets = F.coalesce((F.col("x0") <= F.col("bx1")) & (F.col("bx0") <= F.col("x1")) & (F.col("y0") <= F.col("by1")) & (F.col("by0") <= F.col("y1")), F.lit(False))
