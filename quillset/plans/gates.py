@@ -102,13 +102,16 @@ def anchor_spacing(spark, d):
     return gate.nearest_spacing(bound(spark, d, "points")).select("pair_id", *(F.round(c, 6).alias(c) for c in ("least", "most")))
 
 
-@query(
-    """WITH m AS (SELECT p_partkey AS pair_id, 0.5 + p_partkey % 23 / 10.0 AS rms, 0.5 + p_partkey % 7 / 12.0 AS inlier_ratio, 2 + p_partkey % 9 AS anchors, 0.2 + p_partkey % 5 / 20.0 AS spread, p_partkey % 11 <> 3 AS sanity, 0.55 + p_partkey % 13 / 30.0 AS ink_overlap, CASE WHEN p_partkey % 9 >= 3 THEN 0.4 + p_partkey % 31 / 10.0 END AS holdout, 0.9 + p_partkey % 3 / 10.0 AS scale FROM part),
+#: SQL: metrics of all kinds, what of them failed or passed barely, as relation v.
+LADDER = """WITH m AS (SELECT p_partkey AS pair_id, 0.5 + p_partkey % 23 / 10.0 AS rms, 0.5 + p_partkey % 7 / 12.0 AS inlier_ratio, 2 + p_partkey % 9 AS anchors, 0.2 + p_partkey % 5 / 20.0 AS spread, p_partkey % 11 <> 3 AS sanity, 0.55 + p_partkey % 13 / 30.0 AS ink_overlap, CASE WHEN p_partkey % 9 >= 3 THEN 0.4 + p_partkey % 31 / 10.0 END AS holdout, 0.9 + p_partkey % 3 / 10.0 AS scale FROM part),
  f AS (SELECT *, list_filter([CASE WHEN NOT rms < 2 THEN 'rms' END, CASE WHEN NOT inlier_ratio >= 0.6 THEN 'inlier_ratio' END, CASE WHEN NOT anchors >= 3 THEN 'anchors' END, CASE WHEN NOT spread >= 0.25 THEN 'spread' END, CASE WHEN NOT sanity THEN 'sanity' END, CASE WHEN NOT ink_overlap >= 0.6 THEN 'ink' END, CASE WHEN NOT coalesce(holdout < 3, false) THEN 'holdout' END], lambda x: x IS NOT NULL) AS failed,
   (rms < 2 AND rms >= 1.8)::INT + (inlier_ratio BETWEEN 0.6 AND 0.66)::INT + (anchors BETWEEN 3 AND 3.3)::INT + (spread BETWEEN 0.25 AND 0.275)::INT + (ink_overlap BETWEEN 0.6 AND 0.66)::INT + coalesce(holdout < 3 AND holdout >= 2.7, false)::INT AS marginal FROM m),
  v AS (SELECT *, failed = ['spread'] AND abs(ln(scale)) > 0.05 AS spread_waived FROM f)
- SELECT pair_id, len(failed) AS n_failed, marginal AS n_marginal, spread_waived, CASE WHEN len(failed) > 0 AND NOT spread_waived THEN 'failed' WHEN marginal >= 2 THEN 'poor' WHEN anchors >= 8 AND rms < 1 AND marginal = 0 AND ink_overlap >= 0.75 AND NOT spread_waived THEN 'excellent' ELSE 'good' END AS verdict FROM v"""
-)
+"""
+VERDICT = "CASE WHEN len(failed) > 0 AND NOT spread_waived THEN 'failed' WHEN marginal >= 2 THEN 'poor' WHEN anchors >= 8 AND rms < 1 AND marginal = 0 AND ink_overlap >= 0.75 AND NOT spread_waived THEN 'excellent' ELSE 'good' END"
+
+
+@query(f"""{LADDER} SELECT pair_id, len(failed) AS n_failed, marginal AS n_marginal, spread_waived, {VERDICT} AS verdict FROM v""")
 def gate_verdicts(spark, d):
     """The ladder over metrics of all kinds, passing, barely passing and failing."""
     return _assessed(spark, d).select("pair_id", F.size("failed").alias("n_failed"), F.size("marginal").alias("n_marginal"), "spread_waived", "verdict")
@@ -184,7 +187,10 @@ def refinement_fallback(spark, d):
     return gate.choose_refined(part.select(k.alias("pair_id"), verdict(F.floor(k / 4) % 4).alias("verdict")), part.select(k.alias("pair_id"), verdict(k % 4).alias("verdict")))
 
 
-@query()
+@query(
+    f"""{LADDER} SELECT verdict, verdict = 'failed' AND anchors < 5 AND len(list_filter(failed, lambda x: x NOT IN ('anchors', 'spread', 'holdout'))) = 0 AS waived, count(*) AS n
+ FROM (SELECT *, {VERDICT} AS verdict FROM v) GROUP BY ALL"""
+)
 def manual_waiver(spark, d):
     return gate.manual_waiver(_assessed(spark, d)).groupBy("verdict", "waived").agg(F.count("*").alias("n"))
 
@@ -286,10 +292,13 @@ def stroke_width(spark, d):
     return raster.stroke_width(ink)
 
 
-@query()
+@query(f"""WITH fx AS (SELECT DISTINCT pair_id, 0.8 AS a, 0.6 AS b, 0 AS mx, 0 AS my, 10 + pair_id % 4 AS ux, -5 AS uy FROM POINTS), {_overlap("fx")} SELECT pair_id, round(ink_overlap, 6) AS ink_overlap FROM ov""")
 def ink_overlap(spark, d):
+    """The fit that made the new ink, off by up to three pixels."""
     old, new = _ink(spark, d)
-    fits = bound(spark, d, "points").select("pair_id").distinct().select("pair_id", *(F.lit(v).alias(n) for n, v in zip(gate.MATRIX, (0.8, -0.6, 0.6, 0.8, 10.0, -5.0), strict=True)))
+    pair = F.col("pair_id")
+    matrix = (F.lit(0.8), F.lit(-0.6), F.lit(0.6), F.lit(0.8), 10.0 + pair % 4, F.lit(-5.0))
+    fits = bound(spark, d, "points").select("pair_id").distinct().select("pair_id", *(v.alias(n) for n, v in zip(gate.MATRIX, matrix, strict=True)))
     return gate.ink_overlap(old, new, fits).withColumn("ink_overlap", F.round("ink_overlap", 6))
 
 
