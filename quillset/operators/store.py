@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillset.operators.compare import boxes, overlapping
+from quillset.operators.compare import box_classes, boxes, overlapping
 from quillset.storage import exists, materialise, remove
 
 
@@ -108,11 +108,13 @@ def score_cases(reported: DataFrame, truth: DataFrame, least_iou: float = 0.3, l
     reported: pair_id, change_id (unique, in the order of the report), truth: pair_id, truth_id (unique), both with x, y, w, h.
     A report takes all planted changes that it meets (IoU, or share of the smaller box) and that none before it has
     taken; so a planted change belongs to the first report that meets it, which is a minimum over the met
-    pairs. A report that gets none is a false positive. Cases may have rows on one side only.
+    pairs. A report that gets none is a false positive. Cases may have rows on one side only. Equal boxes meet the
+    same, and only the first report of a box can take, so boxes are joined once and count as often as they are there.
     """
-    met = overlapping(boxes(truth, "l", "truth_id"), boxes(reported, "r", "change_id"), cell, least_iou, least_inside)
-    first = met.groupBy("pair_id", "l_id").agg(F.min("r_id").alias("taker"))
-    hits = first.groupBy("pair_id").agg(F.count_distinct("taker").alias("matched"), F.count("*").alias("covered"))
+    planted = materialise(box_classes(truth, "truth_id"), "planted-boxes")
+    met = overlapping(boxes(planted, "l", "truth_id"), boxes(box_classes(reported, "change_id"), "r", "change_id"), cell, least_iou, least_inside)
+    first = met.groupBy("pair_id", "l_id").agg(F.min("r_id").alias("taker")).join(planted.select("pair_id", F.col("truth_id").alias("l_id"), "n"), ["pair_id", "l_id"])
+    hits = first.groupBy("pair_id").agg(F.count_distinct("taker").alias("matched"), F.sum("n").alias("covered"))
     sizes = truth.groupBy("pair_id").agg(F.count("*").alias("expected")).join(reported.groupBy("pair_id").agg(F.count("*").alias("reported")), "pair_id", "full_outer")
     n = {c: F.coalesce(c, F.lit(0)) for c in ("expected", "reported", "matched", "covered")}
     rows = sizes.join(hits, "pair_id", "left").select("pair_id", *(v.alias(c) for c, v in n.items()))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillset.operators import comparison
+from quillset.operators import compare, comparison, store
 
 ITEM = "pair_id long, side string, item_id long, text string, x double, y double, w double, h double"
 SEGMENT = "pair_id long, side string, path_id long, x0 double, y0 double, x1 double, y1 double, pen long"
@@ -133,3 +133,29 @@ def test_scores_of_cases(spark):
     row = store.score_matrix(store.score_cases(reported, truth)).first()
     assert (row.cases, row.precision, row.recall, row.clean_share) == (3, 1 / 3, 0.5, 0.0)
     assert store.score_matrix(store.score_cases(reported.limit(0), truth.limit(0))).first().precision == 1.0
+
+
+def test_overlap_links_count_all_pairs_by_class(spark):
+    """Copies are counted and not joined: as many links as pairs of single boxes, from few pairs of classes."""
+    rng = random.Random(4)
+    rows = [(1, i, *rng.choice([(0.0, 0.0, 10.0, 10.0), (1.0, 1.0, 9.0, 9.0), (50.0, 0.0, 4.0, 4.0), (2.0, 0.0, 10.0, 10.0)])) for i in range(120)] + [(1, 200, None, 0.0, 1.0, 1.0)]
+    left, right = (spark.createDataFrame(part, "pair_id long, change_id long, x double, y double, w double, h double") for part in (rows[:60] + rows[-1:], rows[60:120]))
+    pairs = [(r.l_id, r.r_id) for r in compare.overlapping(compare.boxes(left, "l", "change_id"), compare.boxes(right, "r", "change_id")).collect()]
+    got = [{r.change_id: r for r in side.collect()} for side in compare.overlap_links(left, right)]
+    assert sum(r.n_links for r in got[0].values()) == len(pairs) == sum(r.n_links for r in got[1].values())
+    for n, side in enumerate(got):
+        assert {i: r.n_links for i, r in side.items()} == {i: sum(p[n] == i for p in pairs) for i in side}
+        assert len({r.class_id for r in side.values()}) <= 5 and all(r.class_id <= i for i, r in side.items())
+    assert len(got[0]) == 61 and got[0][200].n_links == 0
+
+
+def test_scores_count_copies_without_joining_them(spark, monkeypatch):
+    """Planted and reported changes of one box: the first report takes all, and boxes meet once a class."""
+    met, overlapping = [], store.overlapping
+    monkeypatch.setattr(store, "overlapping", lambda *a: met.append(overlapping(*a)) or met[-1])
+    schema = "pair_id long, {0} long, x double, y double, w double, h double"
+    truth = spark.createDataFrame([(1, i, 0.0, 0.0, 10.0, 10.0) for i in range(30)] + [(1, 99, 400.0, 0.0, 5.0, 5.0)], schema.format("truth_id"))
+    reported = spark.createDataFrame([(1, i, 1.0, 0.0, 10.0, 10.0) for i in range(50)], schema.format("change_id"))
+    row = store.score_cases(reported, truth).first()
+    assert (row.expected, row.reported, row.matched, row.covered, row.false_positives, row.missed) == (31, 50, 1, 30, 49, 1)
+    assert met[0].count() == 1
