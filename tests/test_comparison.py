@@ -159,3 +159,13 @@ def test_scores_count_copies_without_joining_them(spark, monkeypatch):
     row = store.score_cases(reported, truth).first()
     assert (row.expected, row.reported, row.matched, row.covered, row.false_positives, row.missed) == (31, 50, 1, 30, 49, 1)
     assert met[0].count() == 1
+
+
+def test_nearest_moves_join_copies_once(spark, monkeypatch):
+    """Copies of a segment: only the smallest ids can be mutual nearest, and only they are joined."""
+    met, grid_join = [], compare.grid_join
+    monkeypatch.setattr(compare, "grid_join", lambda *a: met.append(grid_join(*a)) or met[-1])
+    schema = "pair_id long, path_id long, x0 long, y0 long, x1 long, y1 long"
+    old, new = (spark.createDataFrame([(1, n + i, 0, 0, 20, 0) if i % 2 else (1, n + i, 300 + m, 0, 300 + m, 30) for i in range(40)], schema) for n, m in ((0, 0), (100, 7)))
+    assert sorted(map(tuple, compare.nearest_moves(old, new, 60.0).collect())) == [(1, 0, 100, 7.0), (1, 1, 101, 0.0)]
+    assert met[0].count() == 2
