@@ -169,3 +169,20 @@ def test_nearest_moves_join_copies_once(spark, monkeypatch):
     old, new = (spark.createDataFrame([(1, n + i, 0, 0, 20, 0) if i % 2 else (1, n + i, 300 + m, 0, 300 + m, 30) for i in range(40)], schema) for n, m in ((0, 0), (100, 7)))
     assert sorted(map(tuple, compare.nearest_moves(old, new, 60.0).collect())) == [(1, 0, 100, 7.0), (1, 1, 101, 0.0)]
     assert met[0].count() == 2
+
+
+def test_groups_hold_equal_boxes_once():
+    """A copy is compared with different boxes, not with all their copies."""
+    from collections import namedtuple
+
+    seen = []
+
+    class Counted(float):
+        def __le__(self, other):
+            seen.append(1)
+            return float(self) <= other
+
+    row = namedtuple("Row", "pair_id change_id x y w h")
+    rows = [row(1, i, Counted(40.0 * (i % 3)), 0.0, 5.0, 5.0) for i in range(300)]
+    assert [r[2] for r in compare.first_groups(128.0, 10.0)((), rows)] == [i % 3 for i in range(300)]
+    assert len(seen) < 3 * 300 * 3
