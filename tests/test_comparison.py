@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillset.operators import compare, comparison, store
+from quillset.operators import compare, comparison, noise, store
 
 ITEM = "pair_id long, side string, item_id long, text string, x double, y double, w double, h double"
 SEGMENT = "pair_id long, side string, path_id long, x0 double, y0 double, x1 double, y1 double, pen long"
@@ -186,3 +186,12 @@ def test_groups_hold_equal_boxes_once():
     rows = [row(1, i, Counted(40.0 * (i % 3)), 0.0, 5.0, 5.0) for i in range(300)]
     assert [r[2] for r in compare.first_groups(128.0, 10.0)((), rows)] == [i % 3 for i in range(300)]
     assert len(seen) < 3 * 300 * 3
+
+
+def test_font_substitution_joins_equal_boxes_once(spark, monkeypatch):
+    met, grid_join = [], noise.grid_join
+    monkeypatch.setattr(noise, "grid_join", lambda *a: met.append(grid_join(*a)) or met[-1])
+    changes = spark.createDataFrame([(1, i, "raster", 1.0 + i % 2 * 500, 1.0, 5.0, 5.0) for i in range(40)], "pair_id long, change_id long, stream string, x double, y double, w double, h double")
+    texts = spark.createDataFrame([(1, i, 0.0, 0.0, 20.0, 10.0) for i in range(30)], "pair_id long, id long, x double, y double, w double, h double")
+    gone = noise.font_substitution(texts).marks(changes).collect()
+    assert sorted(r.change_id for r in gone) == list(range(0, 40, 2)) and met[0].count() == 1
