@@ -76,7 +76,7 @@ def values_near(labels: DataFrame, items: DataFrame, accept: Column) -> DataFram
     Being off the label's axis counts OFF_AXIS times.
     """
     at = labels.select("sheet_id", F.col("item_id").alias("label_id"), F.col("fx").alias("lx"), F.col("fy").alias("ly"))
-    met = items.where(accept & (F.trim("text") != "")).join(at, "sheet_id").where("item_id <> label_id")
+    met = items.where(accept & (F.trim("text") != "")).join(at.hint("merge"), "sheet_id").where("item_id <> label_id")
     down, aside, across, off = F.col("ly") - F.col("fy"), F.abs(F.col("fx") - F.col("lx")), F.col("fx") - F.col("lx"), F.abs(F.col("fy") - F.col("ly"))
     cost = F.when((down > 0) & (down <= BELOW) & (aside <= COLUMN), down + OFF_AXIS * aside).when((across > 0) & (across <= RIGHT) & (off <= BELOW / 3), across + OFF_AXIS * off)
     best = met.withColumn("cost", cost).where("cost is not null").groupBy("sheet_id").agg(F.min(F.struct("cost", "item_id", "text")).alias("b"))
@@ -84,12 +84,18 @@ def values_near(labels: DataFrame, items: DataFrame, accept: Column) -> DataFram
 
 
 def wrapped_titles(values: DataFrame, items: DataFrame) -> DataFrame:
-    """sheet_id, title: the value and, if there is one, its second line: same left edge, close below, of like height."""
-    first = values.join(items.select("sheet_id", F.col("item_id").alias("value_id"), F.col("fx").alias("x0"), F.col("fy").alias("y0"), F.col("fh").alias("h0")), ["sheet_id", "value_id"])
-    gap = F.col("y0") - F.col("fy")
-    follows = (F.col("h0") > 0) & (gap > 0) & (gap <= F.col("h0") * WRAP_GAP) & (F.abs(F.col("fx") - F.col("x0")) <= WRAP_COLUMN) & (F.abs(F.col("fh") - F.col("h0")) <= F.col("h0") * WRAP_HEIGHT)
-    second = first.join(items.where(is_plausible_title(F.col("text"))).select("sheet_id", "item_id", "text", "fx", "fy", "fh"), "sheet_id").where(follows).groupBy("sheet_id").agg(F.min(F.struct(gap.alias("gap"), "item_id", F.trim("text").alias("t"))).alias("s"))
-    return first.join(second, "sheet_id", "left").select("sheet_id", F.concat_ws(" ", "value", "s.t").alias("title"))
+    """sheet_id, title: the value (one a sheet) and, if there is one, its second line: same left edge, close below, of like height.
+
+    Items meet their sheet's value by a shuffle: exploded items are more than their estimate, and no table of them may be broadcast.
+    """
+    sheet = Window.partitionBy("sheet_id")
+    met = items.select("sheet_id", "item_id", "text", "fx", "fy", "fh").join(values.select("sheet_id", "value_id", "value").hint("merge"), "sheet_id")
+    own = F.max(F.when(F.col("item_id") == F.col("value_id"), F.struct("fx", "fy", "fh"))).over(sheet)
+    first = met.withColumn("own", own).where("own is not null")
+    gap, high = F.col("own.fy") - F.col("fy"), F.col("own.fh")
+    follows = (high > 0) & (gap > 0) & (gap <= high * WRAP_GAP) & (F.abs(F.col("fx") - F.col("own.fx")) <= WRAP_COLUMN) & (F.abs(F.col("fh") - high) <= high * WRAP_HEIGHT) & is_plausible_title(F.col("text"))
+    second = F.min(F.when(follows, F.struct(gap.alias("gap"), "item_id", F.trim("text").alias("t")))).alias("s")
+    return first.groupBy("sheet_id").agg(F.min("value").alias("value"), second).select("sheet_id", F.concat_ws(" ", "value", "s.t").alias("title"))
 
 
 def sheet_numbers(items: DataFrame, files: DataFrame) -> DataFrame:
