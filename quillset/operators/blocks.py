@@ -5,6 +5,8 @@ items: sheet_id, item_id, text, fx, fy (fractions of the page, y up), fh.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +62,27 @@ def zone_scores(items: DataFrame) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(order))
 
 
+def label_hit(text: Column, labels: tuple[str, ...]) -> Column:
+    """struct(i, part): which label a text is, and whether it says more; null if none."""
+    t = F.btrim(F.lower(F.trim(text)), F.lit(" .:_-"))
+    order = [F.when(t == label, F.struct(F.lit(i).alias("i"), F.lit(0).alias("part"))).when(t.startswith(label) & (F.length(t) <= len(label) + 4), F.struct(F.lit(i).alias("i"), F.lit(1).alias("part"))) for i, label in enumerate(labels)]
+    return F.when((F.length(t) <= 40) & (t != ""), F.array_min(F.array_compact(F.array(*order))))
+
+
 def find_labels(items: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """sheet_id, item_id, label, fx, fy: the label of each sheet: the most specific, an exact one first, then the lowest."""
-    t = F.btrim(F.lower(F.trim("text")), F.lit(" .:_-"))
-    order = [F.when(t == label, F.struct(F.lit(i).alias("i"), F.lit(0).alias("part"))).when(t.startswith(label) & (F.length(t) <= len(label) + 4), F.struct(F.lit(i).alias("i"), F.lit(1).alias("part"))) for i, label in enumerate(labels)]
-    hits = items.where((F.length(t) <= 40) & (t != "")).withColumn("hit", F.array_min(F.array_compact(F.array(*order)))).where("hit is not null")
+    hits = items.withColumn("hit", label_hit(F.col("text"), labels)).where("hit is not null")
     first = Window.partitionBy("sheet_id").orderBy("hit.i", "hit.part", "fy", "item_id")
     named = F.element_at(F.array(*map(F.lit, labels)), F.col("hit.i") + 1)
     return hits.withColumn("r", F.row_number().over(first)).where("r = 1").select("sheet_id", "item_id", named.alias("label"), "fx", "fy")
 
 
+def label_cost(lx: Column, ly: Column) -> Column:
+    """How far an item stands under a label or right of it; null if it stands elsewhere."""
+    down, aside, across, off = ly - F.col("fy"), F.abs(F.col("fx") - lx), F.col("fx") - lx, F.abs(F.col("fy") - ly)
+    return F.when((down > 0) & (down <= BELOW) & (aside <= COLUMN), down + OFF_AXIS * aside).when((across > 0) & (across <= RIGHT) & (off <= BELOW / 3), across + OFF_AXIS * off)
+
+
 def values_near(labels: DataFrame, items: DataFrame, accept: Column) -> DataFrame:
     """sheet_id, value_id, value, cost: the nearest acceptable text under the label in its column, or right of it on its line.
 
@@ -77,9 +90,7 @@ def values_near(labels: DataFrame, items: DataFrame, accept: Column) -> DataFram
     """
     at = labels.select("sheet_id", F.col("item_id").alias("label_id"), F.col("fx").alias("lx"), F.col("fy").alias("ly"))
     met = items.where(accept & (F.trim("text") != "")).join(at.hint("merge"), "sheet_id").where("item_id <> label_id")
-    down, aside, across, off = F.col("ly") - F.col("fy"), F.abs(F.col("fx") - F.col("lx")), F.col("fx") - F.col("lx"), F.abs(F.col("fy") - F.col("ly"))
-    cost = F.when((down > 0) & (down <= BELOW) & (aside <= COLUMN), down + OFF_AXIS * aside).when((across > 0) & (across <= RIGHT) & (off <= BELOW / 3), across + OFF_AXIS * off)
-    best = met.withColumn("cost", cost).where("cost is not null").groupBy("sheet_id").agg(F.min(F.struct("cost", "item_id", "text")).alias("b"))
+    best = met.withColumn("cost", label_cost(F.col("lx"), F.col("ly"))).where("cost is not null").groupBy("sheet_id").agg(F.min(F.struct("cost", "item_id", "text")).alias("b"))
     return best.select("sheet_id", F.col("b.item_id").alias("value_id"), F.trim("b.text").alias("value"), F.col("b.cost").alias("cost"))
 
 
@@ -105,20 +116,26 @@ def sheet_numbers(items: DataFrame, files: DataFrame) -> DataFrame:
     anywhere on the sheet, else the file name's (files: sheet_id, filename_number). A mismatch is a number
     from the sheet that reads otherwise than the file name's.
     """
-    focused = zone_rows(items).where("zone <> 'whole_sheet'")
-    within = focused.select("sheet_id", "item_id", "text", "fx", "fy", "fh").distinct()
-    labelled = values_near(find_labels(within, NUMBER_LABELS), within, is_plausible_number(F.col("text"))).select("sheet_id", F.coalesce(F.get(find_numbers(F.col("value")), 0), F.upper("value")).alias("by_label"))
-    ranked = zone_scores(items).select("sheet_id", "zone", "rank")
-
-    def first_number(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.withColumn("n", F.get(find_numbers(F.col("text")), 0)).where("n is not null")
-        return n.groupBy("sheet_id").agg(F.min_by("n", F.struct("rank", -F.col("fy"), "fx", "item_id")).alias(name))
-
-    zoned = first_number(focused.join(ranked, ["sheet_id", "zone"]), "by_zone")
-    anywhere = first_number(items.withColumn("rank", F.lit(0)), "by_text")
-    known = files.select("sheet_id", "filename_number")
-    for side in (labelled, zoned, anywhere):
-        known = known.join(side, "sheet_id", "left")
+    sheet = Window.partitionBy("sheet_id")
+    zones = {z: F.coalesce(F.col("fx").between(x0, x1) & F.col("fy").between(y0, y1), F.lit(False)) for z, (x0, x1, y0, y1) in ZONES.items() if z != "whole_sheet"}
+    lowered = F.lower("text")
+    words = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.contains(lowered, F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(BLOCK_WORDS)))
+    accept = is_plausible_number(F.col("text")) & (F.trim("text") != "")
+    read = items.select("sheet_id", "item_id", "text", "fx", "fy", *(c.alias(f"in_{z}") for z, c in zones.items()), F.coalesce(words, F.lit(0)).alias("words"), F.get(find_numbers(F.col("text")), 0).alias("n"), label_hit(F.col("text"), NUMBER_LABELS).alias("hit"), accept.alias("accept"))
+    within = reduce(lambda a, b: a | b, (F.col(f"in_{z}") for z in zones))
+    label = F.min(F.when(within & F.col("hit").isNotNull(), F.struct("hit.i", "hit.part", "fy", "item_id", "fx"))).over(sheet).alias("label")
+    # all that a sheet's items share comes by windows over one shuffle, so that texts are read once
+    scores = [F.bit_count(F.bit_or(F.when(F.col(f"in_{z}"), F.col("words"))).over(sheet)).alias(f"score_{z}") for z in zones]
+    seen = read.select("*", label, *scores)
+    zone = F.array_min(F.array_compact(F.array(*(F.when(F.col(f"in_{z}"), F.struct((-F.col(f"score_{z}")).alias("s"), F.lit(z).alias("z"))) for z in zones))))
+    cost = F.when(within & F.col("accept") & (F.col("item_id") != F.col("label.item_id")), label_cost(F.col("label.fx"), F.col("label.fy")))
+    value = F.min(F.when(cost.isNotNull(), F.struct(cost.alias("cost"), "item_id", "text"))).alias("value")
+    place = [-F.col("fy"), F.col("fx"), F.col("item_id")]
+    zoned = F.min_by("n", F.when(within & F.col("n").isNotNull(), F.struct(zone.alias("zone"), *place))).alias("by_zone")
+    anywhere = F.min_by("n", F.when(F.col("n").isNotNull(), F.struct(*place))).alias("by_text")
+    found = seen.groupBy("sheet_id").agg(value, zoned, anywhere).withColumn("value", F.trim("value.text"))
+    found = found.select("sheet_id", F.coalesce(F.get(find_numbers(F.col("value")), 0), F.upper("value")).alias("by_label"), "by_zone", "by_text")
+    known = files.select("sheet_id", "filename_number").join(found.hint("merge"), "sheet_id", "left")
     readings = (("by_label", "titleblock", "titleblock"), ("by_zone", "titleblock", "zone"), ("by_text", "sheet_text", "sheet_text"), ("filename_number", "filename", "filename"))
     best = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("n"), F.lit(s).alias("s"), F.lit(CONFIDENCE[k]).alias("c"))) for c, s, k in readings))
     differs = (F.col("b.s") != "filename") & (normalise_number(F.col("b.n")) != normalise_number(F.col("filename_number")))
