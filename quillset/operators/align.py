@@ -16,9 +16,11 @@ def singletons(items: DataFrame) -> DataFrame:
     return one("old", "o").join(one("new", "n"), ["pair_id", "text"])
 
 
-def fit_similarity(points: DataFrame) -> DataFrame:
-    """pair_id, n, a, b, tx, ty: the least-squares map new = [[a, -b], [b, a]] old + t, from sums only."""
-    sums = points.groupBy("pair_id").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in ("ox", "oy", "nx", "ny")), *(F.sum(F.col(p) * F.col(q)).alias(f"{p}{q}") for p, q in (("ox", "nx"), ("oy", "ny"), ("ox", "ny"), ("oy", "nx"), ("ox", "ox"), ("oy", "oy"))))
+def fit_similarity(points: DataFrame, copies: str | None = None) -> DataFrame:
+    """pair_id, n, a, b, tx, ty: the least-squares map new = [[a, -b], [b, a]] old + t, from sums only; ``copies`` names a count of the points that a row stands for."""
+    k = F.col(copies) if copies else F.lit(1)
+    count, mean = (F.sum(k), lambda c: F.sum(k * F.col(c)) / F.sum(k)) if copies else (F.count("*"), F.avg)
+    sums = points.groupBy("pair_id").agg(count.alias("n"), *(mean(c).alias(f"m{c}") for c in ("ox", "oy", "nx", "ny")), *(F.sum(k * F.col(p) * F.col(q)).alias(f"{p}{q}") for p, q in (("ox", "nx"), ("oy", "ny"), ("ox", "ny"), ("oy", "nx"), ("ox", "ox"), ("oy", "oy"))))
 
     def centred(p: str, q: str) -> Column:
         return F.col(f"{p}{q}") - F.col("n") * F.col(f"m{p}") * F.col(f"m{q}")
@@ -54,18 +56,26 @@ def ransac_fit(points: DataFrame, limit: float = 3.0, rounds: int = 200) -> Data
 
     points: pair_id, ox, oy, nx, ny. Hypotheses are rows: number j takes the points whose places, in the order of
     all four numbers, are the shares (j * STRIDES mod 2**32) / 2**32 of the pair's count. A pair's hypotheses,
-    ``rounds`` at most, meet each of its points, and agreements are summed before they are shuffled. Of
+    ``rounds`` at most, meet each of its different points once, which votes for all its copies. Of
     equally good ones the first counts. Pairs of fewer than two places have no inliers and no fit; points with a null count for nothing.
     """
     corner = ["ox", "oy", "nx", "ny"]
     known = points.where(" and ".join(f"{c} is not null" for c in ("pair_id", *corner))).select(F.col("pair_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in corner))
-    placed = known.withColumn("at", F.row_number().over(Window.partitionBy("pair_id").orderBy(*corner)))
-    counts = known.groupBy("pair_id").agg(F.count("*").alias("n"))
+    # equal points are one row that takes as many places as it has copies
+    known = materialise(known.groupBy("pair_id", *corner).agg(F.count("*").alias("copies")), "points")
+    placed = known.withColumn("upto", F.sum("copies").over(Window.partitionBy("pair_id").orderBy(*corner).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = materialise(placed, "placed-points")
+    counts = known.groupBy("pair_id").agg(F.sum("copies").alias("n"))
     drawn = counts.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     for k, stride in zip("pq", STRIDES, strict=True):
-        place = F.expr(f"shiftright((j * {stride}L % {1 << 32}L) * n, 32) + 1").cast("int")
-        at = placed.select("pair_id", F.col("at").alias(f"{k}_at"), *(F.col(c).alias(f"{k}_{c}") for c in corner))
-        drawn = drawn.withColumn(f"{k}_at", place).join(at, ["pair_id", f"{k}_at"])
+        drawn = drawn.withColumn(f"{k}_at", F.expr(f"shiftright((j * {stride}L % {1 << 32}L) * n, 32) + 1"))
+    spots = drawn.select("pair_id", F.explode(F.array("p_at", "q_at")).alias("at")).distinct()
+    # each place takes the first point that reaches it: one running pass over points and places, from the last to the first
+    both = placed.select("pair_id", F.col("upto").alias("at"), F.lit(0).alias("asks"), F.struct(*corner).alias("c")).unionByName(spots.select("pair_id", "at", F.lit(1).alias("asks"), F.lit(None).alias("c")))
+    back = Window.partitionBy("pair_id").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spots = materialise(both.withColumn("c", F.last("c", ignorenulls=True).over(back)).where("asks = 1").select("pair_id", "at", "c"), "drawn-points")
+    for k in "pq":
+        drawn = drawn.join(spots.select("pair_id", F.col("at").alias(f"{k}_at"), *(F.col(f"c.{c}").alias(f"{k}_{c}") for c in corner)), ["pair_id", f"{k}_at"])
     dx, dy, ux, uy = (F.col(f"q_{c}") - F.col(f"p_{c}") for c in corner)
     length = dx * dx + dy * dy
     turned = drawn.where(length > 0).withColumns({"a": (dx * ux + dy * uy) / length, "b": (dx * uy - dy * ux) / length})
@@ -78,8 +88,8 @@ def ransac_fit(points: DataFrame, limit: float = 3.0, rounds: int = 200) -> Data
         return x * x + y * y <= limit * limit
 
     every = maps.groupBy("pair_id").agg(F.collect_list(F.struct("j", "a", "b", "tx", "ty")).alias("maps"))
-    votes = known.join(every, "pair_id").select("pair_id", F.explode(F.transform(F.filter("maps", agrees), lambda h: h["j"])).alias("j")).groupBy("pair_id", "j").agg(F.count("*").alias("votes"))
+    votes = known.join(every, "pair_id").select("pair_id", "copies", F.explode(F.transform(F.filter("maps", agrees), lambda h: h["j"])).alias("j")).groupBy("pair_id", "j").agg(F.sum("copies").alias("votes"))
     best = votes.groupBy("pair_id").agg(F.max_by("j", F.struct("votes", -F.col("j"))).alias("j"))
     chosen = best.join(maps, ["pair_id", "j"]).select("pair_id", F.struct("a", "b", "tx", "ty").alias("h"))
-    fit = fit_similarity(known.join(chosen, "pair_id").where(agrees(F.col("h"))).select("pair_id", *corner))
+    fit = fit_similarity(known.join(chosen, "pair_id").where(agrees(F.col("h"))).select("pair_id", *corner, "copies"), "copies")
     return points.select(F.col("pair_id").cast("long")).distinct().join(fit, "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0)).alias("inliers"), "a", "b", "tx", "ty")
