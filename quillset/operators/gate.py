@@ -73,7 +73,14 @@ def holdout(points: DataFrame, model: str = "similarity", folds: int = 5) -> Dat
     Points are dealt to folds by the hash of their label. The fit without a fold is the sums of all less
     those of the fold, so all folds come out of one aggregation.
     """
-    dealt = weighed(points).withColumn("fold", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.md5(F.col("label").cast("string").cast("binary")), "label", "ox", "oy")) % folds)
+    # a pair's points are ordered in 256 ranges of the hash, each behind the points of those before it
+    hashed = points.withColumn("md5", F.md5(F.col("label").cast("string").cast("binary"))).withColumn("range", F.substring("md5", 1, 2))
+    hashed = materialise(hashed, "hashed-points")
+    before = Window.partitionBy("pair_id").orderBy("range")
+    starts = hashed.groupBy("pair_id", "range").agg(F.count("*").alias("c")).select("pair_id", "range", (F.sum("c").over(before) - F.col("c")).alias("start"))
+    nth = hashed.withColumn("r", F.row_number().over(Window.partitionBy("pair_id", "range").orderBy("md5", "label", "ox", "oy")))
+    placed = nth.join(starts, (nth["pair_id"] == starts["pair_id"]) & nth["range"].eqNullSafe(starts["range"])).drop(starts["pair_id"]).drop(starts["range"])
+    dealt = weighed(placed.withColumn("fold", (F.col("start") + F.col("r")) % folds).drop("md5", "range", "r", "start"))
     part = dealt.groupBy("pair_id", "fold").agg(*(F.sum(n).alias(n) for n in SUMS), F.count("*").alias("n"))
     every = Window.partitionBy("pair_id")
     rest = part.select("pair_id", "fold", F.sum("n").over(every).alias("all"), *((F.sum(n).over(every) - F.col(n)).alias(n) for n in SUMS))
