@@ -103,8 +103,10 @@ ORACLES = {
     "match_tier2": f"WITH {SIDES}, one AS (SELECT o.id AS a, n.id AS b FROM old o JOIN new n USING (number)) SELECT min(o.id) AS old_id, min(n.id) AS new_id, 0.98::DOUBLE AS confidence, 2 AS tier FROM old o JOIN new n USING (number_key) WHERE o.id NOT IN (SELECT a FROM one) AND n.id NOT IN (SELECT b FROM one) GROUP BY number_key HAVING count(*) = 1",
     "list_fill_contains": f"""WITH {LISTED}, f AS (SELECT doc_id AS id, 'X' || upper(lang) || lpad(doc_id::VARCHAR, 5, '0') || 'REVB' AS stem FROM documents)
  SELECT id, number_key AS key FROM f JOIN wanted ON contains(stem, number_key) WHERE length(number_key) >= 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(number_key) DESC, number_key) = 1""",
-    "fingerprint_similarity": f"""WITH {PRINTS}, p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.tokens, b.tokens)) AS s, len(a.tokens) AS x, len(b.tokens) AS y FROM prints a JOIN prints b ON a.lang = b.lang AND a.m = 0 AND b.m = 1)
- SELECT left_id, right_id, round_even(s / (x + y - s), 4) AS score FROM p WHERE s > 0 AND round_even(s / (x + y - s), 4) >= 0.7""",
+    "fingerprint_similarity": f"""WITH {PRINTS}, g AS (SELECT *, min(id) OVER c AS class_id, count(*) OVER c AS copies FROM prints WHERE len(tokens) > 0 WINDOW c AS (PARTITION BY lang, m, list_sort(tokens))),
+ p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.tokens, b.tokens)) AS s, len(a.tokens) AS x, len(b.tokens) AS y, a.copies AS left_copies, b.copies AS right_copies FROM g a JOIN g b ON a.lang = b.lang AND a.m = 0 AND b.m = 1 AND a.id = a.class_id AND b.id = b.class_id)
+ SELECT 'link' AS kind, left_id, right_id, round_even(s / (x + y - s), 4) AS score, left_copies, right_copies FROM p WHERE s > 0 AND round_even(s / (x + y - s), 4) >= 0.7
+ UNION ALL SELECT 'member', class_id, id, NULL, NULL, NULL FROM g WHERE id <> class_id""",
     "match_ambiguity": """WITH c AS (SELECT l_orderkey % 700 AS left_id, l_partkey % 40 AS right_id, 0.5 + (sum(l_linenumber)::BIGINT * 7 % 50) / 100 AS score FROM lineitem GROUP BY 1, 2),
  r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
  SELECT left_id, right_id, score, runner_up, coalesce(runner_up >= 0.7 AND round_even(score - runner_up, 4) <= 0.05, false) AS ambiguous FROM r WHERE r = 1""",
